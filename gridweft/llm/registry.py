@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from gridweft.llm import exact_dedup, mixing
+from gridweft.llm import exact_dedup, mixing, packing
 
 QUERIES = {
     "op2_mix_sources": mixing.query,
     "op6_exact_dedup": exact_dedup.query,
+    "op10_pack_sequences": packing.query,
 }
 
 ORACLE_SQL = {
