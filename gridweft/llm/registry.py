@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from gridweft.llm import exact_dedup, mixing, packing
+from gridweft.llm import exact_dedup, mixing, packing, substring_dedup
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.query,
     "op2_mix_sources": mixing.query,
     "op6_exact_dedup": exact_dedup.query,
     "op10_pack_sequences": packing.query,
 }
 
 ORACLE_SQL = {
+    "op1_substring_dedup": substring_dedup.ORACLE_SQL,
     "op2_mix_sources": mixing.ORACLE_SQL,
     "op6_exact_dedup": exact_dedup.ORACLE_SQL,
 }
