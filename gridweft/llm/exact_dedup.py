@@ -44,6 +44,7 @@ class DedupState:
         wanted = {
             "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
             "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+            "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
             "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
             "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
         }
@@ -101,7 +102,7 @@ def dedup_exact(
 
     # Full bytes are compared where a digest was hit: rows of groups with more than one row against the row at the locator.
     hits = decided.where("n > 1").groupBy("id", "digest").agg(F.max("keep_id").alias("keep_id"), F.max("n").alias("n"))
-    hit_texts = base.join(hits, ["id", "digest"])
+    hit_texts = storage.stored(base.join(hits, ["id", "digest"]), "dedup-hits")
     salts = F.ceil(F.col("n") / ROWS_A_SALT).cast("int")
     members = hit_texts.where(~F.col("id").eqNullSafe(F.col("keep_id"))).select(
         "digest", "id", "text", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt")
