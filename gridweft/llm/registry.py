@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from gridweft.llm import exact_dedup, mixing, packing, substring_dedup
+from gridweft.llm import exact_dedup, mixing, near_dedup, packing, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
     "op2_mix_sources": mixing.query,
+    "op4_near_dedup": near_dedup.query,
     "op6_exact_dedup": exact_dedup.query,
     "op10_pack_sequences": packing.query,
 }
