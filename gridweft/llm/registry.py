@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from gridweft.llm import exact_dedup, mixing, near_dedup, packing, substring_dedup
+from gridweft.llm import exact_dedup, lm_scoring, mixing, near_dedup, packing, substring_dedup, topk
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
     "op2_mix_sources": mixing.query,
+    "op3_lm_scores": lm_scoring.query,
     "op4_near_dedup": near_dedup.query,
     "op6_exact_dedup": exact_dedup.query,
+    "op8_exact_topk": topk.query,
     "op10_pack_sequences": packing.query,
 }
 
 ORACLE_SQL = {
     "op1_substring_dedup": substring_dedup.ORACLE_SQL,
     "op2_mix_sources": mixing.ORACLE_SQL,
+    "op3_lm_scores": lm_scoring.ORACLE_SQL,
     "op6_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op8_exact_topk": topk.ORACLE_SQL,
 }
