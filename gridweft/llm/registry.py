@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridweft.llm import exact_dedup, lm_scoring, mixing, near_dedup, packing, substring_dedup, topk
+from gridweft.llm import exact_dedup, lm_scoring, mixing, near_dedup, packing, quality, substring_dedup, topk
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_near_dedup": near_dedup.query,
     "op6_exact_dedup": exact_dedup.query,
     "op8_exact_topk": topk.query,
+    "op9_quality_grades": quality.query,
     "op10_pack_sequences": packing.query,
 }
 
