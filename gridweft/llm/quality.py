@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridweft.llm import tokens
 
@@ -177,21 +178,21 @@ def grade(docs: DataFrame, model: Model, least_grade: int, id_col: str = "doc_id
     its own, which a grade replaces where a name clashes; else other columns are not read.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    names = ["expected_grade", "tail_probability"]
-    kept = [c for c in docs.columns if c not in (*names, "selected")] if carry else [id_col]
-    source = docs.select(F.struct(*kept).alias("row"), F.col(text_col).alias("text"))
-    schema = f"row {source.schema['row'].dataType.simpleString()}, expected_grade double, tail_probability double"
+    added = ["expected_grade", "tail_probability", "selected"]
+    kept = [c for c in docs.columns if c not in added] if carry else [id_col]
+    source = docs.select(*kept, F.col(text_col).alias("_text")) if text_col not in kept else docs.select(*kept)
+    place = len(kept) if text_col not in kept else kept.index(text_col)
+    schema = T.StructType([*source.schema.fields[: len(kept)], *(T.StructField(name, T.DoubleType()) for name in added[:2])])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for batch in batches:
-            for row, n, d, f in features(batch.column(1)):
+            for row, n, d, f in features(batch.column(place)):
                 upto = model.upto(np.bincount(d, weights=model.weights[f], minlength=n))
-                columns = [batch.column(0).slice(row, n), pa.array(upto.shape[1] - upto.sum(axis=1)), pa.array(1 - upto[:, least_grade - 1])]
-                yield pa.RecordBatch.from_arrays(columns, names=["row", *names])
+                columns = [*(batch.column(k).slice(row, n) for k in range(len(kept))), pa.array(upto.shape[1] - upto.sum(axis=1)), pa.array(1 - upto[:, least_grade - 1])]
+                yield pa.RecordBatch.from_arrays(columns, names=[*kept, *added[:2]])
 
-    out = source.mapInArrow(score, schema).select("row.*", *names)
-    return out.withColumn("selected", F.col("tail_probability") >= threshold)
+    return source.mapInArrow(score, schema).withColumn("selected", F.col("tail_probability") >= threshold)
 
 
 def label_grades(labels: DataFrame) -> DataFrame:
