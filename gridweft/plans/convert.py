@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridweft.functions.scalars import decode_entities, energy_source, enum_fragment, float_text, is_true, iso_seconds, number, strip_underscore, switch_kind, whole
 from gridweft.operators.access import Grid
 from gridweft.plans.index import LOADS, SWITCHES, Index, class_rank
+from gridweft.storage import stored
 
 KEY = ["model", "id"]
 UNITS = ["HydroGeneratingUnit", "NuclearGeneratingUnit", "SolarGeneratingUnit", "ThermalGeneratingUnit", "WindGeneratingUnit", "GeneratingUnit"]
@@ -153,7 +154,7 @@ class Conversion:
         own = Window.partitionBy("model", "transformer")
         order = F.coalesce(whole(F.col("number")), F.lit(0))
         ranked = rows.where("transformer IS NOT NULL").withColumns({"nth": F.row_number().over(own.orderBy(order, "doc_pos")), "n": F.count(F.lit(1)).over(own)})
-        return ranked.join(self.index.places, ["model", "terminal"], "left").select("model", "transformer", F.col("id").alias("end"), "nth", "n", "vl", "vl_mrid", "node", number(F.col("rated_u")).alias("rated_u"), *[_or(c, 0.0).alias(c) for c in "rxgb"], number(F.col("rated_s")).alias("rated_s"))
+        return stored(ranked.join(self.index.places, ["model", "terminal"], "left").select("model", "transformer", F.col("id").alias("end"), "nth", "n", "vl", "vl_mrid", "node", number(F.col("rated_u")).alias("rated_u"), *[_or(c, 0.0).alias(c) for c in "rxgb"], number(F.col("rated_s")).alias("rated_s")), "ends")
 
     def _steps(self, points: str, table: str, angle: str | None) -> DataFrame:
         """(model, table, steps) in document order; rho is 1 over the ratio, points without a ratio are left out."""
@@ -185,7 +186,7 @@ class Conversion:
             last = rows.groupBy("model", "end").agg(F.max_by(F.struct("low", F.col("normal").alias("position"), is_true(F.col("ltc")).alias("ltc"), "steps"), "doc_pos").alias("t"))
             one = last.select("model", "end", F.lit(phase).alias("phase"), "t.*")
             found = one if found is None else found.unionByName(one)
-        return found
+        return stored(found, "tap-changers")
 
     def _by_end(self, n: int) -> DataFrame:
         """Transformers with exactly n usable ends: columns e1..en."""
@@ -238,7 +239,7 @@ class Conversion:
         segments = self.grid.view(["ACLineSegment", "SeriesCompensator"], {}, {"base": "ConductingEquipment.BaseVoltage"}).select("model", F.col("id").alias("segment"), "base")
         nominal = self.grid.view(["BaseVoltage"], {"v": "BaseVoltage.nominalVoltage"}).select("model", F.col("id").alias("base"), number(F.col("v")).alias("nominal_v"))
         out = first.join(nodes, ["model", "cn"]).join(boxes, ["model", "container"], "left").join(segments, ["model", "segment"], "left").join(nominal, ["model", "base"], "left")
-        return out.select("model", "cn", "cn_pos", F.concat("cn_mrid", F.lit("_VL")).alias("id"), F.col("box_name").alias("name"), "nominal_v", F.coalesce("box_mrid", strip_underscore(F.col("container"))).alias("container"), "terminals")
+        return stored(out.select("model", "cn", "cn_pos", F.concat("cn_mrid", F.lit("_VL")).alias("id"), F.col("box_name").alias("name"), "nominal_v", F.coalesce("box_mrid", strip_underscore(F.col("container"))).alias("container"), "terminals"), "fictitious")
 
     def boundary_generators(self) -> DataFrame:
         """Equivalent injections at the hub of a fictitious level; elsewhere there are none."""
@@ -253,7 +254,7 @@ class Conversion:
         """(model, terminal, vl_mrid, node): in a level, else in a fictitious one."""
         fictitious = self.boundary_terminals.join(self.fictitious_levels.select("model", "cn", "id"), ["model", "cn"]).select("model", "terminal", F.col("id").alias("vl_mrid"), "node")
         regular = self.index.places.select("model", "terminal", "vl_mrid", "node")
-        return regular.unionByName(fictitious.join(regular, ["model", "terminal"], "left_anti"))
+        return stored(regular.unionByName(fictitious.join(regular, ["model", "terminal"], "left_anti")), "line-places")
 
     @cached_property
     def limit_lists(self) -> DataFrame:

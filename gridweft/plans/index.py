@@ -206,13 +206,13 @@ class Index:
     def places(self) -> DataFrame:
         """(model, terminal, vl, vl_mrid, node) of terminals."""
         level = self.levels.where("vl = representative").select("model", "vl", "vl_mrid")
-        return self.node_map.join(level, ["model", "vl"]).select("model", "terminal", "vl", "vl_mrid", "node")
+        return stored(self.node_map.join(level, ["model", "vl"]).select("model", "terminal", "vl", "vl_mrid", "node"), "places")
 
     @cached_property
     def equipment_places(self) -> DataFrame:
         """(model, id, terminal, vl, vl_mrid, node) of equipment, by its first terminal."""
         first = self.terminals.where("nth = 1").select("model", F.col("equipment").alias("id"), F.col("id").alias("terminal"))
-        return first.join(self.places, ["model", "terminal"])
+        return stored(first.join(self.places, ["model", "terminal"]), "equipment-places")
 
 
 def node_numbers(terminals: DataFrame, nodes: DataFrame, busbars: DataFrame) -> DataFrame:

@@ -10,4 +10,5 @@ from gridweft.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session("tests", cores=4, shuffle_partitions=4)
+    # Tables of a few rows: compiling their plans would take longer than running them.
+    return local_session("tests", cores=4, shuffle_partitions=2, spark__sql__codegen__wholeStage="false")
