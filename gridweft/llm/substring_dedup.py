@@ -5,9 +5,12 @@ in it; consecutive windows with the same minimiser travel as one packed string t
 hashes of all windows are sorted, equal ones are compared byte by byte, and all but the earliest are marked. Marks go
 back to their documents as spans of words.
 
-Hot groups: within a block of documents equal packed strings are sent once, the others are marked at once, so that
-copies cost one row a block. Minimisers that still have many distinct strings (a passage in many contexts) are counted
-first over all documents; their windows travel one by one, to the bucket of the hash of the whole window.
+Only super-k-mers whose minimiser occurs at another place travel: a pass over all documents notes where each
+super-k-mer lies (no text), and minimisers that occur once in all are left out, as no window of theirs can repeat.
+
+Hot groups: within a block of documents equal packed strings are noted once, the others are marked at once, so that
+copies cost one row a block. Windows of minimisers that still occur at very many places (a passage in many contexts)
+travel one by one, to the bucket of the hash of the whole window.
 """
 
 from __future__ import annotations
@@ -22,12 +25,12 @@ from pyspark.sql import functions as F
 from gridweft import storage
 from gridweft.llm import tokens
 
-#: Words in a minimiser.
-GROUP_WORDS = 3
+#: Words in a minimiser: enough that common phrases don't recur as minimisers.
+GROUP_WORDS = 5
 #: Text and packed strings that are worked on at once.
 BLOCK_BYTES = 1 << 22
-#: Distinct strings from which on a minimiser is split, at least.
-HOT_ROWS = 4000
+#: Places from which on a minimiser's windows travel one by one; so many strings are some 10 MB of a task.
+HOT_ROWS = 50_000
 
 _MIX = np.uint64(0x9FB21C651E98DF25)
 
@@ -60,22 +63,26 @@ def _window_hashes(h: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def _runs(words: tokens.Words, width: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Super-k-mers of a block: (key, first window, last window), windows as places of their first words."""
+def _runs(words: tokens.Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Super-k-mers of a block: (minimiser, first window, last window, whether the minimiser lies in it twice).
+
+    Windows are known by the places of their first words.
+    """
     places = tokens.whole_grams(words.first, width)
     if not len(places):
-        return np.zeros(0, np.uint64), places, places
-    h = words.hashes()
-    key = _sliding_min(tokens.ngrams(h, min(GROUP_WORDS, width)), width - min(GROUP_WORDS, width) + 1)[places]
+        return np.zeros(0, np.uint64), places, places, np.zeros(0, bool)
+    size = min(GROUP_WORDS, width)
+    groups = tokens.ngrams(words.hashes(), size)
+    key = _sliding_min(groups, width - size + 1)[places]
     new = np.ones(len(places), bool)
     new[1:] = (key[1:] != key[:-1]) | (places[1:] != places[:-1] + 1)
-    if len(hot):
-        single = np.isin(key, hot)
-        new |= single
-        key = np.where(single, _window_hashes(h, width)[places], key)
     begin = np.flatnonzero(new)
-    end = np.append(begin[1:], len(places)) - 1
-    return tokens.mixed(key[begin]), places[begin], places[end]
+    first, last, key = places[begin], places[np.append(begin[1:], len(places)) - 1], key[begin]
+    left, right = np.full(len(key), -1), np.zeros(len(key), np.int64)
+    for j in range(width - size + 1):
+        left = np.where((left < 0) & (groups[first + j] == key), first + j, left)
+        right = np.where(groups[last + j] == key, last + j, right)
+    return key, first, last, left != right
 
 
 def _packed(words: tokens.Words, first: np.ndarray, last: np.ndarray, width: int) -> pa.Array:
@@ -85,70 +92,72 @@ def _packed(words: tokens.Words, first: np.ndarray, last: np.ndarray, width: int
     return pa.array([data[s:e] for s, e in zip(begin[first].tolist(), (begin[last + width] - 1).tolist(), strict=True)], pa.binary())
 
 
-def _spans(ids: pa.Array, text_hash: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
-    n = len(begin)
-    return pa.RecordBatch.from_arrays(
-        [pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), ids, pa.array(text_hash), pa.array(begin, pa.int64()), pa.array(end, pa.int64())],
-        names=["key", "packed", "id", "text_hash", "begin", "end"],
-    )
-
+def _note(width: int):
+    """Where the super-k-mers of a block lie: (key, id, text_hash, begin, windows, twice); key null for marked spans."""
+    names = ["key", "id", "text_hash", "begin", "windows", "twice"]
 
-def _split(width: int, hot: np.ndarray):
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def note(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, text_hash = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for row, data, offsets in tokens.text_blocks(batch.column(2), BLOCK_BYTES):
                 words = tokens.Words(data, offsets)
-                key, first, last = _runs(words, width, hot)
+                key, first, last, twice = _runs(words, width)
                 if not len(key):
                     continue
                 doc = np.searchsorted(words.first, first, "right") - 1
                 begin = first - words.first[doc]
                 own = ids[row + doc]
                 order = np.lexsort((begin, own))
-                packed = _packed(words, first[order], last[order], width)
-                code = packed.dictionary_encode().indices.to_numpy()
-                own, begin, doc, key, length = own[order], begin[order], doc[order], key[order], (last - first)[order] + width
+                code = _packed(words, first[order], last[order], width).dictionary_encode().indices.to_numpy()
+                own, begin, doc, key, twice, windows = own[order], begin[order], doc[order], key[order], twice[order], (last - first)[order] + 1
                 is_first = code > np.append(-1, np.maximum.accumulate(code)[:-1])
                 # The earliest of equal strings; rows that begin at the same place of the same id are not later than it.
                 earliest = np.flatnonzero(is_first)[code]
                 later = (own != own[earliest]) | (begin != begin[earliest])
-                sent = np.flatnonzero(~later)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[sent].view(np.int64)), packed.take(pa.array(sent)).cast(pa.string()), *(pa.array(x[sent]) for x in (own, text_hash[row + doc], begin, begin + length))],
-                    names=["key", "packed", "id", "text_hash", "begin", "end"],
-                )
-                if later.any():
-                    yield _spans(pa.array(own[later]), text_hash[row + doc[later]], begin[later], (begin + length)[later])
+                keys = pa.array(key.view(np.int64), mask=later)
+                yield pa.RecordBatch.from_arrays([keys, *(pa.array(x) for x in (own, text_hash[row + doc], begin.astype(np.int32), windows.astype(np.int32), twice))], names=names)
 
-    return split
+    return note
 
 
-def _count(width: int):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(0, np.uint64)
+def _send(width: int):
+    """Packed strings of the listed super-k-mers of each document; those of hot minimisers window by window."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, data, offsets in tokens.text_blocks(batch.column(0), BLOCK_BYTES):
+            ids, text_hash = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for row, data, offsets in tokens.text_blocks(batch.column(2), BLOCK_BYTES):
+                n = len(offsets) - 1
                 words = tokens.Words(data, offsets)
-                h = words.hashes()
-                key, first, last = _runs(words, width, none)
-                # Strings of a key that differ in a hash of their first and last windows are distinct; others may be equal.
-                edge = _window_hashes(h, width) if len(h) >= width else h
-                text = tokens.mixed(edge[first] * _MIX + edge[last]) if len(key) else key
-                distinct = np.unique(np.stack([key, text], 1), axis=0)[:, 0] if len(key) else key
-                keys, n = np.unique(distinct, return_counts=True)
-                many = n > 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.append(keys[many], np.uint64(0)).view(np.int64)), pa.array(np.append(n[many], len(distinct) - n[many].sum()))],
-                    names=["key", "n"],
-                )
-
-    return count
+                lists = batch.column(3).slice(row, n)
+                flat = lists.flatten()
+                begin, windows, hot = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("begin", "windows", "hot"))
+                begin, windows = begin.astype(np.int64), windows.astype(np.int64)
+                doc = np.repeat(np.arange(n), lists.value_lengths().to_numpy())
+                first = words.first[doc] + begin
+                each = np.where(hot, windows, 1)
+                at = np.repeat(np.arange(len(begin)), each)
+                nth = np.arange(len(at)) - np.repeat(np.cumsum(each) - each, each)
+                start = first[at] + nth
+                last = np.where(hot[at], start, start + windows[at] - 1)
+                size = min(GROUP_WORDS, width)
+                hashes = words.hashes()
+                bucket = _sliding_min(tokens.ngrams(hashes, size), width - size + 1)[start] if len(at) else np.zeros(0, np.uint64)
+                if hot.any():
+                    bucket = np.where(hot[at], _window_hashes(hashes, width)[start], bucket)
+                if len(at):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(bucket.view(np.int64)), _packed(words, start, last, width).cast(pa.string()), *(pa.array(x) for x in (ids[row + doc[at]], text_hash[row + doc[at]], (begin[at] + nth).astype(np.int32)))],
+                        names=["key", "packed", "id", "text_hash", "begin"],
+                    )
+
+    return send
 
 
 def _marked(table: pa.Table, width: int) -> pa.RecordBatch:
     """Spans of windows of a bucket that start earlier elsewhere."""
     ids, text_hash, start = (table.column(x).to_numpy() for x in ("id", "text_hash", "begin"))
+    start = start.astype(np.int64)
     out: list[tuple] = []
     for row, data, offsets in tokens.text_blocks(table.column("packed"), 1 << 60):
         words = tokens.Words(data, offsets)
@@ -187,7 +196,8 @@ def _marked(table: pa.Table, width: int) -> pa.RecordBatch:
         base = start[row + run[at]] - words.first[run[at]]
         out.append((ids[row + run[at]], text_hash[row + run[at]], base + place[at], base + place[to] + width))
     columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["id", "text_hash", "begin", "end"])
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)).cast(k) for x, k in zip(columns, kinds, strict=True)], names=["id", "text_hash", "begin", "end"])
 
 
 def _bucket(width: int):
@@ -196,10 +206,6 @@ def _bucket(width: int):
         size = 0
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            done = table.filter(table.column("packed").is_null())
-            if len(done):
-                yield from done.select(["id", "text_hash", "begin", "end"]).combine_chunks().to_batches()
-                table = table.filter(table.column("packed").is_valid())
             held.append(table)
             size += table.nbytes
             if size >= 4 * BLOCK_BYTES:
@@ -268,33 +274,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     last = 2**63 - 1
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("id"), F.col(id_col).cast("long").alias("given"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    base = base.withColumn("text_hash", F.xxhash64("text"))
-    counts = storage.stored(base.select("text").mapInArrow(_count(width), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "repeats-counts")
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    # A key with so many strings is hot; so there are at most 4 * partitions hot keys, whatever the input.
-    hot_rows = max(HOT_ROWS, total / (4 * partitions))
-    found = counts.where((F.col("n") > hot_rows) & (F.col("key") != 0)).toArrow().column("key")
-    hot = _unmixed(found.to_numpy().astype(np.int64).view(np.uint64))
-    rows = base.select("id", "text_hash", "text").mapInArrow(_split(width, hot), "key long, packed string, id long, text_hash long, begin long, end long")
-    dealt = rows.repartition(F.coalesce("key", F.xxhash64("id", "begin"))).sortWithinPartitions("key")
-    spans = dealt.mapInArrow(_bucket(width), "id long, text_hash long, begin long, end long")
-    # Repeated rows send the same spans; of one document there are at most as many as it has words.
+    # Tells rows of one id apart by their texts.
+    base = base.withColumn("text_hash", F.hash("text"))
+    noted = storage.stored(base.select("id", "text_hash", "text").mapInArrow(_note(width), "key long, id long, text_hash int, begin int, windows int, twice boolean"), "repeats-noted")
+    counts = noted.where("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice")).where("n > 1 OR twice")
+    found = noted.join(counts.select("key", "n"), "key").select("id", "text_hash", F.struct("begin", "windows", (F.col("n") > HOT_ROWS).alias("hot")).alias("run"))
+    # Of one document there are at most as many runs, and as many spans, as it has words.
+    sent = base.join(found.groupBy("id", "text_hash").agg(F.collect_list("run").alias("runs")), ["id", "text_hash"])
+    # ``given`` is carried so that both joins read one exchange of the texts.
+    sent = sent.select("id", "text_hash", "text", "runs", "given").mapInArrow(_send(width), "key long, packed string, id long, text_hash int, begin int")
+    dealt = sent.repartition("key").sortWithinPartitions("key")
+    spans = dealt.mapInArrow(_bucket(width), "id long, text_hash int, begin int, end int")
+    spans = spans.unionByName(noted.where("key IS NULL").select("id", "text_hash", "begin", (F.col("begin") + F.col("windows") + width - 1).alias("end")))
+    # Repeated rows send the same spans.
     listed = spans.distinct().groupBy("id", "text_hash").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends"))
     joined = base.join(listed, ["id", "text_hash"], "left").select("given", "text", "begins", "ends")
     return joined.mapInArrow(_keep(width), "id long, n_words long, n_removed long, kept_text string").withColumnRenamed("id", id_col)
 
 
-def _unmixed(x: np.ndarray) -> np.ndarray:
-    """The values whose scrambling is ``x``."""
-    inverse = [np.uint64(pow(c, -1, 1 << 64)) for c in (0x94D049BB133111EB, 0xBF58476D1CE4E5B9)]
-    x = x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(62))
-    x = x * inverse[0]
-    x = x ^ (x >> np.uint64(27)) ^ (x >> np.uint64(54))
-    x = x * inverse[1]
-    return x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1: all documents without repeated windows of 20 words."""
     found = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
