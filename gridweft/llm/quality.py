@@ -110,41 +110,49 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.thresholds[None, :] - score[:, None], -500, 500)))
 
 
-def fit(lists: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds: int = ROUNDS) -> Model:
-    """Maximum likelihood with a small quadratic penalty, by Adam over all rows at once."""
+#: Features of the sample that one step of a round looks at.
+STEP = 1 << 20
+
+
+def fit(flat: np.ndarray, sizes: np.ndarray, grades: np.ndarray, n_grades: int, rounds: int = ROUNDS) -> Model:
+    """Maximum likelihood with a small quadratic penalty, by Adam over all rows; row i has the next ``sizes[i]`` features."""
     weights = np.zeros(1 << BITS, np.float32)
-    share = [(np.sum(grades <= k) + 0.5) / (len(grades) + 1.0) for k in range(n_grades - 1)]
-    theta = np.log(np.array(share) / (1 - np.array(share)))
-    if not len(lists) or len(np.unique(grades)) < 2:
-        return Model(weights, theta if len(lists) else np.full(n_grades - 1, -20.0))
-    flat = np.concatenate(lists)
+    n = len(sizes)
+    share = np.array([(np.sum(grades <= k) + 0.5) / (n + 1.0) for k in range(n_grades - 1)])
+    theta = np.log(share / (1 - share))
+    if len(np.unique(grades)) < 2:
+        return Model(weights, theta if n else np.full(n_grades - 1, -20.0))
     used = np.flatnonzero(np.bincount(flat, minlength=1 << BITS) >= LEAST_DOCS)
-    place = np.full(1 << BITS, -1)
-    place[used] = np.arange(len(used))
-    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    keep = place[flat] >= 0
-    row, column = row[keep], place[flat[keep]]
-    w, gaps = np.zeros(len(used)), np.log(np.maximum(np.diff(theta), 1e-3))
-    parameters = np.concatenate([w, theta[:1], gaps])
-    m, v = np.zeros_like(parameters), np.zeros_like(parameters)
-    n = len(lists)
+    place = np.full(1 << BITS, -1, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    column = place[flat]
+    row = np.repeat(np.arange(n, dtype=np.int32), sizes)[column >= 0]
+    column = column[column >= 0]
+    steps = [slice(k, k + STEP) for k in range(0, len(row), STEP)]
+    v = len(used)
+    # Parameters: the weights, the first threshold, and the logarithms of the gaps to the next ones.
+    parameters = np.concatenate([np.zeros(v), theta[:1], np.log(np.maximum(np.diff(theta), 1e-3))])
+    first, second = np.zeros_like(parameters), np.zeros_like(parameters)
     at = np.arange(n)
+    thresholds = lambda: np.cumsum(np.append(parameters[v], np.exp(parameters[v + 1 :])))
     for t in range(1, rounds + 1):
-        w, theta = parameters[: len(used)], np.cumsum(np.append(parameters[len(used)], np.exp(parameters[len(used) + 1 :])))
-        s = np.bincount(row, weights=w[column], minlength=n)
+        w, theta, s, gradient = parameters[:v], thresholds(), np.zeros(n), np.zeros(len(parameters))
+        for k in steps:
+            s += np.bincount(row[k], weights=w[column[k]], minlength=n)
         below = np.concatenate([np.zeros((n, 1)), 1 / (1 + np.exp(-np.clip(theta[None, :] - s[:, None], -60, 60))), np.ones((n, 1))], axis=1)
         slope = below * (1 - below)
         p = np.maximum(below[at, grades + 1] - below[at, grades], 1e-12)
         by_s = (slope[at, grades + 1] - slope[at, grades]) / p / n
-        by_theta = np.zeros(len(theta))
-        for k in range(len(theta)):
-            by_theta[k] = -np.sum(slope[grades == k, k + 1] / p[grades == k]) / n + np.sum(slope[grades == k + 1, k + 1] / p[grades == k + 1]) / n
-        gradient = np.concatenate([np.bincount(column, weights=by_s[row], minlength=len(used)) + PENALTY * w, [by_theta.sum()], [by_theta[k + 1 :].sum() * np.exp(g) for k, g in enumerate(parameters[len(used) + 1 :])]])
-        m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
-        parameters = parameters - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    weights[used] = parameters[: len(used)]
-    theta = np.cumsum(np.append(parameters[len(used)], np.exp(parameters[len(used) + 1 :])))
-    return Model(weights, theta)
+        by_theta = np.array([np.sum((slope[:, k + 1] / p)[grades == k + 1]) - np.sum((slope[:, k + 1] / p)[grades == k]) for k in range(len(theta))]) / n
+        for k in steps:
+            gradient[:v] += np.bincount(column[k], weights=by_s[row[k]], minlength=v)
+        gradient[:v] += PENALTY * w
+        gradient[v] = by_theta.sum()
+        gradient[v + 1 :] = [by_theta[k + 1 :].sum() * np.exp(g) for k, g in enumerate(parameters[v + 1 :])]
+        first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
+        parameters = parameters - RATE * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
+    weights[used] = parameters[:v]
+    return Model(weights, thresholds())
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,8 +173,12 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col: str = "doc
     # At most ``sample`` rows of two numbers: a broadcast of proven size.
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("id", "text", "grade")
     found = rows.mapInArrow(_lists, "id long, grade int, features array<int>").toArrow().sort_by("id")
-    lists = [np.array(x, np.int64) for x in found.column("features").to_pylist()]
-    return fit(lists, found.column("grade").to_numpy().astype(np.int64), n_grades)
+    lists = [c for c in found.column("features").chunks if len(c)]
+    flat = np.concatenate([np.zeros(0, np.int32), *(c.flatten().to_numpy() for c in lists)])
+    sizes = np.concatenate([np.zeros(0, np.int32), *(c.value_lengths().to_numpy() for c in lists)])
+    grades = found.column("grade").to_numpy().astype(np.int64)
+    del found, lists
+    return fit(flat, sizes, grades, n_grades)
 
 
 def grade(docs: DataFrame, model: Model, least_grade: int, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, carry: bool = False) -> DataFrame:
