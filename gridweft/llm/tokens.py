@@ -36,7 +36,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the multiplier and of its inverse modulo 2**64, at least ``n`` of each."""
     global _powers
     if len(_powers[0]) < n:
-        n = max(n, 2 * BLOCK_BYTES + 2)
+        n = max(n, BLOCK_BYTES + (1 << 16))
         inverse = pow(_MULTIPLIER, -1, 1 << 64)
         tables = []
         for base in (_MULTIPLIER, inverse):
