@@ -1,15 +1,17 @@
 """Stupid-backoff language-model scores of all documents against the counts of all documents.
 
-Documents are dealt into chunks by id. Each chunk explodes its n-grams of every order, counts equal ones and sends them
-to the partition that their hash falls into, packed: sorted hashes as differences, in byte planes. A partition of the
-count table sums what it gets and answers every chunk with the totals of the chunk's n-grams, in the same order. A
-chunk joins its words to the totals by place and sums scores per document.
+Runs of documents are chunks, known by their contents. Each chunk explodes its n-grams of every order, counts equal
+ones and sends them to the partition that their hash falls into, packed: sorted hashes as differences, in byte planes.
+A partition of the count table sums what it gets and answers every chunk with the totals of the chunk's n-grams, in the
+same order. A chunk, which travels compressed to meet the answers, joins its words to the totals by place and sums
+scores per document.
 
 An n-gram is known by a 64-bit hash of its words.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,11 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweft import storage
 from gridweft.llm import tokens
 
 #: Text in a chunk, and parts of the count table for each shuffle partition.
-CHUNK_BYTES, PARTS = 12 << 20, 4
+CHUNK_BYTES, PARTS = 4 << 20, 4
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -58,19 +59,39 @@ def _cuts(hashes: np.ndarray, parts: int) -> np.ndarray:
     return np.append(np.searchsorted(hashes, edges), len(hashes))
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(name, rows of id and text) of runs of rows of about CHUNK_BYTES; a name is a hash of ids and texts."""
+    for batch in batches:
+        for row, data, offsets in tokens.text_blocks(batch.column(1), CHUNK_BYTES):
+            rows = batch.slice(row, len(offsets) - 1)
+            seen = hashlib.blake2b(data.tobytes(), digest_size=8)
+            seen.update(offsets.tobytes())
+            seen.update(repr(rows.column(0).to_pylist()).encode())
+            yield int.from_bytes(seen.digest(), "little", signed=True), rows
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, rows): each chunk as compressed bytes."""
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for name, rows in _chunks(batches):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema, options=options) as writer:
+            writer.write_batch(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "rows"])
+
+
 def _ask(order: int, parts: int):
-    def ask(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        chunk = table.column("chunk")[0].as_py()
-        rows = []
-        for n, hashes in enumerate(_grams(table.column("text"), order)[0], 1):
-            hashes, counts = np.unique(hashes, return_counts=True)
-            cuts = _cuts(hashes, parts)
-            for p in np.flatnonzero(np.diff(cuts)).tolist():
-                own = hashes[cuts[p] : cuts[p + 1]]
-                rows.append((n * parts + p, chunk, _planes(np.diff(own, prepend=np.uint64(0))), _planes(counts[cuts[p] : cuts[p + 1]].astype(np.uint32))))
-        part, to, grams, n = zip(*rows, strict=True) if rows else ((), (), (), ())
-        return pa.table([pa.array(part, pa.int64()), pa.array(to, pa.int64()), pa.array(grams, pa.binary()), pa.array(n, pa.binary())], names=["part", "chunk", "grams", "n"])
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, chunk in _chunks(batches):
+            rows = []
+            for n, hashes in enumerate(_grams(chunk.column(1), order)[0], 1):
+                hashes, counts = np.unique(hashes, return_counts=True)
+                cuts = _cuts(hashes, parts)
+                for p in np.flatnonzero(np.diff(cuts)).tolist():
+                    own = hashes[cuts[p] : cuts[p + 1]]
+                    rows.append((n * parts + p, _planes(np.diff(own, prepend=np.uint64(0))), _planes(counts[cuts[p] : cuts[p + 1]].astype(np.uint32))))
+            part, grams, n = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([name] * len(part), pa.int64()), pa.array(grams, pa.binary()), pa.array(n, pa.binary())], names=["part", "chunk", "grams", "n"])
 
     return ask
 
@@ -101,17 +122,22 @@ def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _score(order: int, alpha: float, least: int, words_in_all: int):
-    def score(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        hashes, places, counts = _grams(table.column("text"), order)
-        answers = answers.sort_by("part").combine_chunks()
-        given = np.concatenate([_unplanes(x, np.int64) for x in answers.column("totals").to_pylist()]) if len(answers) else np.zeros(0, np.int64)
+    def score(key: tuple, chunks: pa.Table, answers: pa.Table) -> pa.Table:
+        # Chunks of equal contents have one name and equal answers.
+        by_part = dict(zip(answers.column("part").to_pylist(), answers.column("totals").to_pylist(), strict=True))
+        given = np.concatenate([np.zeros(0, np.int64), *(_unplanes(by_part[p], np.int64) for p in sorted(by_part))])
+        return pa.concat_tables([one(pa.ipc.open_stream(x).read_all(), given) for x in chunks.column("rows").to_pylist()])
+
+    def one(table: pa.Table, given: np.ndarray) -> pa.Table:
+        hashes, places, counts = _grams(table.column(1), order)
         total = int(counts.sum())
         best = np.zeros(total)
         depth = np.zeros(total, np.int64)
         before: np.ndarray | None = None
         for n in range(1, order + 1):
             known, place = np.unique(hashes[n - 1], return_inverse=True)
+            if len(given) < len(known):
+                raise RuntimeError("the rows of a chunk were read in another order the second time; store the input first")
             own, given = given[: len(known)][place], given[len(known) :]
             if n == 1:
                 best, depth = own / max(words_in_all, 1), np.ones(total, np.int64)
@@ -124,8 +150,8 @@ def _score(order: int, alpha: float, least: int, words_in_all: int):
             before = np.zeros(total, np.int64)
             before[places[n - 1]] = own
         doc = np.repeat(np.arange(len(counts)), counts)
-        sums = np.bincount(doc, weights=np.log(best), minlength=len(counts))
-        columns = [table.column("id"), pa.array(counts, pa.int64()), pa.array(sums)]
+        sums = np.bincount(doc, weights=np.log(best), minlength=len(counts)).astype(np.float64)  # of no words, whole numbers
+        columns = [table.column(0), pa.array(counts, pa.int64()), pa.array(sums)]
         columns += [pa.array(np.bincount(doc, weights=depth == n, minlength=len(counts)).astype(np.int64)) for n in range(1, order + 1)]
         return pa.table(columns, names=["id", "n_words", "log_score", *(f"n_order{n}" for n in range(1, order + 1))])
 
@@ -140,19 +166,17 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     count / words in all. With ``least`` = 2 an n-gram that only the word itself shows doesn't count. log_score sums
     natural logarithms, n_orderN counts the words scored by order N, mean_log_score is null without words (null, empty
     and blank texts). Rows repeated with the same id are documents of their own, in the counts too. A null id is kept.
-    Other columns are not read. An empty table gives no rows.
+    Other columns are not read. An empty table gives no rows. ``docs`` is read twice and must give the same rows in the
+    same order, as files do; what a shuffle gives is to be stored first.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = int(size // CHUNK_BYTES) + 1
     parts = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = base.select(F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("long").alias("chunk"), "id", "text")
-    asked = dealt.groupBy("chunk").applyInArrow(_ask(order, parts), "part long, chunk long, grams binary, n binary")
-    totals = storage.stored(asked.repartition("part").sortWithinPartitions("part").mapInArrow(_total, "chunk long, part long, totals binary"), "lm-totals")
+    asked = base.mapInArrow(_ask(order, parts), "part long, chunk long, grams binary, n binary")
+    totals = asked.repartition("part").sortWithinPartitions("part").mapInArrow(_total, "chunk long, part long, totals binary")
     words = base.select(F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("n")).agg(F.sum("n")).first()[0] or 0
     schema = "id long, n_words long, log_score double, " + ", ".join(f"n_order{n} long" for n in range(1, order + 1))
-    scored = dealt.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(_score(order, alpha, least, words), schema)
+    scored = base.mapInArrow(_pack, "chunk long, rows binary").groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(_score(order, alpha, least, words), schema)
     mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
     return scored.withColumn("mean_log_score", mean).withColumnRenamed("id", id_col)
 
