@@ -1,7 +1,7 @@
 """URL filters: host and path rules, and gradient-boosted trees on lexical features where no rule fits.
 
 Features of a URL: lengths, depth, digit ratio, entropy, parameter counts, hyphens, and statistics of the host's suffix
-among labelled URLs. Trees are fitted on a bounded sample of labelled URLs: features are cut into bins, gradients are
+among all labelled URLs. Trees are fitted on a bounded sample of labelled URLs: features are cut into bins, gradients are
 summed by node, feature and bin in one aggregation a level, and the driver, which sees those sums alone, picks splits.
 A fitted model is one column expression. Everything runs as DataFrame operations.
 """
@@ -93,7 +93,7 @@ def with_features(urls: DataFrame, suffixes: DataFrame) -> DataFrame:
             "suffix": suffix("host"),
         }
     )
-    rows = plain.join(F.broadcast(suffixes), "suffix", "left")  # at most as many rows as the sample has
+    rows = plain.join(suffixes, "suffix", "left")  # as many rows as there are suffixes: Spark broadcasts few, and splits a frequent one of many
     return rows.withColumns({"suffix_rate": F.coalesce("suffix_rate", F.lit(0.5)), "suffix_count": F.coalesce("suffix_count", F.lit(0.0))})
 
 
@@ -140,15 +140,17 @@ class Model:
 def train(labelled: DataFrame, sample: int = SAMPLE, trees: int = TREES, levels: int = LEVELS) -> Model:
     """Trees from rows (url, unwanted 0/1), at most ``sample`` of them; null urls and labels are left out.
 
+    Suffix statistics count all labelled urls, whether the trees are fitted on them or not.
     Repeats of a url count once, as unwanted if any of them is. Without rows of both kinds the model is their share
     alone (one in two without rows).
     """
     spark = labelled.sparkSession
     host, path = host_path(F.col("url"))
     once = labelled.where("url IS NOT NULL AND unwanted IS NOT NULL").groupBy("url").agg(F.max("unwanted").cast("double").alias("y"))
-    chosen = storage.stored(once.orderBy(F.xxhash64("url"), "url").limit(sample).withColumns({"host": host, "path": path}), "url-sample")
+    once = storage.stored(once.withColumns({"host": host, "path": path}), "url-labelled")
+    chosen = storage.stored(once.orderBy(F.xxhash64("url"), "url").limit(sample), "url-sample")
     # A row is left out of its own suffix statistics by shrinking them towards one half.
-    stats = chosen.groupBy(suffix("host").alias("suffix")).agg(((F.sum("y") + 5) / (F.count(F.lit(1)) + 10)).alias("suffix_rate"), F.count(F.lit(1)).cast("double").alias("suffix_count"))
+    stats = once.groupBy(suffix("host").alias("suffix")).agg(((F.sum("y") + 5) / (F.count(F.lit(1)) + 10)).alias("suffix_rate"), F.count(F.lit(1)).cast("double").alias("suffix_count"))
     stats = storage.stored(stats, "url-suffixes")
     rows = storage.stored(with_features(chosen, stats).select("url", "y", *FEATURES), "url-features")
     quantiles = [i / BINS for i in range(1, BINS)]

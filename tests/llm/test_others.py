@@ -38,6 +38,16 @@ def test_trees_held_out(spark):
     assert nothing.trees == []
 
 
+def test_suffix_statistics_cover_all(spark):
+    """Trees are fitted on a sample, suffixes are counted over all labelled urls."""
+    rows = [(f"http://h{k}.s{i}.org/p", int(i % 2 == 0)) for i in range(40) for k in range(3)]
+    labelled = spark.createDataFrame(rows, "url string, unwanted int")
+    model = url_filter.train(labelled, sample=10, trees=1)
+    assert {(r["suffix"], r["suffix_rate"], r["suffix_count"]) for r in model.suffixes.collect()} == {(f"s{i}.org", (8 if i % 2 == 0 else 5) / 13, 3.0) for i in range(40)}
+    host, path = url_filter.host_path(F.col("url"))
+    assert url_filter.with_features(labelled.withColumns({"host": host, "path": path}), model.suffixes).where("suffix_count = 3").count() == 120
+
+
 def test_preferences(spark):
     turns = [
         (0, 0, "user", "hi"), (0, 1, "assistant", "a <| b"), (0, 1, "assistant", "a <| b"), (1, 0, "user", "hi"), (1, 1, "assistant", "no"), (1, 2, None, None),
