@@ -38,15 +38,15 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, on five-word shingles at a similarity of 0.8: the smallest id."""
-    kept = near_dedup.near_groups(docs).where("kept").select(_id().alias("_id")).distinct()
-    return docs.withColumn("_id", _id()).join(kept, "_id", "left_semi").select(*docs.columns)
+    kept = near_dedup.near_groups(docs, hashed=True).where("kept").select(_id().alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    return docs.withColumns({"_id": _id(), "_hash": F.xxhash64("text")}).join(kept, ["_id", "_hash"], "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, up to twice; documents that it doesn't take go."""
-    mixed = mixing.mix(docs, quality=mixing.label_weights(_labels(spark, sf_dir)))
-    copies = mixed.where("taken > 0").groupBy(_id().alias("_id")).agg(F.max(F.expr("taken div size")).cast("int").alias("_copies"))
-    rows = docs.withColumn("_id", _id()).join(copies, "_id")
+    mixed = mixing.mix(docs, quality=mixing.label_weights(_labels(spark, sf_dir)), hashed=True)
+    copies = mixed.where("taken > 0").groupBy(_id().alias("_id"), F.col("text_hash").alias("_hash")).agg(F.max(F.expr("taken div size")).cast("int").alias("_copies"))
+    rows = docs.withColumns({"_id": _id(), "_hash": F.xxhash64("text")}).join(copies, ["_id", "_hash"])
     return rows.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 

@@ -67,6 +67,7 @@ def mix(
     most: int = 2,
     quality: DataFrame | None = None,
     seed: int = 42,
+    hashed: bool = False,
 ) -> DataFrame:
     """What a mix takes of every document: (id_col, size, source_size, target, taken), one row per row of ``docs``.
 
@@ -75,15 +76,18 @@ def mix(
     nearer its target. ``quality`` has a positive weight for some ids (columns id and weight; several rows of an id
     are averaged); other ids and other weights count as 1. A null source is a source of its own, after all others; null and empty texts have size 0 and are never taken. Rows
     repeated with the same id draw the same key, and ties are ordered by id and size. Other columns are not read. An
-    empty table gives no rows. ``most`` bounds copies of a document as it bounds a source's target.
+    empty table gives no rows. ``most`` bounds copies of a document as it bounds a source's target. With ``hashed`` a
+    column text_hash, xxhash64 of the text, tells rows of an id apart, and orders ties last.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+    own = ["text_hash"] if hashed else []
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("text_hash"))
+    rows = rows.select("id", "source", "size", *own)
     w = F.lit(1.0)
     if quality is not None:
         rows = rows.join(quality.groupBy("id").agg(F.avg("weight").alias("w")), "id", "left")
         w = F.when((F.col("w") > 0) & (F.col("w") < 1e6), F.col("w")).otherwise(1.0)
     key = -F.log(uniform(F.col("id"), seed)) / w
-    rows = rows.select("id", "source", "size", key.alias("key"))
+    rows = rows.select("id", "source", "size", key.alias("key"), *own)
     rows = rows.withColumn("range", F.least(F.lit(KEY_RANGES - 1), F.floor((1 - F.exp(-F.col("key"))) * KEY_RANGES)).cast("int"))
     rows = storage.stored(rows, "mix-rows")
 
@@ -97,9 +101,9 @@ def mix(
         starts["source"], "range", "before", "source_size", "target"
     )
     joined = rows.join(plan, null_safe(rows, plan, ["source", "range"])).select(
-        rows["id"], rows["source"], rows["range"], "size", "key", "before", "source_size", "target"
+        rows["id"], rows["source"], rows["range"], "size", "key", "before", "source_size", "target", *own
     )
-    inside = Window.partitionBy("source", "range").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "range").orderBy("key", "id", "size", *own).rowsBetween(Window.unboundedPreceding, 0)
     epochs = F.when(F.col("source_size") > 0, F.least(F.lit(most), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("long")
     upto = F.col("before") + F.sum("size").over(inside)
     left = F.col("target") - F.col("epochs") * F.col("source_size")
@@ -115,6 +119,7 @@ def mix(
             "source_size",
             "target",
             (F.col("size") * (F.col("epochs") + F.when(fraction & (F.col("epochs") < most), 1).otherwise(0))).alias("taken"),
+            *own,
         )
     )
 

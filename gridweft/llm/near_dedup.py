@@ -1,6 +1,7 @@
 """Near-duplicate groups by an LSH forest over MinHash signatures.
 
-Documents with equal shingle sets are one class. Every class gets a signature of COMPONENTS minima. A tree of the
+Documents with equal shingle sets are one class; classes are numbered in the order of their smallest ids, and all that
+follows goes by these numbers, as several texts may share an id or have none. Every class gets a signature of COMPONENTS minima. A tree of the
 forest is an order of the components: classes are range-sorted by their signature in that order, so that a class
 stands beside those with which it shares the longest prefix, however dense its region. Neighbours with a common
 prefix of DEPTH components and enough agreement behind it are candidates.
@@ -105,7 +106,7 @@ def _sign(n_words: int):
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each class and tree: key (tree, then components in its order) and id."""
+    """A row for each class and tree: key (tree, then components in its order) and id, the class."""
     for batch in batches:
         if not len(batch):
             continue
@@ -152,9 +153,9 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """Distinct candidates (a, b), a > b, of classes (rep, signature)."""
+    """Distinct candidates (a, b), a > b, of classes (class, signature)."""
     schema = "a long, b long, key binary"
-    rows = classes.select("rep", "signature").mapInArrow(_trees, "key binary, id long")
+    rows = classes.select("class", "signature").mapInArrow(_trees, "key binary, id long")
     rows = rows.repartitionByRange("key", "id").sortWithinPartitions("key", "id")
     scanned = storage.stored(rows.mapInArrow(_neighbours, schema), "near-scan")
     # Two rows from each end of each partition: as many as partitions, times four.
@@ -269,14 +270,24 @@ def _sets(n_words: int):
     return sets
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, percent: int = 80) -> DataFrame:
+def _same_id(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of rows (id, digest) that share an id: of each with the smallest."""
+    mark = F.xxhash64("digest")
+    shared = rows.groupBy("id").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).where("low <> high").select("id")
+    found = rows.select("id", "digest").join(shared, "id", "left_semi").join(classes.select("digest", "class"), "digest").select("id", "class").distinct()
+    return found.join(found.groupBy("id").agg(F.min("class").alias("b")), "id").where("class <> b").select(F.col("class").alias("a"), "b")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, percent: int = 80, hashed: bool = False) -> DataFrame:
     """Groups of near duplicates: (id_col, n_shingles, component_id, kept), one row per row of ``docs``.
 
     Documents are linked when the Jaccard similarity of their sets of ``n_words``-word shingles is ``percent`` / 100 or
     more; a group is a component of links and its smallest id is kept. Null and empty texts, and texts without words,
     have no shingles and are linked with nothing. Rows that share an id are one document: what is linked with one is
-    linked with the others. A null id is larger than all others, and comes back null. Other columns are not read. An
-    empty table gives no rows. Shingles are 64-bit hashes, sets are told apart by a 128-bit digest.
+    linked with the others. A null id is no id that is shared: every text without an id is a document of its own. A null
+    id is larger than all others, and comes back null; of a group without ids one text is kept. Other columns are not
+    read. An empty table gives no rows. Shingles are 64-bit hashes, sets are told apart by a 128-bit digest. With
+    ``hashed`` a column text_hash, xxhash64 of the text, tells rows of an id apart.
     """
     schema = "id long, text_hash long, n long, digest binary, signature binary"
     last = 2**63 - 1
@@ -284,26 +295,31 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     signed = storage.stored(base.mapInArrow(_sign(n_words), schema), "near-signed")
     full = signed.where("digest IS NOT NULL")
     first = full.groupBy("digest").agg(F.min(F.struct("id", "text_hash")).alias("rep"), F.first("signature").alias("signature"))
-    classes = storage.stored(first.select("digest", F.col("rep.id").alias("rep"), F.col("rep.text_hash").alias("text_hash"), "signature"), "near-classes")
+    first = first.select("digest", F.col("rep.id").alias("rep"), F.col("rep.text_hash").alias("text_hash"), "signature")
+    order = ["rep", "text_hash", "digest"]
+    # Ranges ascend with the partitions' numbers, so that the smallest class of a component has its smallest id.
+    numbered = first.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("class", F.monotonically_increasing_id())
+    classes = storage.stored(numbered, "near-classes")
 
     pairs = storage.stored(candidates(classes), "near-pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("degree"))
-    clusters = connected_components(pairs).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("degree"))
+    clusters = connected_components(pairs).select(F.col("node").alias("class"), F.col("component").alias("cluster"))
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
-    member = clusters.join(sizes, "cluster").select("rep", "cluster", chunks.alias("chunks"))
-    member = member.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    wanted = classes.select("rep", "text_hash").join(member, "rep")
-    chosen = base.join(wanted.withColumnRenamed("rep", "id"), ["id", "text_hash"]).select("id", "text", "cluster", "chunks", "chunk")
+    member = clusters.join(sizes, "cluster").select("class", "cluster", chunks.alias("chunks"))
+    member = member.withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int"))
+    wanted = classes.select("class", F.col("rep").alias("id"), "text_hash").join(member, "class")
+    chosen = base.join(wanted, ["id", "text_hash"]).select(F.col("class").alias("id"), "text", "cluster", "chunks", "chunk")
     sets = storage.stored(chosen.mapInArrow(_sets(n_words), "id long, cluster long, chunks int, chunk int, shingles binary"), "near-sets")
 
-    large = member.where("chunks > 1").join(ends, "rep")
-    hub = large.groupBy("cluster", F.pmod(F.hash("rep"), F.lit(HUBS)).alias("nth")).agg(F.max(F.struct("degree", "rep")).alias("hub"))
-    hubs = sets.join(hub.select(F.col("hub.rep").alias("id")), "id", "left_semi")
+    large = member.where("chunks > 1").join(ends, "class")
+    hub = large.groupBy("cluster", F.pmod(F.hash("class"), F.lit(HUBS)).alias("nth")).agg(F.max(F.struct("degree", "class")).alias("hub"))
+    hubs = sets.join(hub.select(F.col("hub.class").alias("id")), "id", "left_semi")
     everywhere = hubs.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     keys = ["cluster", "chunk"]
     dealt = sets.unionByName(everywhere).select(*keys, "id", "shingles").repartition(*keys).sortWithinPartitions(*keys)
-    linked = storage.stored(dealt.mapInArrow(_link(percent, keys), "a long, b long"), "near-links")
+    linked = dealt.mapInArrow(_link(percent, keys), "a long, b long").unionByName(_same_id(full.where(F.col("id") < last), classes))
+    linked = storage.stored(linked, "near-links")
     parts = connected_components(linked).select(F.col("node").alias("id"), F.col("component").alias("part"))
 
     # What is outside the main part of a cluster of several chunks is compared with all of the cluster, in blocks.
@@ -325,11 +341,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         linked = storage.stored(linked.unionByName(more), "near-links")
         parts = connected_components(linked).select(F.col("node").alias("id"), F.col("component").alias("part"))
 
-    reps = classes.select("digest", F.col("rep").alias("id")).join(parts, "id", "left").select("digest", F.coalesce("part", "id").alias("component"))
-    out = signed.select("id", "n", "digest").join(reps, "digest", "left")
+    root = F.coalesce("part", "class")
+    tops = classes.select(F.col("class").alias("root"), F.col("rep").alias("component"), F.col("text_hash").alias("top_hash"))
+    reps = classes.select("digest", "class").join(parts.withColumnRenamed("id", "class"), "class", "left").select("digest", "class", root.alias("root")).join(tops, "root")
+    out = signed.select("id", "text_hash", "n", "digest").join(reps, "digest", "left")
     component = F.coalesce("component", "id")
     given = lambda c: F.when(c < last, c)
-    return out.select(given(F.col("id")).alias(id_col), F.col("n").alias("n_shingles"), given(component).alias("component_id"), (F.col("id") == component).alias("kept"))
+    # Without an id, the smallest text hash of the smallest class is kept.
+    nameless = (F.col("class") == F.col("root")) & (F.col("text_hash") == F.col("top_hash"))
+    kept = F.when(F.col("digest").isNotNull() & (F.col("component") == last), nameless).otherwise(F.col("id") == component)
+    columns = [given(F.col("id")).alias(id_col), F.col("n").alias("n_shingles"), given(component).alias("component_id"), kept.alias("kept")]
+    return out.select(*columns, *(["text_hash"] if hashed else []))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -163,6 +163,26 @@ def test_near_dedup_edges(edge, empty):
     assert near_dedup.near_groups(empty).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [2, 512])
+def test_near_dedup_texts_of_one_id(spark, monkeypatch, chunk):
+    """Texts without an id are documents of their own; texts that share an id are one."""
+    monkeypatch.setattr(near_dedup, "CHUNK", chunk)
+    rng = np.random.default_rng(11)
+    text = [" ".join(f"w{x}" for x in rng.integers(0, 4000, 80)) for _ in range(9)]
+    rows = [(1, text[0]), (None, text[0] + " tail"), (None, text[1]), (None, text[2]), (None, text[3]), (None, text[3] + " tail"), (None, text[3] + " other tail")]
+    rows += [(7, text[4]), (7, text[5]), (8, text[4] + " tail"), (9, text[5] + " tail"), (6, text[6]), (None, text[7] + " Tail"), (None, text[7] + " tail"), (None, text[7] + " end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = near_dedup.near_groups(df, n_words=2, hashed=True).collect()
+    hashes = {r["h"]: r["text"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    by = {hashes[r["text_hash"]]: (r["doc_id"], r["component_id"], r["kept"]) for r in found}
+    assert len(found) == len(by) == len(rows)
+    assert by[text[0]] == (1, 1, True) and by[text[0] + " tail"] == (None, 1, False)
+    assert by[text[1]] == by[text[2]] == (None, None, True)
+    assert all(by[t][1] is None for t in by if t.startswith((text[3], text[7])))
+    assert [sum(k for t, (_, _, k) in by.items() if t.startswith(text[n])) for n in (3, 7)] == [1, 1]
+    assert [by[t] for t in (text[4], text[5], text[4] + " tail", text[5] + " tail", text[6])] == [(7, 7, True), (7, 7, True), (8, 7, False), (9, 7, False), (6, 6, True)]
+
+
 def test_lm_scores(spark):
     rng = np.random.default_rng(2)
     rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 6, rng.integers(0, 30)))) for i in range(50)]

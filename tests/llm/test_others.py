@@ -117,3 +117,23 @@ def test_pipeline(spark, tmp_path):
     assert max(mixed.count(i) for i in set(mixed)) <= 2 and set(mixed) <= set(far)
     packed = pipeline.STAGES[4][1](spark, docs, str(tmp_path))
     assert packed.select("doc_id").distinct().count() == len(set(mixed))
+
+
+def test_pipeline_texts_without_ids(spark, tmp_path):
+    """A near copy among texts without ids goes alone, and each is copied as often as the mix takes it."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = np.random.default_rng(4)
+    text = [" ".join(f"w{x}" for x in rng.integers(0, 4000, 60 + i)) for i in range(12)]
+    rows = [(1, text[0], "a")] + [(None, t, "a") for t in text[1:]] + [(None, text[0] + " tail", "a"), (None, text[5] + " tail", "a"), (4, "", "b"), (4, text[2] + " end", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    left = pipeline.drop_near_copies(spark, docs, str(tmp_path))
+    got = sorted(r["text"] for r in left.collect())
+    assert len(got) == 13 and sum(t.startswith(text[5]) for t in got) == 1
+    assert set(got) >= {"", text[0], text[2] + " end", *text[1:2], *text[3:5], *text[6:]}
+    ready = spark.createDataFrame([(None, t, f"s{i % 2}") for i, t in enumerate(text)], "doc_id long, text string, source string")
+    from gridweft.llm import mixing
+
+    taken = mixing.mix(ready).agg(F.sum("taken")).first()[0]
+    mixed = pipeline.mix_sources(spark, ready, str(tmp_path))
+    assert mixed.select(F.sum(mixing.word_count(F.col("text")))).first()[0] == taken
