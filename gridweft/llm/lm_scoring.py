@@ -1,17 +1,19 @@
 """Stupid-backoff language-model scores of all documents against the counts of all documents.
 
 Runs of documents are chunks, known by their contents. Each chunk explodes its n-grams of every order, counts equal
-ones and sends them to the partition that their hash falls into, packed: sorted hashes as differences, in byte planes.
-A partition of the count table sums what it gets and answers every chunk with the totals of the chunk's n-grams, in the
-same order. A chunk, which travels compressed to meet the answers, joins its words to the totals by place and sums
+ones and deals them to the count tables, one for each order, by ranges of their hashes. A range is a part: the table
+(hash, count) of all chunks, sorted and summed; its size follows from the input's, not from the session. The part is
+joined with the n-grams that asked for it, and the totals go back to the chunks, which join them to their words and sum
 scores per document.
 
-An n-gram is known by a 64-bit hash of its words.
+On the way rows are columns in blobs: sorted hashes as differences, in byte planes, compressed; totals in the order of
+the hashes. A chunk travels compressed to meet its totals. An n-gram is known by a 64-bit hash of its words.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,38 +21,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridweft import storage
 from gridweft.llm import tokens
 
-#: Text in a chunk, and parts of the count table for each shuffle partition.
-CHUNK_BYTES, PARTS = 4 << 20, 4
+#: Text in a chunk, text whose n-grams a part counts, and text behind the parts or chunks of a task.
+CHUNK_BYTES, PART_BYTES, TASK_BYTES = 12 << 20, 8 << 20, 32 << 20
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """The bytes of integers, all first bytes first."""
-    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+def _squeezed(x: np.ndarray) -> bytes:
+    """Integers as their size, then all first bytes first, compressed."""
+    planes = x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(planes, asbytes=True)
 
 
-def _unplanes(data: bytes, dtype: type) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(dtype).ravel()
+def _unsqueezed(data: bytes, dtype: type) -> np.ndarray:
+    planes = pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"))
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
 
 
-def _grams(column: pa.Array, order: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """Of a chunk: hashes of n-grams for n = 1..order, the place of each one's last word, and words of each document."""
-    hashes: list[list[np.ndarray]] = [[] for _ in range(order)]
-    places: list[list[np.ndarray]] = [[] for _ in range(order)]
-    counts, base = [], 0
-    for _, data, offsets in tokens.text_blocks(column):
-        words = tokens.Words(data, offsets)
-        h = words.hashes()
-        for n in range(1, order + 1):
-            at = tokens.whole_grams(words.first, n)
-            hashes[n - 1].append(tokens.ngrams(h, n)[at] if n > 1 else h)
-            places[n - 1].append(base + at + n - 1)
-        counts.append(words.counts)
-        base += len(words)
-    join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-    return [join(x, np.uint64) for x in hashes], [join(x, np.int64) for x in places], join(counts, np.int64)
+class _Chunk:
+    """The n-grams of a column of texts."""
+
+    def __init__(self, column: pa.Array):
+        hashes, first = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+        for _, data, offsets in tokens.text_blocks(column):
+            words = tokens.Words(data, offsets)
+            hashes.append(words.hashes())
+            first.append(first[-1][-1] + words.first[1:])
+        self.words, self.first = np.concatenate(hashes), np.concatenate(first)
+
+    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the n-grams, and the place of each one's last word."""
+        at = tokens.whole_grams(self.first, n)
+        return tokens.ngrams(self.words, n)[at] if n > 1 else self.words, at + n - 1
 
 
 def _cuts(hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -60,19 +63,20 @@ def _cuts(hashes: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """(name, rows of id and text) of runs of rows of about CHUNK_BYTES; a name is a hash of ids and texts."""
+    """(name, rows of id and text) of runs of rows of at most about CHUNK_BYTES; a name is a hash of ids and texts."""
     for batch in batches:
-        for row, data, offsets in tokens.text_blocks(batch.column(1), CHUNK_BYTES):
+        size = sum(len(data) for _, data, _ in tokens.text_blocks(batch.column(1)))
+        for row, data, offsets in tokens.text_blocks(batch.column(1), -(-size // max(1, -(-size // CHUNK_BYTES)))):
             rows = batch.slice(row, len(offsets) - 1)
-            seen = hashlib.blake2b(data.tobytes(), digest_size=8)
-            seen.update(offsets.tobytes())
+            seen = hashlib.blake2b(data, digest_size=8)
+            seen.update(offsets)
             seen.update(repr(rows.column(0).to_pylist()).encode())
             yield int.from_bytes(seen.digest(), "little", signed=True), rows
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(chunk, rows): each chunk as compressed bytes."""
-    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))
     for name, rows in _chunks(batches):
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, rows.schema, options=options) as writer:
@@ -81,74 +85,88 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _ask(order: int, parts: int):
+    """(n, part, chunk, grams, counts): the n-grams of a chunk in a part's range of hashes."""
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, chunk in _chunks(batches):
-            rows = []
-            for n, hashes in enumerate(_grams(chunk.column(1), order)[0], 1):
-                hashes, counts = np.unique(hashes, return_counts=True)
-                cuts = _cuts(hashes, parts)
-                for p in np.flatnonzero(np.diff(cuts)).tolist():
-                    own = hashes[cuts[p] : cuts[p + 1]]
-                    rows.append((n * parts + p, _planes(np.diff(own, prepend=np.uint64(0))), _planes(counts[cuts[p] : cuts[p + 1]].astype(np.uint32))))
-            part, grams, n = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([name] * len(part), pa.int64()), pa.array(grams, pa.binary()), pa.array(n, pa.binary())], names=["part", "chunk", "grams", "n"])
+        for name, rows in _chunks(batches):
+            chunk = _Chunk(rows.column(1))
+            for n in range(1, order + 1):
+                hashes, counts = np.unique(chunk.grams(n)[0], return_counts=True)
+                cuts, counts = _cuts(hashes, parts), counts.astype(np.uint32)
+                full = np.flatnonzero(np.diff(cuts)).tolist()
+                grams = [_squeezed(np.diff(hashes[cuts[p] : cuts[p + 1]], prepend=np.uint64(0))) for p in full]
+                times = [_squeezed(counts[cuts[p] : cuts[p + 1]]) for p in full]
+                keys = [pa.array([n] * len(full), pa.int32()), pa.array(full, pa.int64()), pa.array([name] * len(full), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(grams, pa.binary()), pa.array(times, pa.binary())], names=["n", "part", "chunk", "grams", "counts"])
 
     return ask
 
 
 def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Totals of each part for each chunk that asked; rows come sorted by part, one part is held at a time."""
+    """(chunk, n, part, totals) for every row that asked; rows come sorted by n and part, one part is held at a time."""
     held: list[tuple] = []
     last = None
 
     def answers() -> Iterator[pa.RecordBatch]:
-        grams = [np.cumsum(_unplanes(x[1], np.uint64), dtype=np.uint64) for x in held]
-        known, place = np.unique(np.concatenate(grams), return_inverse=True)
-        counts = np.concatenate([_unplanes(x[2], np.uint32) for x in held])
-        totals = np.bincount(place, weights=counts, minlength=len(known)).astype(np.int64)[place]
+        grams = [np.cumsum(_unsqueezed(x[1], np.uint64), dtype=np.uint64) for x in held]
         cuts = np.cumsum([len(g) for g in grams])[:-1]
-        blobs = [_planes(x) for x in np.split(totals, cuts)]
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int64()), pa.array([last] * len(held), pa.int64()), pa.array(blobs, pa.binary())], names=["chunk", "part", "totals"])
+        flat = np.concatenate(grams)
+        del grams
+        by = np.argsort(flat, kind="stable")
+        flat = flat[by]
+        first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+        size = np.diff(np.append(first, len(flat)))
+        del flat
+        sums = np.add.reduceat(np.concatenate([_unsqueezed(x[2], np.uint32) for x in held])[by], first, dtype=np.int64)
+        totals = np.empty(len(by), np.int64)
+        totals[by] = np.repeat(sums, size)
+        blobs = [_squeezed(x) for x in np.split(totals, cuts)]
+        n, part = last
+        columns = [pa.array([x[0] for x in held], pa.int64()), pa.array([n] * len(held), pa.int32()), pa.array([part] * len(held), pa.int64()), pa.array(blobs, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["chunk", "n", "part", "totals"])
 
     for batch in batches:
-        for part, chunk, grams, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if part != last:
+        for n, part, chunk, grams, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (n, part) != last:
                 if held:
                     yield from answers()
-                held, last = [], part
-            held.append((chunk, grams, n))
+                held, last = [], (n, part)
+            held.append((chunk, grams, counts))
     if held:
         yield from answers()
 
 
-def _score(order: int, alpha: float, least: int, words_in_all: int):
+def _score(order: int, alpha: float, least: int):
     def score(key: tuple, chunks: pa.Table, answers: pa.Table) -> pa.Table:
         # Chunks of equal contents have one name and equal answers.
-        by_part = dict(zip(answers.column("part").to_pylist(), answers.column("totals").to_pylist(), strict=True))
-        given = np.concatenate([np.zeros(0, np.int64), *(_unplanes(by_part[p], np.int64) for p in sorted(by_part))])
+        given: dict[int, dict[int, bytes]] = {n: {} for n in range(1, order + 1)}
+        for n, part, totals in zip(*(answers.column(c).to_pylist() for c in ("n", "part", "totals")), strict=True):
+            given[n][part] = totals
         return pa.concat_tables([one(pa.ipc.open_stream(x).read_all(), given) for x in chunks.column("rows").to_pylist()])
 
-    def one(table: pa.Table, given: np.ndarray) -> pa.Table:
-        hashes, places, counts = _grams(table.column(1), order)
-        total = int(counts.sum())
-        best = np.zeros(total)
-        depth = np.zeros(total, np.int64)
+    def one(table: pa.Table, given: dict[int, dict[int, bytes]]) -> pa.Table:
+        column = table.column(1).combine_chunks()
+        chunk = _Chunk(column.chunk(0) if isinstance(column, pa.ChunkedArray) else column)
+        counts = np.diff(chunk.first)
+        total = len(chunk.words)
+        best, depth = np.zeros(total), np.zeros(total, np.int8)
         before: np.ndarray | None = None
         for n in range(1, order + 1):
-            known, place = np.unique(hashes[n - 1], return_inverse=True)
-            if len(given) < len(known):
+            hashes, at = chunk.grams(n)
+            known, place = np.unique(hashes, return_inverse=True)
+            totals = np.concatenate([np.zeros(0, np.int64), *(_unsqueezed(given[n][p], np.int64) for p in sorted(given[n]))])
+            if len(totals) != len(known):
                 raise RuntimeError("the rows of a chunk were read in another order the second time; store the input first")
-            own, given = given[: len(known)][place], given[len(known) :]
+            own = totals[place]
             if n == 1:
-                best, depth = own / max(words_in_all, 1), np.ones(total, np.int64)
+                best, depth = own.astype(np.float64), np.ones(total, np.int8)
             else:
                 # The context is the (n-1)-gram that ends a word earlier; without enough counts the shorter score stays, times alpha.
-                at = places[n - 1]
                 seen = own >= least
                 best[at] = np.where(seen, own / np.maximum(before[at - 1], 1), alpha * best[at])
                 depth[at] = np.where(seen, n, depth[at])
             before = np.zeros(total, np.int64)
-            before[places[n - 1]] = own
+            before[at] = own
         doc = np.repeat(np.arange(len(counts)), counts)
         sums = np.bincount(doc, weights=np.log(best), minlength=len(counts)).astype(np.float64)  # of no words, whole numbers
         columns = [table.column(0), pa.array(counts, pa.int64()), pa.array(sums)]
@@ -171,14 +189,20 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    parts = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    asked = base.mapInArrow(_ask(order, parts), "part long, chunk long, grams binary, n binary")
-    totals = asked.repartition("part").sortWithinPartitions("part").mapInArrow(_total, "chunk long, part long, totals binary")
-    words = base.select(F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("n")).agg(F.sum("n")).first()[0] or 0
+    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-size // PART_BYTES))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    asked = base.mapInArrow(_ask(order, parts), "n int, part long, chunk long, grams binary, counts binary")
+    dealt = asked.repartition(tasks, "n", "part").sortWithinPartitions("n", "part")
+    totals = dealt.mapInArrow(_total, "chunk long, n int, part long, totals binary").repartition(tasks, "chunk")
+    chunks = base.mapInArrow(_pack, "chunk long, rows binary").repartition(tasks, "chunk")
     schema = "id long, n_words long, log_score double, " + ", ".join(f"n_order{n} long" for n in range(1, order + 1))
-    scored = base.mapInArrow(_pack, "chunk long, rows binary").groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(_score(order, alpha, least, words), schema)
+    scored = storage.stored(chunks.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(_score(order, alpha, least), schema), "lm-scores")
+    # Words that are scored by themselves still lack the number of all words as their denominator.
+    words = scored.agg(F.sum("n_words")).first()[0] or 0
+    log_score = F.col("log_score") - F.col("n_order1") * F.lit(math.log(max(words, 1)))
     mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
-    return scored.withColumn("mean_log_score", mean).withColumnRenamed("id", id_col)
+    return scored.withColumn("log_score", log_score).withColumn("mean_log_score", mean).withColumnRenamed("id", id_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
