@@ -70,10 +70,31 @@ def format_pairs(turns: DataFrame, pair: Column, chosen: Column, order: str = "t
     )
 
 
+def answer_swaps(turns: DataFrame, conv: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """Pairs from conversations alone, as turns (pair_id, is_chosen, turn, role, text); the pair is named as its conversation.
+
+    A conversation is the chosen one. The rejected one is the same up to its last assistant turn, which has the last
+    assistant text of the conversation whose number differs in the lowest bit; it ends there. Where either has no
+    assistant turn, both are the conversation itself. Of equally numbered assistant turns the last is the one with the
+    largest text, null smallest. Rows with a null conversation belong to none. Other columns are not read.
+    """
+    rows = turns.select(*(F.col(c).alias(n) for c, n in ((conv, "conv"), (order, "turn"), (role, "role"), (text, "text")))).where("conv IS NOT NULL")
+    last = rows.where("role = 'assistant'").groupBy("conv").agg(F.max(F.struct("turn", "text")).alias("last"))
+    swap = last.select(F.col("conv").bitwiseXOR(1).alias("conv"), F.struct(F.col("last.text").alias("text")).alias("swap"))
+    both = rows.join(last.join(swap, "conv"), "conv", "left")
+    at, end = F.struct("turn", "role", "text"), F.struct(F.col("last.turn"), F.lit("assistant").alias("role"), F.col("last.text"))
+    is_last = F.col("turn").eqNullSafe(F.col("last.turn")) & F.col("text").eqNullSafe(F.col("last.text")) & F.coalesce(F.col("role") == "assistant", F.lit(False))
+    of = lambda chosen, said: F.struct(F.lit(chosen).alias("is_chosen"), said.alias("text"))
+    own = of(True, F.col("text"))
+    rejected = F.when(F.col("swap").isNull(), of(False, F.col("text"))).when(is_last, of(False, F.col("swap.text"))).when(at < end, of(False, F.col("text")))
+    sides = both.select("conv", "turn", "role", F.explode(F.array_compact(F.array(own, rejected))).alias("side"))
+    return sides.select(F.col("conv").alias("pair_id"), "side.is_chosen", "turn", "role", "side.text")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op5: conversations 2k (chosen) and 2k + 1 (rejected) as preference pairs; spans as text."""
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    found = format_pairs(turns, F.shiftright("conv_id", 1), F.col("conv_id").bitwiseAND(1) == 0)
+    """op5: every conversation against itself with another last answer; spans as text."""
+    turns = answer_swaps(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    found = format_pairs(turns, F.col("pair_id"), F.col("is_chosen"))
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat(s["begin"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",")
     return found.withColumns({"chosen_spans": text("chosen_spans"), "rejected_spans": text("rejected_spans")})
 
@@ -81,11 +102,20 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = r"""
 WITH t AS (
   SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS nth FROM t
+), l AS (
+  SELECT conv_id, max(nth) AS last FROM o WHERE role = 'assistant' GROUP BY conv_id
+), s AS (
+  SELECT l.conv_id, l.last, b.text AS swap FROM l JOIN l k ON k.conv_id = xor(l.conv_id, 1) JOIN o b ON b.conv_id = k.conv_id AND b.nth = k.last
+), u AS (
+  SELECT conv_id, 0 AS side, turn, role, text FROM t
+  UNION SELECT o.conv_id, 1, turn, role, CASE WHEN nth = last THEN swap ELSE text END FROM o LEFT JOIN s ON s.conv_id = o.conv_id WHERE last IS NULL OR nth <= last
 ), r AS (
-  SELECT conv_id >> 1 AS pair_id, conv_id & 1 AS side, role, text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos,
+  SELECT conv_id AS pair_id, side, role, text,
+         row_number() OVER (PARTITION BY conv_id, side ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos,
          '<|' || coalesce(role, 'unknown') || '|>' || chr(10) AS header,
-         replace(coalesce(text, ''), '<|', '< |') || chr(10) AS body FROM t
+         replace(coalesce(text, ''), '<|', '< |') || chr(10) AS body FROM u
 ), m AS (
   SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.pos, b.pos) AS pos,
          a.pos IS NOT NULL AND b.pos IS NOT NULL AND a.role IS NOT DISTINCT FROM b.role AND a.text IS NOT DISTINCT FROM b.text AS same

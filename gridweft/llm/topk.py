@@ -1,11 +1,13 @@
 """Exact top-k by inner product with block-at-a-time pruning.
 
-Candidates lie in blocks of consecutive ids with the least and greatest value of each dimension. For a query, the sum
-of what each dimension can add at most bounds a block. Blocks are visited from the highest bound on and scored through
-their vectors, until no bound reaches the k-th score found.
-
-A unit of work is a group of blocks and a block of queries, so that neither the query set nor the candidates are ever
-held whole; each unit gives k rows a query, which a ranking over the query's rows merges.
+Candidates are put in the order of their largest dimensions, so that vectors that point the same way stand together,
+and cut into blocks, each with the least and greatest value of every dimension. For a query, the sum of what each
+dimension can add at most bounds a block. Blocks are visited from the highest bound on and scored through their
+vectors, until no bound reaches the k-th score found.
+
+A unit of work is a group of candidates and a block of queries, so that neither the query set nor the candidates are
+ever held whole; each unit gives k rows a query, which a ranking over the query's rows merges. Groups are dealt by hash,
+so each has a share of every direction and finds a k-th score close to that of all candidates in its first blocks.
 """
 
 from __future__ import annotations
@@ -17,16 +19,18 @@ from pyspark.sql import functions as F
 
 #: Vectors in a block, in a group of blocks, and queries in a unit.
 BLOCK, GROUP, QUERIES = 256, 16384, 4096
-#: Components are clamped to this size, so that integers stay exact.
-LARGEST = float(2**53)
+#: Components from this size on are an error, as are scores that don't fit 64 bits.
+LARGEST = float(2**62)
 
 
 def quantised(vector: Column, scale: int = 256) -> Column:
     """floor(scale * x) of every component; null for vectors that are null or hold null, NaN or infinite components."""
+    value = lambda x: F.floor(x.cast("double") * scale)
+    too_large = lambda x: F.raise_error(F.concat(F.lit("a component is too large for a 64-bit score: "), x.cast("string")))
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
     return F.when(
         vector.isNotNull() & F.coalesce(fine, F.lit(False)),
-        F.transform(vector, lambda x: F.floor(F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), x.cast("double") * scale)))),
+        F.transform(vector, lambda x: F.when(F.abs(x.cast("double") * scale) < LARGEST, value(x)).otherwise(too_large(x).cast("long"))),
     )
 
 
@@ -51,13 +55,31 @@ def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """a @ b.T in whole numbers: in doubles where every sum stays below 2**53, else in Python's integers."""
     if a.shape[1] * float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) < 2.0**53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return np.clip(a.astype(object) @ b.astype(object).T, -(2**63), 2**63 - 1).astype(np.int64)
+    return a.astype(object) @ b.astype(object).T
+
+
+def _scores(a: np.ndarray, b: np.ndarray, left_out: np.ndarray) -> np.ndarray:
+    """_exact() as 64-bit integers, with 0 for pairs that are left out."""
+    out = _exact(a, b)
+    if out.dtype == object:
+        out[left_out] = 0
+        if out.size and max(out.max(), -out.min()) >= 2**63:
+            raise OverflowError("a score doesn't fit 64 bits")
+    return out.astype(np.int64)
+
+
+def in_blocks(vectors: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """An order of vectors by their three largest dimensions and their signs, by ids within each block."""
+    largest = np.argsort(-np.abs(vectors), axis=1, kind="stable")[:, :3]
+    signed = 2 * largest + (np.take_along_axis(vectors, largest, 1) < 0)
+    order = np.lexsort((ids, *signed.T[::-1]))
+    return order[np.lexsort((ids[order], np.arange(len(ids)) // BLOCK))]
 
 
 def search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
     """(scores, ids) of the k best vectors of each query, best first, and how many blocks were scored for a query in all.
 
-    ``ids`` ascend. A query's own id is no candidate; places without a candidate have id -1.
+    ``ids`` ascend within each block of rows. A query's own id is no candidate; places without a candidate have id -1.
     """
     low = np.iinfo(np.int64).min
     top, who = np.full((len(queries), k), low), np.full((len(queries), k), -1, np.int64)
@@ -77,8 +99,9 @@ def search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids:
         for b in np.unique(block[open_]):
             rows = open_[block[open_] == b]
             own = slice(starts[b], starts[b] + BLOCK)
-            scores, found = _exact(queries[rows], vectors[own]), ids[own]
+            found = ids[own]
             same = found[None, :] == query_ids[rows][:, None]
+            scores = _scores(queries[rows], vectors[own], same)
             best = np.argsort(np.where(same, np.iinfo(np.int64).max, -scores), axis=1, kind="stable")[:, :k]
             new, new_ids = np.take_along_axis(scores, best, 1), found[best]
             new_ids = np.where(np.take_along_axis(same, best, 1), -1, new_ids)
@@ -94,7 +117,7 @@ def search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
     """The k highest inner products of every query: (query_id, rank, vec_id, score); fewer where candidates are fewer.
 
-    Components are floor(scale * x), clamped to 2**53. Ties go to the smaller id. Vectors that are null or hold null,
+    Components are floor(scale * x); one of 2**62 or more, and a score beyond 64 bits, is an error. Ties go to the smaller id. Vectors that are null or hold null,
     NaN or infinite components, and rows without an id, take no part; an empty vector, and what a shorter vector lacks,
     counts as zeros. A query id that is repeated is asked once, with its least vector; a candidate that is repeated
     counts each time. Rows with the query's id are no candidates. Other columns are not read. Empty tables give no rows.
@@ -103,17 +126,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     rows, asked = named(vectors), named(queries).groupBy("id").agg(F.min("v").alias("v"))
     groups, blocks = -(-max(1, vectors.count()) // GROUP), -(-max(1, queries.count()) // QUERIES)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(int(n) - 1)))
-    rows = rows.withColumn("g", F.pmod(F.xxhash64(F.floor(F.col("id") / BLOCK)), F.lit(groups)).cast("int")).withColumn("q", every(blocks))
+    rows = rows.withColumn("g", F.pmod(F.xxhash64("id", "v"), F.lit(groups)).cast("int")).withColumn("q", every(blocks))
     asked = asked.withColumn("q", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("g", every(groups))
 
     def unit(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["query_id", "vec_id", "score"]
         if not len(left) or not len(right):
             return pa.table([pa.array([], pa.int64())] * 3, names=names)
-        left, right = left.sort_by("id"), right.sort_by("id")
         width = max(_width(left.column("v")), _width(right.column("v")), 1)
         ids, query_ids = left.column("id").to_numpy(), right.column("id").to_numpy()
-        top, who, _ = search(_matrix(right.column("v"), width), query_ids, _matrix(left.column("v"), width), ids, k)
+        among = _matrix(left.column("v"), width)
+        order = in_blocks(among, ids)
+        top, who, _ = search(_matrix(right.column("v"), width), query_ids, among[order], ids[order], k)
         found = who >= 0
         return pa.table([pa.array(np.repeat(query_ids, k).reshape(-1, k)[found]), pa.array(who[found]), pa.array(top[found])], names=names)
 

@@ -64,6 +64,43 @@ def test_preferences(spark):
     assert preferences.format_pairs(df.where("false"), F.col("conv_id"), F.lit(True)).count() == 0
 
 
+def brute_pair(own, other):
+    """Chosen and rejected turns of one conversation: sorted (turn, role, text), null first."""
+    order = lambda rows: sorted(rows, key=lambda t: [(x is not None, x) for x in t])
+    own, other = order(set(own)), order(set(other))
+    last, swap = (next((t for t in reversed(c) if t[1] == "assistant"), None) for c in (own, other))
+    if last is None or swap is None:
+        return own, own
+    return own, order({*own[: own.index(last)], (last[0], "assistant", swap[2])})
+
+
+def test_answer_swaps(spark):
+    """Random conversations, which share their turns up to the last answer, against brute force."""
+    rng = np.random.default_rng(9)
+    texts, roles = [None, "", "a", "b", "<| c", "Ünï"], ["user", "assistant", "system", None]
+    convs = {i: [(int(k) if k < 5 else None, roles[rng.integers(0, 4)], texts[rng.integers(0, 6)]) for k in rng.integers(0, 7, rng.integers(0, 8))] for i in range(60)}
+    df = spark.createDataFrame([(i, *t, "x") for i, c in convs.items() for t in c] + [(None, 1, "assistant", "q", "x")], "conv_id long, turn long, role string, text string, side string")
+    pairs = preferences.answer_swaps(df)
+    got = {r["pair_id"]: r for r in preferences.format_pairs(pairs, F.col("pair_id"), F.col("is_chosen")).collect()}
+    shown = lambda t: f"<|{t[1] or 'unknown'}|>\n{(t[2] or '').replace('<|', '< |')}\n"
+    assert set(got) == {i for i, c in convs.items() if c}
+    for i, r in got.items():
+        a, b = brute_pair(convs[i], convs.get(i ^ 1, []))
+        n = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x[1:] != y[1:]), min(len(a), len(b)))
+        assert (r["n_common"], r["prompt"]) == (n, "".join(map(shown, a[:n])))
+        for side, turns in (("chosen", a), ("rejected", b)):
+            assert r[side] == "".join(map(shown, turns[n:]))
+            assert [r[side][s:e] for s, e in r[f"{side}_spans"]] == [shown(t).split("|>\n", 1)[1] for t in turns[n:] if t[1] == "assistant"]
+    assert preferences.answer_swaps(df.where("false")).count() == 0
+
+
+def test_swaps_share_turns(spark):
+    df = spark.createDataFrame([(i, k, "assistant" if k % 2 else "user", f"{i}:{k}") for i in range(6) for k in range(4)], "conv_id long, turn long, role string, text string")
+    rows = preferences.format_pairs(preferences.answer_swaps(df), F.col("pair_id"), F.col("is_chosen")).collect()
+    assert [r["n_common"] for r in rows] == [3] * 6
+    assert {r["pair_id"]: r["rejected"] for r in rows} == {i: f"<|assistant|>\n{i ^ 1}:3\n" for i in range(6)}
+
+
 @pytest.mark.parametrize("block", [4, 256])
 def test_topk(spark, monkeypatch, block):
     monkeypatch.setattr(topk, "BLOCK", block)
@@ -91,6 +128,56 @@ def test_topk_prunes():
     assert ids.tolist() == [[0, 1, 2]] and visits == 1
 
 
+def test_topk_large_components(spark):
+    """Beyond 2**53 scores stay whole numbers; what 64 bits can't hold is an error."""
+    rows = [(1, [2.0**40, 3.0]), (2, [2.0**5 + 1, -1.0]), (3, [2.0**5, 1.0 + 2.0**-8])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["vec_id"], r["score"]) for r in topk.top_k(df, df.where("vec_id = 1"), k=2).orderBy("rank").collect()]
+    assert got == [(2, 2**48 * 33 * 256 - 3 * 2**16), (3, 2**48 * 2**13 + 768 * 257)]
+    for large in ([2.0**53, 1.0], [2.0**40, 1.0]):
+        more = df.unionByName(spark.createDataFrame([(4, large), (6, large)], df.schema))
+        with pytest.raises(Exception, match="64-bit|64 bits"):
+            topk.top_k(more, more.where("vec_id = 4")).collect()
+
+
+def test_topk_visits_few_blocks_of_clusters():
+    """Vectors near one of 32 centres, dealt at random: in blocks by direction most are never scored."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(32, 64))
+    vectors = np.floor(256 * (centres[rng.integers(0, 32, 16384)] + 0.1 * rng.normal(size=(16384, 64)))).astype(np.int64)
+    ids = np.arange(16384)
+    order = topk.in_blocks(vectors, ids)
+    top, who, visits = topk.search(vectors[:200], ids[:200], vectors[order], ids[order], 5)
+    scores = np.where(np.eye(16384, dtype=bool)[:200], -(2**62), vectors[:200] @ vectors.T)
+    assert (top == -np.sort(-scores, axis=1)[:, :5]).all()
+    assert visits < 0.25 * 200 * 64
+
+
+CLASHES = ["_id", "_digest", "_copies", "_nth", "selected", "expected_grade", "id", "mark", "digest", "copies", "nth", "text_hash", "taken", "c0", "c1", "size", "range", "key", "class", "cluster", "keep_id", "kept"]
+
+
+def test_pipeline_stages_keep_clashing_columns(spark, tmp_path):
+    """Every stage returns what users have in columns that the operators might use, and runs on an empty table."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(1, "one two three four five six"), (2, None), (3, ""), (4, " \t\n "), (5, "one two three four five six"), (5, "one two three four five six"), (6, "word " * 3000), (None, "nameless row"), (7, "Ünï cödé")]
+    docs = spark.createDataFrame([(i, t, None if i is None else "ab"[i % 2], *[f"{c}{i}" for c in CLASHES]) for i, t in rows], "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in CLASHES))
+    spark.createDataFrame([(1, 1, 0), (7, 1, 0), (2, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    given = {(r["doc_id"], r["text"]): tuple(r) for r in docs.collect()}
+    counts = []
+    for _, stage in pipeline.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        found = out.collect()
+        assert all(tuple(r) == given[(r["doc_id"], r["text"])] for r in found)
+        counts.append(sorted(str(r["doc_id"]) for r in found))
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
+    assert counts[0] == sorted(str(i) for i, _ in rows) and counts[1] == sorted(["3", "4", "5", "6", "7", "None"])
+    assert counts[2] == sorted(["1", "2", "3", "4", "6", "7", "None"]) and "2" not in counts[3]
+    _, stage = pipeline.STAGES[4]
+    assert stage(spark, docs, str(tmp_path)).select("doc_id").distinct().count() == 8
+    assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     rng = np.random.default_rng(3)
