@@ -13,9 +13,31 @@ from gridweft import storage
 from gridweft.llm import exact_dedup, mixing, near_dedup, packing, quality
 
 
-def _id() -> Column:
-    """An id that null joins by."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+#: Stands for a null id, so that null joins with null.
+NO_ID = -(2**63)
+
+
+class _Numbered:
+    """Documents with numbers for names, c0, c1 and so on, so that no column of theirs clashes with one of an operator's."""
+
+    def __init__(self, docs: DataFrame):
+        self.columns = docs.columns
+        self.own = [f"c{i}" for i in range(len(self.columns))]
+        self.df = docs.toDF(*self.own)
+        self.id, self.text, self.source = (self.own[self.columns.index(c)] for c in ("doc_id", "text", "source"))
+
+    def keyed(self, mark: Column) -> DataFrame:
+        """With the columns id, null as NO_ID, and mark in front."""
+        return self.df.select(F.coalesce(F.col(self.id).cast("long"), F.lit(NO_ID)).alias("id"), mark.alias("mark"), *self.own)
+
+    def named(self, df: DataFrame) -> DataFrame:
+        """The documents' columns under their names again."""
+        return df.select(*self.own).toDF(*self.columns)
+
+
+def _decided(rows: DataFrame, mark: str, *more: Column) -> DataFrame:
+    """(id, mark, ...) of an operator's rows, to join with keyed documents."""
+    return rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col(mark).alias("mark"), *more)
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,35 +45,59 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier grades as good; what it rejects goes."""
+    """Documents that the classifier grades as good; what it rejects goes.
+
+    Null and empty texts have the features of a text without words and are judged by them; repeated rows are judged
+    alike. Labels count once an id, with their lowest grade; without labels all documents stay. No rows give no rows.
+    """
+    rows = _Numbered(docs)
     model = quality.train(docs, quality.label_grades(_labels(spark, sf_dir)), 3)
-    return quality.grade(docs, model, 2, carry=True).where("selected").select(*docs.columns)
+    return rows.named(quality.grade(rows.df, model, 2, rows.id, rows.text, carry=True).where("selected"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text: that with the largest id; of rows repeated whole, one."""
-    kept = exact_dedup.dedup_exact(docs).where("kept").select(_id().alias("_id"), F.col("digest").alias("_digest"))
-    digest = exact_dedup.sha256_digest(F.coalesce("text", F.lit("")))
-    rows = docs.withColumns({"_id": _id(), "_digest": digest})
-    return rows.join(kept, ["_id", "_digest"], "left_semi").dropDuplicates(["_id", "_digest"]).select(*docs.columns)
+    """One document of each text: that with the largest id.
+
+    Null counts as the empty text, so that of all such documents one stays. A null id is below all others. Of rows that
+    share id and text any one stays, whole. No rows give no rows.
+    """
+    rows = _Numbered(docs)
+    kept = _decided(exact_dedup.dedup_exact(docs).where("kept"), "digest")
+    digest = exact_dedup.sha256_digest(F.coalesce(F.col(rows.text), F.lit("")))
+    return rows.named(rows.keyed(digest).join(kept, ["id", "mark"], "left_semi").dropDuplicates(["id", "mark"]))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, on five-word shingles at a similarity of 0.8: the smallest id."""
-    kept = near_dedup.near_groups(docs, hashed=True).where("kept").select(_id().alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.withColumns({"_id": _id(), "_hash": F.xxhash64("text")}).join(kept, ["_id", "_hash"], "left_semi").select(*docs.columns)
+    """One document of each near-duplicate group, on five-word shingles at a similarity of 0.8: the smallest id.
+
+    Null and empty texts are near nothing and stay. A null id is above all others, and texts without an id are
+    documents of their own; rows that share an id are one document and stay or go together. No rows give no rows.
+    """
+    rows = _Numbered(docs)
+    kept = _decided(near_dedup.near_groups(docs, hashed=True).where("kept"), "text_hash").distinct()
+    return rows.named(rows.keyed(F.xxhash64(rows.text)).join(kept, ["id", "mark"], "left_semi"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, up to twice; documents that it doesn't take go."""
-    mixed = mixing.mix(docs, quality=mixing.label_weights(_labels(spark, sf_dir)), hashed=True)
-    copies = mixed.where("taken > 0").groupBy(_id().alias("_id"), F.col("text_hash").alias("_hash")).agg(F.max(F.expr("taken div size")).cast("int").alias("_copies"))
-    rows = docs.withColumns({"_id": _id(), "_hash": F.xxhash64("text")}).join(copies, ["_id", "_hash"])
-    return rows.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """Each document as often as the mix takes it, up to twice; documents that it doesn't take go.
+
+    Null and empty texts have no words and are never taken. A null source is a source of its own. Ties of the sampling
+    key are ordered by id, size and text; rows that share id and text are each taken as often as the one that is taken
+    most. No rows give no rows.
+    """
+    rows = _Numbered(docs)
+    mixed = mixing.mix(docs, quality=mixing.label_weights(_labels(spark, sf_dir)), hashed=True).where("taken > 0")
+    copies = _decided(mixed, "text_hash", F.expr("taken div size").cast("int").alias("copies")).groupBy("id", "mark").agg(F.max("copies").alias("copies"))
+    taken = rows.keyed(F.xxhash64(rows.text)).join(copies, ["id", "mark"])
+    return rows.named(taken.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies")))))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in sequences of at most 2048 tokens."""
+    """All documents in sequences of at most 2048 tokens.
+
+    Null and empty texts are one token, the end of a document. Repeated rows are packed as often as they occur. No rows
+    give no rows.
+    """
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
