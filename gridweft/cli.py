@@ -86,8 +86,19 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         other = load(spark, args.other, args.eqbd)
         if args.mrid:
             row = D.diff_single(grid, other, args.mrid, args.type).first()
-            print(row["status"])
-            return {"same": 0, "type_mismatch": 2}.get(row["status"], 1)
+            if row is None or row["status"] == "not_found":
+                print(f"No object found with mRID '{args.mrid}' in either file", file=sys.stderr)
+                return 1
+            if row["status"] == "type_mismatch":
+                print(f"eq diff: object '{args.mrid}' is of type '{row['type']}', not '{args.type}'", file=sys.stderr)
+                return 2
+            if args.summary:
+                show(D.diff_summary_text(*D.single(grid, other, args.mrid)), "line")
+            elif args.json:
+                show(D.diff_ndjson(*D.single(grid, other, args.mrid)), "line")
+            else:
+                show(D.single_text(grid, other, args.mrid, args.path, args.other).orderBy("sort_id"), "line")
+            return int(row["status"] != "same")
         types = [args.type] if args.type else None
         if args.summary:
             show(D.diff_summary_text(grid, other, types).orderBy("type"), "line")
@@ -101,8 +112,8 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             print(f"{r['distance']}  {r['type']}  {r['id']}")
     else:
         conversion = Conversion(grid)
-        for r in conversion.totals().collect():
-            print(f"{r['metric']}: {r['n']}", file=sys.stderr)
+        for r in conversion.totals().orderBy("nth").collect():
+            print(f"{r['metric']}: {r['n']}")
         text = sinks.NetworkJson(conversion).documents().first()["json"] + "\n"
         if args.output:
             with open(args.output, "w") as file:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridweft.functions.scalars import strip_hash, strip_underscore
+from gridweft.storage import stored
 
 NAME, MRID = "IdentifiedObject.name", "IdentifiedObject.mRID"
 KEY = ["model", "id"]
@@ -28,8 +29,8 @@ class Grid:
     @cached_property
     def by_id(self) -> DataFrame:
         """One object an id: the last in document order."""
-        last = F.max_by(F.struct("doc_pos", "type", "close_pos", "src_part"), F.col("doc_pos")).alias("o")
-        return self.objects.groupBy(*KEY).agg(last).select(*KEY, "o.*")
+        last = F.max(F.struct("doc_pos", "type", "close_pos", "src_part")).alias("o")
+        return stored(self.objects.groupBy(*KEY).agg(last).select(*KEY, "o.*"), "by-id")
 
     def of_type(self, *types: str) -> DataFrame:
         """Objects of classes."""
@@ -102,15 +103,11 @@ class Grid:
     def hops(self) -> DataFrame:
         """Numbered references of every object: (model, subj, n, pred, target), in document order from 1."""
         refs = self.triples.where("ref IS NOT NULL")
-        from pyspark.sql import Window
-
         n = F.row_number().over(Window.partitionBy("model", "subj_pos").orderBy("pos"))
         return refs.select("model", "subj", n.alias("n"), "pred", strip_hash(F.col("ref")).alias("target"))
 
     def neighbourhood(self, start: Column, hops: int) -> DataFrame:
         """Objects within so many references of those that ``start`` selects: (model, id, distance), the least distance."""
-        from gridweft.storage import stored
-
         edges = stored(self.hops().select("model", F.col("subj").alias("id"), F.col("target").alias("next")).distinct(), "hops")
         known = stored(self.by_id.where(start).select("model", "id", F.lit(0).alias("distance")), "reach")
         for d in range(1, hops + 1):

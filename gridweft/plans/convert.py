@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +15,8 @@ from gridweft.storage import stored
 KEY = ["model", "id"]
 UNITS = ["HydroGeneratingUnit", "NuclearGeneratingUnit", "SolarGeneratingUnit", "ThermalGeneratingUnit", "WindGeneratingUnit", "GeneratingUnit"]
 LARGEST_DOUBLE = 1.7976931348623157e308
+#: Labels of the summary, in order.
+METRICS = ["Substations", "VoltageLevels", "BusbarSections", "Switches", "Loads", "Shunts", "StaticVarCompensators", "Generators", "2-winding transformers", "3-winding transformers", "Lines"]
 
 
 def _or(c: str, other: float) -> Column:
@@ -331,13 +333,9 @@ class Conversion:
         return rows.join(second, "model", "left").select("model", "doc_pos", F.col("mrid").alias("id"), "nominal_v", source.alias("source"))
 
     def totals(self) -> DataFrame:
-        """(model, metric, n): the counts of a conversion; metrics without elements are left out."""
-        tables = {
-            "substations": self.substations, "voltage levels": self.voltage_levels, "busbar sections": self.busbars, "switches": self.switches, "loads": self.loads, "shunts": self.shunts,
-            "static var compensators": self.svcs, "generators": self.generators, "two-winding transformers": self.two_windings, "three-winding transformers": self.three_windings, "lines": self.lines,
-        }
-        out = None
-        for metric, table in tables.items():
-            one = table().groupBy("model").agg(F.count(F.lit(1)).alias("n")).select("model", F.lit(metric).alias("metric"), "n")
-            out = one if out is None else out.unionByName(one)
-        return out
+        """(model, nth, metric, n): the eleven counts of a conversion in their order, 0 where a model has no such element."""
+        named = zip(METRICS, (self.substations, self.voltage_levels, self.busbars, self.switches, self.loads, self.shunts, self.svcs, self.generators, self.two_windings, self.three_windings, self.lines), strict=True)
+        counts = [table().groupBy("model").agg(F.count(F.lit(1)).alias("n")).select("model", F.lit(metric).alias("metric"), "n") for metric, table in named]
+        every = F.posexplode(F.array(*[F.lit(metric) for metric in METRICS])).alias("nth", "metric")
+        rows = self.grid.objects.select("model").distinct().select("model", every)
+        return rows.join(reduce(DataFrame.unionByName, counts), ["model", "metric"], "left").select("model", "nth", "metric", F.coalesce("n", F.lit(0)).alias("n"))

@@ -43,54 +43,78 @@ def table_query(sql: str):
 _first = lambda c, pred: f"arg_min({c}, pos) FILTER (WHERE pred = '{pred}' AND {c} IS NOT NULL)"
 _switches, _numbered = ", ".join(f"'{x}'" for x in SWITCHES), ", ".join(f"'{x}'" for x in NUMBERED)
 
+#: Columns of the oracles' view of objects: properties and references by name.
+_TEXTS = {
+    "mrid": "IdentifiedObject.mRID", "name": "IdentifiedObject.name", "seq": "ACDCTerminal.sequenceNumber", "open": "Switch.open", "retained": "Switch.retained", "sections": "ShuntCompensator.sections", "most": "ShuntCompensator.maximumSections",
+    "bsec": "LinearShuntCompensator.bPerSection", "line_r": "ACLineSegment.r", "line_x": "ACLineSegment.x", "bch": "ACLineSegment.bch", "gch": "ACLineSegment.gch", "series_r": "SeriesCompensator.r", "series_x": "SeriesCompensator.x",
+    "minq": "SynchronousMachine.minQ", "maxq": "SynchronousMachine.maxQ", "rated_s": "RotatingMachine.ratedS", "q_percent": "SynchronousMachine.qPercent", "control": "RegulatingCondEq.controlEnabled", "bmin": "StaticVarCompensator.bMin", "bmax": "StaticVarCompensator.bMax",
+    "minp": "GeneratingUnit.minOperatingP", "maxp": "GeneratingUnit.maxOperatingP", "infinite": "OperationalLimitType.isInfiniteDuration", "value": "CurrentLimit.value", "normal": "CurrentLimit.normalValue", "voltage": "VoltageLimit.normalValue", "nominal": "BaseVoltage.nominalVoltage",
+    "end_number": "TransformerEnd.endNumber", "end_u": "PowerTransformerEnd.ratedU", "end_r": "PowerTransformerEnd.r", "end_x": "PowerTransformerEnd.x", "end_g": "PowerTransformerEnd.g", "end_b": "PowerTransformerEnd.b", "end_s": "PowerTransformerEnd.ratedS",
+    "low_step": "TapChanger.lowStep", "high_step": "TapChanger.highStep", "neutral_step": "TapChanger.neutralStep", "normal_step": "TapChanger.normalStep", "ltc": "TapChanger.ltcFlag", "increment": "RatioTapChanger.stepVoltageIncrement",
+    "point_r": "TapChangerTablePoint.r", "point_x": "TapChangerTablePoint.x", "point_ratio": "TapChangerTablePoint.ratio", "angle": "PhaseTapChangerTablePoint.angle", "xvalue": "CurveData.xvalue", "y1": "CurveData.y1value", "y2": "CurveData.y2value",
+    "exponential": "LoadResponseCharacteristic.exponentModel", "np": "LoadResponseCharacteristic.pVoltageExponent", "c0p": "LoadResponseCharacteristic.pConstantPower",
+    "scenario": "Model.scenarioTime", "created": "Model.created", "authority": "Model.modelingAuthoritySet", "description": "Model.description", "version": "Model.version",
+}
+_REFS = {
+    "cn": "Terminal.ConnectivityNode", "eq": "Terminal.ConductingEquipment", "box": "ConnectivityNode.ConnectivityNodeContainer", "bay_vl": "Bay.VoltageLevel", "home": "VoltageLevel.Substation", "vl_base": "VoltageLevel.BaseVoltage", "eq_base": "ConductingEquipment.BaseVoltage",
+    "region": "Substation.Region", "country": "SubGeographicalRegion.Region", "unit": "RotatingMachine.GeneratingUnit", "machine_kind": "SynchronousMachine.type", "curve": "SynchronousMachine.InitialReactiveCapabilityCurve", "control_ref": "RegulatingCondEq.RegulatingControl",
+    "wind": "WindGeneratingUnit.windGenUnitType", "fuel_unit": "FossilFuel.ThermalGeneratingUnit", "fuel": "FossilFuel.fossilFuelType", "control_mode": "RegulatingControl.mode", "control_terminal": "RegulatingControl.Terminal", "svc_mode": "StaticVarCompensator.regulationMode",
+    "response": "EnergyConsumer.LoadResponse", "set_terminal": "OperationalLimitSet.Terminal", "set_id": "OperationalLimit.OperationalLimitSet", "type_id": "OperationalLimit.OperationalLimitType", "direction": "OperationalLimitType.direction", "of_curve": "CurveData.Curve",
+    "transformer": "PowerTransformerEnd.PowerTransformer", "end_terminal": "TransformerEnd.Terminal", "ratio_end": "RatioTapChanger.TransformerEnd", "ratio_table": "RatioTapChanger.RatioTapChangerTable", "phase_end": "PhaseTapChanger.TransformerEnd", "phase_table": "PhaseTapChanger.PhaseTapChangerTable",
+    "of_ratio": "RatioTapChangerTablePoint.RatioTapChangerTable", "of_phase": "PhaseTapChangerTablePoint.PhaseTapChangerTable", "area_kind": "ControlArea.type", "area": "TieFlow.ControlArea", "flow_terminal": "TieFlow.Terminal",
+}
+_bare = lambda c: f"CASE WHEN starts_with({c}, '#') THEN substr({c}, 2) ELSE {c} END"
+_columns = [f"{_first('text', p)} AS \"{a}\"" for a, p in _TEXTS.items()] + [f"{_bare(_first('ref', p))} AS \"{a}\"" for a, p in _REFS.items()]
+
 #: Views that several oracles read. No object of the star model repeats a reference, so the first one is the only one.
 _COMMON = f"""
-attrs AS (
-  SELECT subj_pos, {_first('text', 'IdentifiedObject.mRID')} AS mrid, {_first('text', 'IdentifiedObject.name')} AS name,
-         {', '.join(f"{_first('text', p)} AS {a}" for a, p in dict(seq='ACDCTerminal.sequenceNumber', open='Switch.open', sections='ShuntCompensator.sections', bsec='LinearShuntCompensator.bPerSection', r='ACLineSegment.r', bch='ACLineSegment.bch', minq='SynchronousMachine.minQ', maxq='SynchronousMachine.maxQ', bmin='StaticVarCompensator.bMin', minp='GeneratingUnit.minOperatingP', maxp='GeneratingUnit.maxOperatingP', infinite='OperationalLimitType.isInfiniteDuration', value='CurrentLimit.value').items())},
-         {', '.join(f"substr({_first('ref', p)}, 2) AS {a}" for a, p in dict(cn='Terminal.ConnectivityNode', eq='Terminal.ConductingEquipment', container='ConnectivityNode.ConnectivityNodeContainer', home='VoltageLevel.Substation', region='Substation.Region', country='SubGeographicalRegion.Region', unit='RotatingMachine.GeneratingUnit', set_terminal='OperationalLimitSet.Terminal', set_id='OperationalLimit.OperationalLimitSet', type_id='OperationalLimit.OperationalLimitType').items())}
-  FROM tagrows GROUP BY subj_pos
-), o AS (
+attrs AS MATERIALIZED (
+  SELECT subj_pos, {", ".join(_columns)} FROM tagrows GROUP BY subj_pos
+), o AS MATERIALIZED (
   SELECT objects.*, attrs.*, coalesce(mrid, substr(id, 2)) AS mrid_or_id FROM objects LEFT JOIN attrs ON doc_pos = subj_pos
-), terminals AS (
+), terminals AS MATERIALIZED (
   SELECT t.id, t.doc_pos, t.eq AS equipment, t.cn, t.seq::INTEGER AS seq, e.type AS eq_type, e.doc_pos AS eq_pos,
          row_number() OVER (PARTITION BY t.eq ORDER BY t.seq::INTEGER, t.doc_pos) AS nth, count(*) OVER (PARTITION BY t.eq) AS n
   FROM o t LEFT JOIN o e ON e.id = t.eq WHERE t.type = 'Terminal'
-), containers AS (SELECT id AS cn, doc_pos AS cn_pos, container FROM o WHERE type = 'ConnectivityNode'),
-busbars AS (
+), containers AS MATERIALIZED (
+  SELECT n.id AS cn, n.doc_pos AS cn_pos, coalesce(b.bay_vl, n.box) AS container FROM o n LEFT JOIN o b ON b.id = n.box AND b.type = 'Bay' WHERE n.type = 'ConnectivityNode' AND n.box IS NOT NULL
+), busbars AS MATERIALIZED (
   SELECT t.cn, arg_max(e.mrid_or_id, t.eq_pos) AS bbs FROM terminals t JOIN o e ON e.id = t.equipment WHERE t.eq_type = 'BusbarSection' AND t.n = 1 GROUP BY t.cn
-), switch_ends AS (
+), switch_ends AS MATERIALIZED (
   SELECT equipment AS id, max(cn) FILTER (WHERE nth = 1) AS cn1, max(cn) FILTER (WHERE nth = 2) AS cn2 FROM terminals WHERE eq_type IN ({_switches}) AND n = 2 GROUP BY equipment
 ), vl_edges AS (
-  SELECT DISTINCT a.container AS a, b.container AS b FROM switch_ends s JOIN containers a ON a.cn = s.cn1 JOIN containers b ON b.cn = s.cn2 WHERE a.container <> b.container
+  SELECT DISTINCT a.container AS a, b.container AS b FROM switch_ends s JOIN containers a ON a.cn = s.cn1 JOIN containers b ON b.cn = s.cn2 JOIN o x ON x.id = a.container AND x.type = 'VoltageLevel' JOIN o y ON y.id = b.container AND y.type = 'VoltageLevel' WHERE a.container <> b.container
 ), vl_both AS (SELECT a, b FROM vl_edges UNION SELECT b, a FROM vl_edges),
 vl_reach AS (SELECT a AS n, a AS m FROM vl_both UNION SELECT e.b, r.m FROM vl_reach r JOIN vl_both e ON e.a = r.n),
-vl_part AS (SELECT m AS id, min(n) AS part FROM vl_reach GROUP BY m),
-vl_merge AS (
-  SELECT p.id, (SELECT arg_min(q.id, q.mrid_or_id || '|' || q.id) FROM vl_part p2 JOIN o q ON q.id = p2.id WHERE p2.part = p.part) AS representative FROM vl_part p
-), sub_edges AS (
-  SELECT DISTINCT x.home AS a, y.home AS b FROM vl_merge m JOIN o x ON x.id = m.id JOIN o y ON y.id = m.representative WHERE x.home <> y.home
+vl_part AS MATERIALIZED (SELECT m AS id, min(n) AS part FROM vl_reach GROUP BY m),
+vl_merge AS MATERIALIZED (
+  SELECT p.id, first_value(p.id) OVER (PARTITION BY part ORDER BY q.mrid_or_id, p.id) AS representative FROM vl_part p JOIN o q ON q.id = p.id
+), sited AS (
+  SELECT t.equipment, t.nth, v.home FROM terminals t JOIN containers c ON c.cn = t.cn JOIN o v ON v.id = c.container AND v.type = 'VoltageLevel' WHERE t.eq_type = 'PowerTransformer'
+), sub_edges AS MATERIALIZED (
+  SELECT x.home AS a, y.home AS b FROM vl_merge m JOIN o x ON x.id = m.id JOIN o y ON y.id = m.representative WHERE x.home <> y.home
+  UNION SELECT s.home, f.home FROM sited s JOIN (SELECT equipment, arg_min(home, nth) AS home FROM sited GROUP BY equipment) f ON f.equipment = s.equipment WHERE s.home <> f.home
 ), sub_both AS (SELECT a, b FROM sub_edges UNION SELECT b, a FROM sub_edges),
 sub_reach AS (SELECT a AS n, a AS m FROM sub_both UNION SELECT e.b, r.m FROM sub_reach r JOIN sub_both e ON e.a = r.n),
-sub_merge AS (SELECT m AS id, min(n) AS representative FROM sub_reach GROUP BY m),
-lv AS (
+sub_merge AS MATERIALIZED (SELECT m AS id, min(n) AS representative FROM sub_reach GROUP BY m),
+lv AS MATERIALIZED (
   SELECT v.id AS vl, coalesce(m.representative, v.id) AS representative FROM o v LEFT JOIN vl_merge m ON m.id = v.id WHERE v.type = 'VoltageLevel'
-), kept AS (
+), kept AS MATERIALIZED (
   SELECT v.id AS vl, v.doc_pos, v.mrid_or_id AS mrid, coalesce(s.representative, v.home) AS substation
   FROM lv JOIN o v ON v.id = lv.vl LEFT JOIN sub_merge s ON s.id = v.home WHERE lv.vl = lv.representative
-), nodes AS (
+), nodes AS MATERIALIZED (
   SELECT c.cn, c.cn_pos, lv.representative AS vl, row_number() OVER (PARTITION BY lv.representative ORDER BY c.cn_pos) - 1 AS base, count(*) OVER (PARTITION BY lv.representative) AS size
   FROM containers c JOIN lv ON lv.vl = c.container
-), ranked AS (
+), ranked AS MATERIALIZED (
   SELECT t.*, n.vl, n.base, n.size, t.eq_type IN ('BusbarSection', {_switches}) AS fixed, b.bbs IS NOT NULL AS has_bbs,
          count(*) FILTER (WHERE t.eq_type NOT IN ('BusbarSection', {_switches})) OVER (PARTITION BY t.cn) AS others, list_position([{_numbered}], t.eq_type) AS rank
   FROM terminals t JOIN nodes n ON n.cn = t.cn LEFT JOIN busbars b ON b.cn = t.cn
-), flagged AS (
+), flagged AS MATERIALIZED (
   SELECT *, NOT fixed AND (has_bbs OR others >= 3 OR row_number() OVER (PARTITION BY cn, fixed ORDER BY rank, eq_pos, seq, doc_pos) > 1) AS dedicated FROM ranked WHERE fixed OR rank IS NOT NULL
-), node_map AS (
+), node_map AS MATERIALIZED (
   SELECT id AS terminal, cn, vl, base,
          (CASE WHEN dedicated THEN size + row_number() OVER (PARTITION BY vl, dedicated ORDER BY rank, eq_pos, seq, doc_pos) - 1 ELSE base END)::INTEGER AS node, dedicated FROM flagged
-), places AS (
+), places AS MATERIALIZED (
   SELECT e.*, e.mrid_or_id AS eq_mrid, t.id AS t_id, nm.node, nm.vl AS place FROM o e JOIN terminals t ON t.equipment = e.id AND t.nth = 1 JOIN node_map nm ON nm.terminal = t.id
 )
 """
@@ -170,7 +194,7 @@ def mrid_or_id(grid):
     return grid.named(["LinearShuntCompensator"]).select("model", "id", "mrid")
 
 
-@query("SELECT o.model, o.id AS subj, (row_number() OVER (PARTITION BY t.subj_pos ORDER BY t.pos))::INTEGER AS n, t.pred, substr(t.ref, 2) AS target FROM tagrows t JOIN objects o ON o.doc_pos = t.subj_pos WHERE t.ref IS NOT NULL")
+@query("SELECT o.model, o.id AS subj, (row_number() OVER (PARTITION BY t.subj_pos ORDER BY t.pos))::INTEGER AS n, t.pred, CASE WHEN starts_with(t.ref, '#') THEN substr(t.ref, 2) ELSE t.ref END AS target FROM tagrows t JOIN objects o ON o.doc_pos = t.subj_pos WHERE t.ref IS NOT NULL")
 def j_browse_hop(grid):
     return grid.hops()
 
@@ -178,7 +202,7 @@ def j_browse_hop(grid):
 @query(
     """, walk AS (
       SELECT id, 0 AS distance FROM objects WHERE type = 'VoltageLevel'
-      UNION SELECT substr(t.ref, 2), w.distance + 1 FROM walk w JOIN objects s ON s.id = w.id JOIN tagrows t ON t.subj_pos = s.doc_pos WHERE t.ref IS NOT NULL AND w.distance < 3
+      UNION SELECT e.id, w.distance + 1 FROM walk w JOIN objects s ON s.id = w.id JOIN tagrows t ON t.subj_pos = s.doc_pos JOIN objects e ON '#' || e.id = t.ref WHERE w.distance < 3
     ) SELECT 'star' AS model, id, min(distance)::INTEGER AS distance FROM walk GROUP BY id"""
 )
 def g_browse_path(grid):
@@ -256,16 +280,6 @@ def g_substation_merge(grid):
     return Index(grid).substation_merge
 
 
-@query(
-    """, cn_edges AS (SELECT DISTINCT cn1 AS a, cn2 AS b FROM switch_ends WHERE cn1 <> cn2 UNION SELECT DISTINCT cn2, cn1 FROM switch_ends WHERE cn1 <> cn2),
-    cn_reach AS (SELECT a AS n, a AS m FROM cn_edges UNION SELECT e.b, r.m FROM cn_reach r JOIN cn_edges e ON e.a = r.n),
-    part AS (SELECT c.cn, c.cn_pos, coalesce((SELECT min(n) FROM cn_reach WHERE m = c.cn), c.cn) AS part FROM containers c)
-    SELECT 'star' AS model, p.cn, h.bbs FROM part p JOIN (SELECT part, arg_min(bbs, cn_pos) AS bbs FROM part JOIN busbars USING (cn) GROUP BY part) h ON h.part = p.part"""
-)
-def g_cn_busbar_reach(grid):
-    return Index(grid).reachable_busbar
-
-
 @query("SELECT 'star' AS model, terminal, cn, vl, node, dedicated FROM node_map")
 def c_node_map(grid):
     return Index(grid).node_map
@@ -277,67 +291,285 @@ def w_dedicated_node(grid):
 
 
 @query(
-    """, last AS (SELECT l.set_id, arg_max(l.value, l.doc_pos) AS v, arg_max(l.mrid_or_id, l.doc_pos) AS m FROM o l JOIN o t ON t.id = l.type_id WHERE l.type = 'CurrentLimit' AND t.infinite = 'true' GROUP BY l.set_id)
-    SELECT 'star' AS model, s.set_terminal AS terminal, s.mrid_or_id AS id, v AS patl_text, v::DOUBLE AS patl, m AS patl_mrid FROM o s LEFT JOIN last ON last.set_id = s.id WHERE s.type = 'OperationalLimitSet'"""
+    """, last AS (SELECT l.set_id, arg_max(struct_pack(v := trim(coalesce(l.value, l.normal)), m := l.mrid_or_id), l.doc_pos) AS p FROM o l JOIN o t ON t.id = l.type_id WHERE l.type = 'CurrentLimit' AND t.infinite = 'true' GROUP BY l.set_id)
+    SELECT 'star' AS model, s.set_terminal AS terminal, s.doc_pos AS set_pos, s.mrid_or_id AS id, coalesce(s.name, s.mrid_or_id) AS name, p.v AS patl_text, p.v::DOUBLE AS patl, p.m AS patl_mrid FROM o s LEFT JOIN last ON last.set_id = s.id WHERE s.type = 'OperationalLimitSet'"""
 )
 def a_limit_groups(grid):
-    return Index(grid).limit_groups.select("model", "terminal", "id", "patl_text", "patl", "patl_mrid")
+    return Index(grid).limit_groups
 
 
 # Conversion
 
+#: Further views: limits of levels, ends of transformers, boundary nodes, busbar sections that switches reach.
+_MORE = """
+, stub_names AS (
+  SELECT label, representative AS id, string_agg(label || nth || '=' || mrid, ',' ORDER BY doc_pos) AS aliases FROM (
+    SELECT label, m.representative, v.doc_pos, v.mrid_or_id AS mrid, row_number() OVER (PARTITION BY label, m.representative ORDER BY v.doc_pos) AS nth
+    FROM (SELECT 'MergedVoltageLevel' AS label, * FROM vl_merge UNION ALL SELECT 'MergedSubstation', * FROM sub_merge) m JOIN o v ON v.id = m.id WHERE m.id <> m.representative) GROUP BY ALL
+), vlimits AS (
+  SELECT c.container AS vl, arg_max(l.voltage::DOUBLE, l.doc_pos) FILTER (WHERE NOT ends_with(t.direction, 'high')) AS low, arg_max(l.voltage::DOUBLE, l.doc_pos) FILTER (WHERE ends_with(t.direction, 'high')) AS high
+  FROM o l JOIN o t ON t.id = l.type_id AND t.direction IS NOT NULL JOIN o s ON s.id = l.set_id JOIN terminals m ON m.id = s.set_terminal JOIN containers c ON c.cn = m.cn JOIN o v ON v.id = c.container AND v.type = 'VoltageLevel'
+  WHERE l.type = 'VoltageLimit' AND l.voltage IS NOT NULL GROUP BY c.container
+), outside AS (
+  SELECT t.*, c.cn_pos, c.container, row_number() OVER (PARTITION BY t.cn ORDER BY t.eq_type = 'SeriesCompensator', eq_pos, seq, t.doc_pos)::INTEGER AS node
+  FROM terminals t JOIN containers c ON c.cn = t.cn WHERE t.eq_type IN ('ACLineSegment', 'SeriesCompensator') AND c.container NOT IN (SELECT vl FROM lv)
+), fict AS (
+  SELECT f.cn, f.cn_pos, n.mrid_or_id || '_VL' AS id, b.name, v.nominal::DOUBLE AS nominal_v, coalesce(b.mrid, substr(f.container, 2)) AS container, f.terminals
+  FROM (SELECT cn, cn_pos, container, arg_min(equipment, node) AS segment, max(node) AS terminals FROM outside GROUP BY ALL) f
+  JOIN o n ON n.id = f.cn LEFT JOIN o b ON b.id = f.container LEFT JOIN o s ON s.id = f.segment LEFT JOIN o v ON v.id = s.eq_base
+), line_ends AS (
+  SELECT nm.terminal, k.mrid AS vl, nm.node FROM node_map nm JOIN kept k ON k.vl = nm.vl
+  UNION ALL SELECT t.id, f.id, t.node FROM outside t JOIN fict f ON f.cn = t.cn
+), patls AS (
+  SELECT l.set_id, arg_max(struct_pack(v := trim(coalesce(l.value, l.normal)), m := l.mrid_or_id), l.doc_pos) AS p FROM o l JOIN o t ON t.id = l.type_id WHERE l.type = 'CurrentLimit' AND t.infinite = 'true' GROUP BY l.set_id
+), groups AS (
+  SELECT s.set_terminal AS terminal, string_agg(s.mrid_or_id || '{' || concat_ws(';', 'CGMES.normalValue_CurrentLimit_patl=' || CASE WHEN contains(p.v, '.') THEN p.v ELSE p.v || '.0' END, 'CGMES.OperationalLimitSetName=' || coalesce(s.name, s.mrid_or_id),
+         'CGMES.OperationalLimitSetRdfID=' || s.mrid_or_id, 'CGMES.OperationalLimit_CurrentLimit_patl=' || p.m) || '}' || coalesce(p.v::DOUBLE::VARCHAR, ''), ',' ORDER BY s.doc_pos) AS groups
+  FROM o s LEFT JOIN patls ON patls.set_id = s.id WHERE s.type = 'OperationalLimitSet' GROUP BY s.set_terminal
+), te AS (
+  SELECT e.id, transformer, end_terminal, row_number() OVER (PARTITION BY transformer ORDER BY coalesce(end_number::INTEGER, 0), doc_pos) AS nth, count(*) OVER (PARTITION BY transformer) AS n,
+         end_u::DOUBLE AS u, coalesce(end_r::DOUBLE, 0) AS r, coalesce(end_x::DOUBLE, 0) AS x, coalesce(end_g::DOUBLE, 0) AS g, coalesce(end_b::DOUBLE, 0) AS b, end_s::DOUBLE AS s
+  FROM o e WHERE e.type = 'PowerTransformerEnd' AND transformer IS NOT NULL
+), tp AS (
+  SELECT te.*, k.vl, k.mrid AS vl_mrid, k.substation, nm.node, u IS NOT NULL AND nm.node IS NOT NULL AS usable FROM te LEFT JOIN node_map nm ON nm.terminal = te.end_terminal LEFT JOIN kept k ON k.vl = nm.vl
+), points AS (
+  SELECT of_phase IS NOT NULL AS phase, coalesce(of_phase, of_ratio) AS tab, (row_number() OVER (PARTITION BY type, coalesce(of_phase, of_ratio) ORDER BY doc_pos))::INTEGER AS nth,
+         coalesce(point_r::DOUBLE, 0) AS r, coalesce(point_x::DOUBLE, 0) AS x, 1 / point_ratio::DOUBLE AS rho, CASE WHEN of_phase IS NOT NULL THEN coalesce(angle::DOUBLE, 0) END AS alpha
+  FROM o WHERE coalesce(of_phase, of_ratio) IS NOT NULL AND point_ratio IS NOT NULL
+), taps AS (
+  SELECT type LIKE 'Phase%' AS phase, coalesce(ratio_end, phase_end) AS tap_end, coalesce(ratio_table, phase_table) AS tab, low_step::INTEGER AS low, high_step::INTEGER AS high, neutral_step::INTEGER AS neutral, normal_step::INTEGER AS position, ltc = 'true' AS ltc, increment::DOUBLE AS increment
+  FROM o WHERE type IN ('RatioTapChanger', 'PhaseTapChangerTabular') AND normal_step IS NOT NULL
+), steps AS MATERIALIZED (
+  SELECT t.phase, tap_end, low, position, ltc, p.nth, p.r, p.x, p.rho, p.alpha FROM taps t JOIN points p ON p.phase = t.phase AND p.tab = t.tab
+  UNION ALL SELECT phase, tap_end, low, position, ltc, (i - low + 1)::INTEGER, 0, 0, 1 + (i - neutral) * increment / 100, NULL FROM (SELECT *, unnest(range(low, high + 1)) AS i FROM taps WHERE NOT phase AND tab IS NULL AND increment IS NOT NULL)
+), changers AS (
+  SELECT phase, tap_end, position, count(*)::INTEGER AS n FROM steps GROUP BY ALL
+)
+"""
+_REACH = """
+, cn_edges AS (SELECT DISTINCT cn1 AS a, cn2 AS b FROM switch_ends WHERE cn1 <> cn2 UNION SELECT DISTINCT cn2, cn1 FROM switch_ends WHERE cn1 <> cn2),
+cn_reach AS (SELECT a AS n, a AS m FROM cn_edges UNION SELECT e.b, r.m FROM cn_reach r JOIN cn_edges e ON e.a = r.n),
+cn_part AS (SELECT c.cn, c.cn_pos, coalesce(p.part, c.cn) AS part FROM containers c LEFT JOIN (SELECT m, min(n) AS part FROM cn_reach GROUP BY m) p ON p.m = c.cn),
+reach AS (SELECT p.cn, h.bbs FROM cn_part p JOIN (SELECT part, arg_min(bbs, cn_pos) AS bbs FROM cn_part JOIN busbars USING (cn) GROUP BY part) h ON h.part = p.part)
+"""
+
+
+def _named(c: str, inner: str = "=", outer: str = ";", name: str = "name", value: str = "value"):
+    """An array of structs as text."""
+    return F.array_join(F.transform(c, lambda x: F.concat(x[name], F.lit(inner), x[value])), outer)
+
+
+def _aliases(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("aliases", F.nullif(_named("aliases", outer=",", name="type", value="content"), F.lit("")))
+
+
+@query(f"{_REACH} SELECT 'star' AS model, cn, bbs FROM reach")
+def g_cn_busbar_reach(grid):
+    return Index(grid).reachable_busbar
+
+
+@query("SELECT 'star' AS model, id, scenario AS case_date, greatest(0, floor((epoch(scenario::TIMESTAMP) - epoch(created::TIMESTAMP)) / 60))::BIGINT AS forecast_distance FROM o WHERE type = 'FullModel' ORDER BY doc_pos LIMIT 1")
+def c_network(grid):
+    return Conversion(grid).network()
 
-@query("SELECT s.model, s.id, s.mrid_or_id AS mrid, s.name, c.name AS country, r.name AS geo_tag FROM o s LEFT JOIN o r ON r.id = s.region LEFT JOIN o c ON c.id = r.country LEFT JOIN sub_merge m ON m.id = s.id WHERE s.type = 'Substation' AND (m.id IS NULL OR m.representative = s.id)")
+
+@query(f"{_MORE} SELECT s.model, s.id, s.doc_pos, s.mrid_or_id AS mrid, s.name, c.name AS country, r.name AS geo_tag, n.aliases FROM o s LEFT JOIN o r ON r.id = s.region LEFT JOIN o c ON c.id = r.country LEFT JOIN sub_merge m ON m.id = s.id LEFT JOIN stub_names n ON n.id = s.id WHERE s.type = 'Substation' AND (m.id IS NULL OR m.representative = s.id)")
 def c_substations(grid):
-    return Conversion(grid).substations().select("model", "id", "mrid", "name", "country", "geo_tag")
+    return _aliases(Conversion(grid).substations())
 
 
-@query("SELECT 'star' AS model, vl AS id, mrid, substation FROM kept")
+@query(f"{_MORE} SELECT 'star' AS model, k.vl AS id, k.doc_pos, k.mrid, v.name, k.substation, b.nominal::DOUBLE AS nominal_v, low, high, aliases FROM kept k JOIN o v ON v.id = k.vl LEFT JOIN o b ON b.id = v.vl_base LEFT JOIN vlimits l ON l.vl = k.vl LEFT JOIN stub_names n ON n.id = k.vl")
 def c_voltage_levels(grid):
-    return Conversion(grid).voltage_levels().select("model", "id", "mrid", "substation")
+    return _aliases(Conversion(grid).voltage_levels())
+
+
+@query(f"{_MORE} SELECT 'star' AS model, vl, low, high FROM vlimits")
+def a_voltage_limits(grid):
+    return Index(grid).voltage_limits
 
 
-@query("SELECT model, place AS vl, mrid_or_id AS mrid, node FROM places WHERE type = 'BusbarSection'")
+@query("SELECT model, place AS vl, doc_pos, mrid_or_id AS mrid, name, node FROM places WHERE type = 'BusbarSection'")
 def c_busbars(grid):
-    return Conversion(grid).busbars().select("model", "vl", "mrid", "node")
+    return Conversion(grid).busbars()
 
 
 @query(
-    f"SELECT p.model, p.place AS vl, p.eq_mrid AS mrid, CASE p.type WHEN 'Breaker' THEN 'BREAKER' WHEN 'Disconnector' THEN 'DISCONNECTOR' ELSE 'LOAD_BREAK_SWITCH' END AS kind, p.open = 'true' AS open, p.node AS node1, n2.node AS node2 FROM places p JOIN terminals t2 ON t2.equipment = p.id AND t2.nth = 2 JOIN node_map n2 ON n2.terminal = t2.id WHERE p.type IN ({_switches})"
+    f"SELECT p.model, p.place AS vl, (list_position([{_switches}], p.type) - 1)::INTEGER AS class_rank, p.doc_pos, p.eq_mrid AS mrid, p.name, CASE p.type WHEN 'Breaker' THEN 'BREAKER' WHEN 'Disconnector' THEN 'DISCONNECTOR' ELSE 'LOAD_BREAK_SWITCH' END AS kind, coalesce(p.retained = 'true', false) AS retained, p.open = 'true' AS open, p.node AS node1, n2.node AS node2 FROM places p JOIN terminals t2 ON t2.equipment = p.id AND t2.nth = 2 JOIN node_map n2 ON n2.terminal = t2.id WHERE p.type IN ({_switches})"
 )
 def c_switches(grid):
-    return Conversion(grid).switches().select("model", "vl", "mrid", "kind", "open", "node1", "node2")
+    return Conversion(grid).switches()
 
 
-@query("SELECT model, place AS vl, mrid_or_id AS mrid, node, type AS original_class, substr(t_id, 2) AS terminal1 FROM places WHERE type = 'EnergyConsumer'")
+@query(
+    """SELECT p.model, place AS vl, (list_position(['EnergyConsumer', 'ConformLoad', 'NonConformLoad'], p.type) - 1)::INTEGER AS class_rank, p.doc_pos, p.mrid_or_id AS mrid, p.name, node, p.type AS original_class, substr(t_id, 2) AS terminal1,
+    CASE WHEN r.exponential = 'true' THEN r.np::DOUBLE END AS np, CASE WHEN r.exponential = 'true' THEN 0.0::DOUBLE END AS nq, CASE WHEN r.exponential = 'false' THEN r.c0p::DOUBLE END AS c0p, CASE WHEN r.exponential = 'false' THEN 0.0::DOUBLE END AS c1q
+    FROM places p LEFT JOIN o r ON r.id = p.response WHERE p.type IN ('EnergyConsumer', 'ConformLoad', 'NonConformLoad')"""
+)
 def c_loads(grid):
-    return Conversion(grid).loads().select("model", "vl", "mrid", "node", "original_class", "terminal1")
+    return Conversion(grid).loads().select("*", "exponential_model.np", "exponential_model.nq", "zip_model.c0p", "zip_model.c1q").drop("exponential_model", "zip_model")
 
 
-@query("SELECT model, place AS vl, mrid_or_id AS mrid, node, sections::BIGINT AS sections, bsec::DOUBLE AS b, 0.0::DOUBLE AS g FROM places WHERE type = 'LinearShuntCompensator'")
+@query(
+    "SELECT model, place AS vl, doc_pos, mrid_or_id AS mrid, name, node, sections::BIGINT AS sections, coalesce(most::BIGINT, 0) AS max_sections, bsec::DOUBLE AS b, 0.0::DOUBLE AS g, coalesce(control = 'true', false) AS regulating FROM places WHERE type = 'LinearShuntCompensator'"
+)
 def c_shunts(grid):
-    return Conversion(grid).shunts().select("model", "vl", "mrid", "node", "sections", "b", "g")
+    return Conversion(grid).shunts()
 
 
-@query("SELECT model, place AS vl, mrid_or_id AS mrid, node, bmin::DOUBLE AS b_min, 'OFF' AS mode FROM places WHERE type = 'StaticVarCompensator'")
+@query(
+    "SELECT model, place AS vl, doc_pos, mrid_or_id AS mrid, name, node, bmin::DOUBLE AS b_min, coalesce(bmax::DOUBLE, 0) AS b_max, CASE WHEN ends_with(svc_mode, 'voltage') THEN 'VOLTAGE' WHEN ends_with(svc_mode, 'reactivePower') THEN 'REACTIVE_POWER' ELSE 'OFF' END AS mode, coalesce(control = 'true', false) AS regulating FROM places WHERE type = 'StaticVarCompensator'"
+)
 def c_svcs(grid):
-    return Conversion(grid).svcs().select("model", "vl", "mrid", "node", "b_min", "mode")
+    return Conversion(grid).svcs()
 
 
 @query(
-    """SELECT p.model, p.place AS vl, p.eq_mrid AS mrid, p.node, CASE u.type WHEN 'HydroGeneratingUnit' THEN 'HYDRO' WHEN 'ThermalGeneratingUnit' THEN 'THERMAL' WHEN 'WindGeneratingUnit' THEN 'WIND' WHEN 'SolarGeneratingUnit' THEN 'SOLAR' ELSE 'OTHER' END AS energy_source,
-    u.minp::DOUBLE AS min_p, u.maxp::DOUBLE AS max_p, CASE WHEN p.minq IS NOT NULL AND p.maxq IS NOT NULL THEN p.minq::DOUBLE END AS min_q FROM places p LEFT JOIN o u ON u.id = p.unit WHERE p.type = 'SynchronousMachine'"""
+    f"""{_REACH}, fuels AS (SELECT fuel_unit, arg_max(split_part(fuel, '.', -1), doc_pos) AS fuel FROM o WHERE type = 'FossilFuel' AND contains(fuel, '#') GROUP BY fuel_unit),
+    curves AS (SELECT of_curve, string_agg(xvalue || '/' || coalesce(y1, '0') || '/' || y2, ',' ORDER BY doc_pos) AS points FROM o WHERE type = 'CurveData' GROUP BY of_curve)
+    SELECT p.model, p.place AS vl, p.doc_pos, p.eq_mrid AS mrid, p.name, p.node, CASE u.type WHEN 'HydroGeneratingUnit' THEN 'HYDRO' WHEN 'ThermalGeneratingUnit' THEN 'THERMAL' WHEN 'WindGeneratingUnit' THEN 'WIND' WHEN 'SolarGeneratingUnit' THEN 'SOLAR' ELSE 'OTHER' END AS energy_source,
+    u.minp::DOUBLE AS min_p, u.maxp::DOUBLE AS max_p, p.rated_s::DOUBLE AS rated_s, p.control = 'true' AS regulating, coalesce(contains(p.machine_kind, 'ondenser'), false) AS condenser, CASE WHEN t.equipment IS DISTINCT FROM p.id THEN r.bbs END AS regulating_terminal, c.points,
+    CASE WHEN c.points IS NULL AND p.minq IS NOT NULL AND p.maxq IS NOT NULL THEN p.minq::DOUBLE END AS min_q, CASE WHEN c.points IS NULL AND p.minq IS NOT NULL AND p.maxq IS NOT NULL THEN p.maxq::DOUBLE END AS max_q, substr(p.t_id, 2) AS terminal1,
+    concat_ws(';', 'CGMES.fuelType=' || f.fuel, 'CGMES.synchronousMachineType=' || split_part(p.machine_kind, '.', -1), 'CGMES.mode=' || lower(g.control_mode), 'CGMES.originalClass=SynchronousMachine', 'CGMES.GeneratingUnit=' || u.mrid_or_id, 'CGMES.RegulatingControl=' || g.mrid_or_id,
+              'CGMES.windGenUnitType=' || CASE WHEN u.type = 'WindGeneratingUnit' THEN split_part(u.wind, '.', -1) END) AS properties
+    FROM places p LEFT JOIN o u ON u.id = p.unit LEFT JOIN fuels f ON f.fuel_unit = p.unit LEFT JOIN o g ON g.id = p.control_ref LEFT JOIN terminals t ON t.id = g.control_terminal LEFT JOIN reach r ON r.cn = t.cn LEFT JOIN curves c ON c.of_curve = p.curve WHERE p.type = 'SynchronousMachine'"""
 )
 def c_generators(grid):
-    return Conversion(grid).generators().select("model", "vl", "mrid", "node", "energy_source", "min_p", "max_p", F.col("limits.min_q").alias("min_q"))
+    point = lambda x: F.concat_ws("/", *[x[c].cast("long").cast("string") for c in ("p", "min_q", "max_q")])
+    rows = Conversion(grid).generators().withColumns({"points": F.array_join(F.transform("points", point), ","), "properties": _named("properties")})
+    return rows.select("*", "limits.min_q", "limits.max_q").drop("limits")
+
+
+@query("SELECT 'star' AS model, of_curve AS curve, row_number() OVER (PARTITION BY of_curve ORDER BY doc_pos)::INTEGER AS nth, xvalue::DOUBLE AS p, coalesce(y1::DOUBLE, 0) AS min_q, y2::DOUBLE AS max_q FROM o WHERE type = 'CurveData'")
+def a_curve_points(grid):
+    rows = Index(grid).curve_points.select("model", "curve", F.posexplode("points").alias("nth", "x"))
+    return rows.select("model", "curve", (F.col("nth") + 1).alias("nth"), "x.p", "x.min_q", "x.max_q")
 
 
 @query(
-    """, ends AS (SELECT t.equipment, t.nth, k.mrid AS vl, nm.node FROM terminals t JOIN node_map nm ON nm.terminal = t.id JOIN kept k ON k.vl = nm.vl WHERE t.n = 2)
-    SELECT e.model, e.mrid_or_id AS mrid, trim(e.r)::DOUBLE AS r, e.bch::DOUBLE / 2 AS b1, a.vl AS vl1, a.node AS node1, b.vl AS vl2, b.node AS node2 FROM o e JOIN ends a ON a.equipment = e.id AND a.nth = 1 JOIN ends b ON b.equipment = e.id AND b.nth = 2 WHERE e.type = 'ACLineSegment'"""
+    f"""{_MORE} SELECT e.model, (e.type = 'SeriesCompensator')::INTEGER AS class_rank, e.doc_pos, e.mrid_or_id AS mrid, e.name, e.type AS original_class, trim(coalesce(e.line_r, e.series_r))::DOUBLE AS r, coalesce(e.line_x, e.series_x)::DOUBLE AS x,
+    coalesce(e.gch::DOUBLE, 0) / 2 AS g1, coalesce(e.bch::DOUBLE, 0) / 2 AS b1, coalesce(e.gch::DOUBLE, 0) / 2 AS g2, coalesce(e.bch::DOUBLE, 0) / 2 AS b2, a.vl AS vl1, a.node AS node1, b.vl AS vl2, b.node AS node2, substr(t1.id, 2) AS terminal1, substr(t2.id, 2) AS terminal2, g.groups AS groups1, h.groups AS groups2
+    FROM o e JOIN terminals t1 ON t1.equipment = e.id AND t1.nth = 1 AND t1.n = 2 JOIN terminals t2 ON t2.equipment = e.id AND t2.nth = 2 JOIN line_ends a ON a.terminal = t1.id JOIN line_ends b ON b.terminal = t2.id LEFT JOIN groups g ON g.terminal = t1.id LEFT JOIN groups h ON h.terminal = t2.id
+    WHERE e.type IN ('ACLineSegment', 'SeriesCompensator')"""
 )
 def c_lines(grid):
-    return Conversion(grid).lines().select("model", "mrid", "r", "b1", "vl1", "node1", "vl2", "node2")
+    group = lambda g: F.concat(g["id"], F.lit("{"), _named(g["properties"]), F.lit("}"), F.coalesce(g["permanent"].cast("string"), F.lit("")))
+    text = lambda c: F.array_join(F.transform(c, group), ",")
+    return Conversion(grid).lines().withColumns({"groups1": text("groups1"), "groups2": text("groups2")})
+
+
+@query(f"{_MORE} SELECT 'star' AS model, terminal, vl AS vl_mrid, node FROM line_ends")
+def j_line_placement(grid):
+    return Conversion(grid).line_places
+
+
+@query(f"{_MORE} SELECT 'star' AS model, cn, cn_pos, container, id AS terminal, equipment, node FROM outside")
+def w_fict_nodes(grid):
+    return Conversion(grid).boundary_terminals
+
+
+@query(f"{_MORE} SELECT 'star' AS model, cn, cn_pos, id, name, nominal_v, container, terminals FROM fict")
+def c_fict_vl(grid):
+    return Conversion(grid).fictitious_levels
+
+
+@query(
+    f"{_MORE} SELECT e.model, f.id AS vl, e.doc_pos, e.mrid_or_id AS mrid, 'BoundaryInjectionEq' AS name, 0 AS node, -1.7976931348623157e308::DOUBLE AS min_p, 1.7976931348623157e308::DOUBLE AS max_p, substr(t.id, 2) AS terminal1 FROM o e JOIN terminals t ON t.equipment = e.id AND t.nth = 1 JOIN fict f ON f.cn = t.cn WHERE e.type = 'EquivalentInjection'"
+)
+def c_boundary_gen(grid):
+    return Conversion(grid).boundary_generators()
+
+
+@query(f"""{_MORE} SELECT 'star' AS model, transformer, id AS "end", nth::INTEGER AS nth, n, vl, vl_mrid, node, u AS rated_u, r, x, g, b, s AS rated_s FROM tp""")
+def j_transformer_ends(grid):
+    return Conversion(grid).transformer_ends
+
+
+@query(
+    f"""{_MORE} SELECT 'star' AS model, a.substation, t.doc_pos, t.mrid_or_id AS mrid, t.name, a.r * ((b.u / a.u) * (b.u / a.u)) AS r, a.x * ((b.u / a.u) * (b.u / a.u)) AS x, a.g / ((b.u / a.u) * (b.u / a.u)) AS g, a.b / ((b.u / a.u) * (b.u / a.u)) AS b,
+    a.u AS rated_u1, b.u AS rated_u2, a.s AS rated_s, a.vl_mrid AS vl1, a.node AS node1, b.vl_mrid AS vl2, b.node AS node2, coalesce(r1.position, r2.position) AS ratio_position, coalesce(r1.n, r2.n) AS ratio_steps, coalesce(p1.position, p2.position) AS phase_position, coalesce(p1.n, p2.n) AS phase_steps
+    FROM o t JOIN tp a ON a.transformer = t.id AND a.nth = 1 AND a.n = 2 JOIN tp b ON b.transformer = t.id AND b.nth = 2 LEFT JOIN changers r1 ON r1.tap_end = a.id AND NOT r1.phase LEFT JOIN changers r2 ON r2.tap_end = b.id AND NOT r2.phase
+    LEFT JOIN changers p1 ON p1.tap_end = a.id AND p1.phase LEFT JOIN changers p2 ON p2.tap_end = b.id AND p2.phase WHERE t.type = 'PowerTransformer' AND a.usable AND b.usable"""
+)
+def c_xf2(grid):
+    tap = lambda k: (F.col(f"{k}_tap_changer.position").alias(f"{k}_position"), F.size(F.col(f"{k}_tap_changer.steps")).alias(f"{k}_steps"))
+    return Conversion(grid).two_windings().select("*", *tap("ratio"), *tap("phase")).drop("ratio_tap_changer", "phase_tap_changer")
+
+
+_leg = lambda k: ", ".join(f"e{k}.{c} AS {n}{k}" for c, n in (("r", "r"), ("x", "x"), ("g", "g"), ("b", "b"), ("u", "rated_u"), ("s", "rated_s"), ("vl_mrid", "vl"), ("node", "node"))) + f", c{k}.position AS position{k}, c{k}.n AS steps{k}"
+
+
+@query(
+    f"""{_MORE} SELECT 'star' AS model, e1.substation, t.doc_pos, t.mrid_or_id AS mrid, t.name, e1.u AS rated_u0, {_leg(1)}, {_leg(2)}, {_leg(3)} FROM o t {" ".join(f"JOIN tp e{k} ON e{k}.transformer = t.id AND e{k}.nth = {k} AND e{k}.n = 3 AND e{k}.usable LEFT JOIN changers c{k} ON c{k}.tap_end = e{k}.id AND NOT c{k}.phase" for k in (1, 2, 3))}
+    WHERE t.type = 'PowerTransformer'"""
+)
+def c_xf3(grid):
+    leg = lambda k: [F.col(f"e{k}.{c}").alias(f"{n}{k}") for c, n in (("r", "r"), ("x", "x"), ("g", "g"), ("b", "b"), ("rated_u", "rated_u"), ("rated_s", "rated_s"), ("vl_mrid", "vl"), ("node", "node"))]
+    tap = lambda k: [F.col(f"ratio{k}.position").alias(f"position{k}"), F.size(F.col(f"ratio{k}.steps")).alias(f"steps{k}")]
+    return Conversion(grid).three_windings().select("model", "substation", "doc_pos", "mrid", "name", "rated_u0", *(c for k in (1, 2, 3) for c in [*leg(k), *tap(k)]))
+
+
+def _steps(grid, phase: bool) -> DataFrame:
+    rows = Conversion(grid).tap_changers.where(F.col("phase") == phase).select("model", "end", "low", "position", "ltc", F.posexplode("steps").alias("nth", "s"))
+    return rows.select("model", "end", "low", "position", "ltc", (F.col("nth") + 1).alias("nth"), "s.r", "s.x", "s.rho", "s.alpha")
+
+
+@query(f"""{_MORE} SELECT 'star' AS model, tap_end AS "end", low, position, ltc, nth, r, x, rho, alpha FROM steps WHERE NOT phase""")
+def c_ratio_tc(grid):
+    return _steps(grid, False)
+
+
+@query(f"""{_MORE} SELECT 'star' AS model, tap_end AS "end", low, position, ltc, nth, r, x, rho, alpha FROM steps WHERE phase""")
+def c_phase_tc(grid):
+    return _steps(grid, True)
+
+
+@query(
+    """, tied AS (SELECT a.id, f.doc_pos, e.mrid_or_id || ':' || CASE t.seq WHEN 1 THEN 'ONE' ELSE 'TWO' END AS side FROM o f JOIN o a ON a.type = 'ControlArea' AND (f.area = a.id OR f.area = a.mrid_or_id) JOIN terminals t ON t.id = f.flow_terminal JOIN o e ON e.id = t.equipment WHERE f.type = 'TieFlow')
+    SELECT a.model, a.doc_pos, a.mrid_or_id AS mrid, coalesce(a.name, a.mrid_or_id) AS name, coalesce(split_part(a.area_kind, '#', -1), 'ControlAreaTypeKind.Interchange') AS area_type, (SELECT string_agg(side, ',' ORDER BY doc_pos) FROM tied WHERE tied.id = a.id) AS boundaries FROM o a WHERE a.type = 'ControlArea'"""
+)
+def c_areas(grid):
+    return Conversion(grid).areas().withColumn("boundaries", _named("boundaries", ":", ",", "id", "side"))
+
+
+@query(
+    """SELECT t.model, x.mrid_or_id AS transformer, (t.type LIKE 'Phase%')::INTEGER AS rank, t.doc_pos, t.mrid_or_id AS id, CASE WHEN t.type LIKE 'Phase%' THEN t.type END AS type, t.normal_step::INTEGER AS step
+    FROM o t JOIN o e ON e.id = coalesce(t.ratio_end, t.phase_end) JOIN o x ON x.id = e.transformer AND x.type = 'PowerTransformer' WHERE t.type IN ('RatioTapChanger', 'PhaseTapChangerTabular') AND t.normal_step IS NOT NULL"""
+)
+def c_ext_tap_changers(grid):
+    return Conversion(grid).tap_changer_extensions()
+
+
+@query("SELECT model, doc_pos, mrid_or_id AS id, q_percent::DOUBLE AS q_percent FROM o WHERE type = 'SynchronousMachine' AND q_percent IS NOT NULL")
+def c_ext_reactive(grid):
+    return Conversion(grid).reactive_extensions()
+
+
+@query(
+    """, listed AS (SELECT subj_pos, string_agg(text, ',' ORDER BY pos) FILTER (WHERE pred = 'Model.profile') AS profiles, string_agg(ref, ',' ORDER BY pos) FILTER (WHERE pred = 'Model.DependentOn') AS dependent_on FROM tagrows GROUP BY subj_pos)
+    SELECT m.model, (CASE row_number() OVER (ORDER BY doc_pos) WHEN 1 THEN 2147483647 ELSE row_number() OVER (ORDER BY doc_pos) END)::INTEGER AS nth, m.id, CASE WHEN contains(profiles, 'CoreEquipment') THEN 'EQUIPMENT' ELSE 'UNKNOWN' END AS subset, authority,
+    replace(replace(replace(description, '+', ' '), '&lt;', '<'), '&gt;', '>') AS description, coalesce(version::INTEGER, 0) AS version, profiles, dependent_on FROM o m JOIN listed l ON l.subj_pos = m.doc_pos WHERE m.type = 'FullModel'"""
+)
+def a_metadata_models(grid):
+    return Conversion(grid).metadata_models().withColumns({"profiles": F.array_join("profiles", ","), "dependent_on": F.array_join("dependent_on", ",")})
+
+
+@query("SELECT v.model, v.doc_pos, v.mrid_or_id AS id, v.nominal::DOUBLE AS nominal_v, CASE WHEN v.doc_pos > (SELECT max(doc_pos) FROM o WHERE type = 'FullModel') THEN 'BOUNDARY' ELSE 'IGM' END AS source FROM o v WHERE v.type = 'BaseVoltage'")
+def a_base_voltage_map(grid):
+    return Conversion(grid).base_voltages()
+
+
+_counted = {
+    "Substations": "SELECT s.id FROM o s LEFT JOIN sub_merge m ON m.id = s.id WHERE s.type = 'Substation' AND (m.id IS NULL OR m.representative = s.id)", "VoltageLevels": "SELECT vl FROM kept", "BusbarSections": "SELECT id FROM places WHERE type = 'BusbarSection'",
+    "Switches": f"SELECT p.id FROM places p JOIN terminals t ON t.equipment = p.id AND t.nth = 2 JOIN node_map n ON n.terminal = t.id WHERE p.type IN ({_switches})", "Loads": "SELECT id FROM places WHERE type IN ('EnergyConsumer', 'ConformLoad', 'NonConformLoad')",
+    "Shunts": "SELECT id FROM places WHERE type = 'LinearShuntCompensator'", "StaticVarCompensators": "SELECT id FROM places WHERE type = 'StaticVarCompensator'", "Generators": "SELECT id FROM places WHERE type = 'SynchronousMachine'",
+    **{f"{n}-winding transformers": f"SELECT transformer FROM tp WHERE n = {n} GROUP BY transformer HAVING bool_and(usable)" for n in (2, 3)},
+    "Lines": "SELECT e.id FROM o e JOIN terminals t ON t.equipment = e.id AND t.n = 2 JOIN line_ends l ON l.terminal = t.id WHERE e.type IN ('ACLineSegment', 'SeriesCompensator') GROUP BY e.id HAVING count(*) = 2",
+}
+
+
+@query(f"{_MORE} " + " UNION ALL ".join(f"SELECT 'star' AS model, {i} AS nth, '{metric}' AS metric, count(*) AS n FROM ({rows}) x" for i, (metric, rows) in enumerate(_counted.items())))
+def a_convert_totals(grid):
+    return Conversion(grid).totals()
 
 
 # Tags and scalar functions
@@ -386,4 +618,4 @@ def f_enum_fragment(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("v")).distinct()
     url = F.concat(F.lit("http://c#Kind."), F.col("v"))
     coded = F.concat(F.lit("&lt;"), F.col("v"), F.lit("&gt;&amp;"))
-    return events.select("v", S.enum_fragment(url).alias("fragment"), S.decode_entities(coded).alias("decoded"), F.substring(S.strip_hash(F.concat(F.lit("#"), F.col("v"))), 2, 99).alias("stripped"))
+    return events.select("v", S.enum_fragment(url).alias("fragment"), S.decode_entities(coded).alias("decoded"), F.substring(S.strip_hash(F.concat(F.lit("#"), F.col("v"))), 2, 2**31 - 1).alias("stripped"))

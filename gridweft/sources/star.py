@@ -1,112 +1,276 @@
 """The star schema of orders and parts seen as one grid model, in SQL that Spark and DuckDB both read.
 
-Regions and nations are geography, customers substations, three levels per customer at most, orders connectivity
-nodes, line items terminals; two successive line items of a part are the terminals of one piece of equipment, whose
-class follows from the part's number. Suppliers are generating units.
+Regions and nations are geography and lookup tables, customers substations, three levels per customer at most, orders
+connectivity nodes, some of them in bays and some on the boundary. Line items are terminals; successive line items of a
+part are the terminals of one piece of equipment, whose class follows from the part's number. Suppliers are generating
+units and their regulating controls.
 """
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 
 from gridweft.operators.access import Grid
 from gridweft.storage import stored
 
 _LINES = """
-SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey) AS rn FROM lineitem
+SELECT l_orderkey, k, w, rn, CAST(floor((rn - 1) / w) AS BIGINT) AS b, (rn - 1) % w + 1 AS seq FROM (
+  SELECT l_orderkey, l_partkey AS k, CASE WHEN l_partkey % 180 = 44 THEN 3 ELSE 2 END AS w,
+         row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey) AS rn FROM lineitem
+) n
 """
 
 _EQUIPMENT = """
-SELECT DISTINCT l_partkey AS k, CAST(floor((rn - 1) / 2) AS BIGINT) AS b FROM lines
-"""
-
-_CLASS = """
-CASE WHEN k % 60 = 0 THEN CASE CAST(floor(k / 60) AS BIGINT) % 3 WHEN 0 THEN 'Breaker' WHEN 1 THEN 'Disconnector' ELSE 'LoadBreakSwitch' END
-     ELSE CASE k % 6 WHEN 0 THEN 'BusbarSection' WHEN 1 THEN 'ACLineSegment' WHEN 2 THEN 'SynchronousMachine' WHEN 3 THEN 'EnergyConsumer' WHEN 4 THEN 'LinearShuntCompensator' ELSE 'StaticVarCompensator' END END
+SELECT DISTINCT k, b,
+  CASE WHEN k % 60 = 0 THEN CASE CAST(floor(k / 60) AS BIGINT) % 3 WHEN 0 THEN 'Breaker' WHEN 1 THEN 'Disconnector' ELSE 'LoadBreakSwitch' END
+       WHEN k % 180 = 44 OR k % 180 = 14 THEN 'PowerTransformer' WHEN k % 60 = 7 THEN 'SeriesCompensator' WHEN k % 60 = 28 THEN 'EquivalentInjection'
+       WHEN k % 18 = 9 THEN 'ConformLoad' WHEN k % 18 = 15 THEN 'NonConformLoad'
+       ELSE CASE k % 6 WHEN 0 THEN 'BusbarSection' WHEN 1 THEN 'ACLineSegment' WHEN 2 THEN 'SynchronousMachine' WHEN 3 THEN 'EnergyConsumer' WHEN 4 THEN 'LinearShuntCompensator' ELSE 'StaticVarCompensator' END END AS kind
+FROM lines
 """
 
-_UNIT = "CASE s_suppkey % 5 WHEN 0 THEN 'HydroGeneratingUnit' WHEN 1 THEN 'ThermalGeneratingUnit' WHEN 2 THEN 'WindGeneratingUnit' WHEN 3 THEN 'SolarGeneratingUnit' ELSE 'GeneratingUnit' END"
+_LEVELS = "SELECT DISTINCT o_custkey AS c, o_orderkey % 3 AS m FROM orders"
 
 
 def _s(x: str) -> str:
     return f"CAST({x} AS STRING)"
 
 
-#: (class, position, id, source): one row an object.
-_OBJECTS = [
-    ("'GeographicalRegion'", "1000000000000 + r_regionkey", f"'_GR' || {_s('r_regionkey')}", "region"),
-    ("'SubGeographicalRegion'", "2000000000000 + n_nationkey", f"'_SGR' || {_s('n_nationkey')}", "nation"),
-    ("'Substation'", "3000000000000 + c_custkey", f"'_SS' || {_s('c_custkey')}", "customer"),
-    ("'VoltageLevel'", "5000000000000 + c * 10 + m", f"'_VL' || {_s('c')} || '_' || {_s('m')}", "levels"),
-    ("'ConnectivityNode'", "6000000000000 + o_orderkey", f"'_CN' || {_s('o_orderkey')}", "orders"),
-    (_CLASS, "7000000000000 + k * 10000 + b", f"'_EQ' || {_s('k')} || '_' || {_s('b')}", "equipment"),
-    ("'Terminal'", "8000000000000 + l_partkey * 10000 + rn", f"'_T' || {_s('l_partkey')} || '_' || {_s('rn')}", "lines"),
-    (_UNIT, "9000000000000 + s_suppkey", f"'_U' || {_s('s_suppkey')}", "supplier"),
-    ("'OperationalLimitType'", "9100000000000 + r_regionkey", f"'_OLT' || {_s('r_regionkey')}", "region"),
-    ("'OperationalLimitSet'", "9200000000000 + l_partkey * 10000 + rn", f"'_OLS' || {_s('l_partkey')} || '_' || {_s('rn')}", "(SELECT * FROM lines WHERE l_partkey % 6 = 1)"),
-    ("'CurrentLimit'", "9300000000000 + l_partkey * 10000 + rn", f"'_CL' || {_s('l_partkey')} || '_' || {_s('rn')}", "(SELECT * FROM lines WHERE l_partkey % 6 = 1 AND rn % 3 > 0)"),
-]
-
-_E, _T = "7000000000000 + k * 10000 + b", "8000000000000 + l_partkey * 10000 + rn"
-_LINE = "(SELECT * FROM lines WHERE l_partkey % 6 = 1)"
-#: (position of the object, order, name, text, reference, source): one row a tag.
-_TRIPLES = [
-    ("1000000000000 + r_regionkey", 0, "IdentifiedObject.name", "r_name", None, "region"),
-    ("2000000000000 + n_nationkey", 0, "IdentifiedObject.name", "n_name", None, "nation"),
-    ("2000000000000 + n_nationkey", 1, "SubGeographicalRegion.Region", None, f"'#_GR' || {_s('n_regionkey')}", "nation"),
-    ("3000000000000 + c_custkey", 0, "IdentifiedObject.name", "c_name", None, "customer"),
-    ("3000000000000 + c_custkey", 1, "Substation.Region", None, f"'#_SGR' || {_s('c_nationkey')}", "customer"),
-    ("3000000000000 + c_custkey", 2, "IdentifiedObject.name", "'second name'", None, "(SELECT * FROM customer WHERE c_custkey % 11 = 0)"),
-    ("5000000000000 + c * 10 + m", 0, "VoltageLevel.Substation", None, f"'#_SS' || {_s('c')}", "levels"),
-    ("6000000000000 + o_orderkey", 0, "ConnectivityNode.ConnectivityNodeContainer", None, f"'#_VL' || {_s('o_custkey')} || '_' || {_s('o_orderkey % 3')}", "orders"),
-    (_T, 0, "ACDCTerminal.sequenceNumber", _s("(rn - 1) % 2 + 1"), None, "lines"),
-    (_T, 1, "Terminal.ConnectivityNode", None, f"'#_CN' || {_s('l_orderkey')}", "lines"),
-    (_T, 2, "Terminal.ConductingEquipment", None, f"'#_EQ' || {_s('l_partkey')} || '_' || {_s('CAST(floor((rn - 1) / 2) AS BIGINT)')}", "lines"),
-    (_E, 0, "IdentifiedObject.mRID", f"'m' || {_s('k')} || '-' || {_s('b')}", None, "(SELECT * FROM equipment WHERE k % 2 = 0)"),
-    (_E, 1, "Switch.open", "CASE WHEN b % 2 = 0 THEN 'true' ELSE 'false' END", None, "(SELECT * FROM equipment WHERE k % 60 = 0)"),
-    (_E, 2, "ShuntCompensator.sections", _s("k % 5"), None, "(SELECT * FROM equipment WHERE k % 6 = 4)"),
-    (_E, 3, "LinearShuntCompensator.bPerSection", "'0.' || " + _s("k % 97 + 1"), None, "(SELECT * FROM equipment WHERE k % 6 = 4)"),
-    (_E, 4, "ACLineSegment.r", "' ' || " + _s("k % 13") + " || '.5 '", None, "(SELECT * FROM equipment WHERE k % 6 = 1)"),
-    (_E, 5, "ACLineSegment.bch", _s("k % 17"), None, "(SELECT * FROM equipment WHERE k % 6 = 1)"),
-    (_E, 6, "RotatingMachine.GeneratingUnit", None, f"'#_U' || {_s('k % 10 + 1')}", "(SELECT * FROM equipment WHERE k % 6 = 2)"),
-    (_E, 7, "SynchronousMachine.minQ", "'-' || " + _s("k % 100"), None, "(SELECT * FROM equipment WHERE k % 12 = 2)"),
-    (_E, 8, "SynchronousMachine.maxQ", _s("k % 100"), None, "(SELECT * FROM equipment WHERE k % 6 = 2)"),
-    (_E, 9, "StaticVarCompensator.bMin", "'-0.' || " + _s("k % 7"), None, "(SELECT * FROM equipment WHERE k % 6 = 5)"),
-    ("9000000000000 + s_suppkey", 0, "GeneratingUnit.minOperatingP", _s("s_suppkey % 50"), None, "supplier"),
-    ("9000000000000 + s_suppkey", 1, "GeneratingUnit.maxOperatingP", _s("s_suppkey % 50 + 100"), None, "supplier"),
-    ("9100000000000 + r_regionkey", 0, "OperationalLimitType.isInfiniteDuration", "CASE WHEN r_regionkey % 2 = 0 THEN 'true' ELSE 'false' END", None, "region"),
-    ("9200000000000 + l_partkey * 10000 + rn", 0, "OperationalLimitSet.Terminal", None, f"'#_T' || {_s('l_partkey')} || '_' || {_s('rn')}", _LINE),
-    ("9300000000000 + l_partkey * 10000 + rn", 0, "OperationalLimit.OperationalLimitSet", None, f"'#_OLS' || {_s('l_partkey')} || '_' || {_s('rn')}", "(SELECT * FROM lines WHERE l_partkey % 6 = 1 AND rn % 3 > 0)"),
-    ("9300000000000 + l_partkey * 10000 + rn", 1, "OperationalLimit.OperationalLimitType", None, f"'#_OLT' || {_s('rn % 3')}", "(SELECT * FROM lines WHERE l_partkey % 6 = 1 AND rn % 3 > 0)"),
-    ("9300000000000 + l_partkey * 10000 + rn", 2, "CurrentLimit.value", _s("l_partkey + rn"), None, "(SELECT * FROM lines WHERE l_partkey % 6 = 1 AND rn % 3 > 0)"),
+def _id(prefix: str, *keys: str) -> str:
+    return f"'{prefix}' || " + " || '_' || ".join(_s(k) for k in keys)
+
+
+def _ref(prefix: str, *keys: str) -> str:
+    return "'#" + _id(prefix, *keys)[1:]
+
+
+_ENDS = "(SELECT * FROM lines WHERE k % 180 = 44 OR k % 180 = 14)"
+_LIMITED = "(SELECT * FROM lines WHERE k % 6 = 1)"
+_UNIT = "CASE s_suppkey % 5 WHEN 0 THEN 'HydroGeneratingUnit' WHEN 1 THEN 'ThermalGeneratingUnit' WHEN 2 THEN 'WindGeneratingUnit' WHEN 3 THEN 'SolarGeneratingUnit' ELSE 'GeneratingUnit' END"
+_LINE_ITEM = "k * 10000 + rn"
+
+#: name of a kind of object: (class, position, id, source); one row an object.
+_OBJECTS = {
+    "model": ("'FullModel'", "CASE WHEN r_regionkey = 0 THEN 500000000000 ELSE 4000000000025 END", _id("_FM", "r_regionkey"), "(SELECT * FROM region WHERE r_regionkey < 2)"),
+    "region": ("'GeographicalRegion'", "1000000000000 + r_regionkey", _id("_GR", "r_regionkey"), "region"),
+    "subregion": ("'SubGeographicalRegion'", "2000000000000 + n_nationkey", _id("_SGR", "n_nationkey"), "nation"),
+    "substation": ("'Substation'", "3000000000000 + c_custkey", _id("_SS", "c_custkey"), "customer"),
+    "voltage": ("'BaseVoltage'", "4000000000000 + r_regionkey * 10", _id("_BV", "r_regionkey"), "region"),
+    "level": ("'VoltageLevel'", "5000000000000 + c * 10 + m", _id("_VL", "c", "m"), "levels"),
+    "bay": ("'Bay'", "5800000000000 + o_orderkey", _id("_BY", "o_orderkey"), "(SELECT * FROM orders WHERE o_orderkey % 40 = 1)"),
+    "container": ("'Line'", "5900000000000 + o_orderkey", _id("_LC", "o_orderkey"), "(SELECT * FROM orders WHERE o_orderkey % 40 = 7)"),
+    "node": ("'ConnectivityNode'", "6000000000000 + o_orderkey", _id("_CN", "o_orderkey"), "orders"),
+    "equipment": ("kind", "7000000000000 + k * 10000 + b", _id("_EQ", "k", "b"), "equipment"),
+    "terminal": ("'Terminal'", f"8000000000000 + {_LINE_ITEM}", _id("_T", "k", "rn"), "lines"),
+    "end": ("'PowerTransformerEnd'", f"8500000000000 + {_LINE_ITEM}", _id("_TE", "k", "rn"), _ENDS),
+    "ratio": ("'RatioTapChanger'", f"8600000000000 + {_LINE_ITEM}", _id("_RT", "k", "rn"), f"(SELECT * FROM {_ENDS} e WHERE rn % 3 = 1)"),
+    "phase": ("'PhaseTapChangerTabular'", f"8700000000000 + {_LINE_ITEM}", _id("_PT", "k", "rn"), f"(SELECT * FROM {_ENDS} e WHERE rn % 4 = 2)"),
+    "ratio point": ("'RatioTapChangerTablePoint'", "8800000000000 + n_nationkey", _id("_RTP", "n_nationkey"), "nation"),
+    "phase point": ("'PhaseTapChangerTablePoint'", "8900000000000 + n_nationkey", _id("_PTP", "n_nationkey"), "nation"),
+    "unit": (_UNIT, "9000000000000 + s_suppkey", _id("_U", "s_suppkey"), "supplier"),
+    "fuel": ("'FossilFuel'", "9020000000000 + s_suppkey", _id("_FF", "s_suppkey"), "supplier"),
+    "control": ("'RegulatingControl'", "9040000000000 + s_suppkey", _id("_RG", "s_suppkey"), "supplier"),
+    "curve point": ("'CurveData'", "9060000000000 + n_nationkey", _id("_CD", "n_nationkey"), "nation"),
+    "response": ("'LoadResponseCharacteristic'", "9080000000000 + r_regionkey", _id("_LR", "r_regionkey"), "region"),
+    "limit type": ("'OperationalLimitType'", "9100000000000 + r_regionkey", _id("_OLT", "r_regionkey"), "region"),
+    "limit set": ("'OperationalLimitSet'", f"9200000000000 + {_LINE_ITEM}", _id("_OLS", "k", "rn"), _LIMITED),
+    "current limit": ("'CurrentLimit'", f"9300000000000 + {_LINE_ITEM}", _id("_CL", "k", "rn"), f"(SELECT * FROM {_LIMITED} e WHERE rn % 3 > 0)"),
+    "voltage limit": ("'VoltageLimit'", f"9400000000000 + {_LINE_ITEM}", _id("_VLM", "k", "rn"), f"(SELECT * FROM {_LIMITED} e WHERE rn % 5 < 2)"),
+    "area": ("'ControlArea'", "9500000000000 + r_regionkey", _id("_CA", "r_regionkey"), "region"),
+    "flow": ("'TieFlow'", "9600000000000 + n_nationkey", _id("_TF", "n_nationkey"), "nation"),
+}
+
+_NAME, _MRID = "IdentifiedObject.name", "IdentifiedObject.mRID"
+_TE, _TC, _P, _LRC = "PowerTransformerEnd.", "TapChanger.", "TapChangerTablePoint.", "LoadResponseCharacteristic."
+_SHUNT, _SVC, _MACHINE, _LINE = "kind = 'LinearShuntCompensator'", "kind = 'StaticVarCompensator'", "kind = 'SynchronousMachine'", "kind = 'ACLineSegment'"
+
+
+def _tap(kind: str, prefix: str, table: str, tabled: str) -> list[tuple]:
+    return [
+        (kind, _TC + "lowStep", "'-2'", None, None), (kind, _TC + "highStep", "'2'", None, None), (kind, _TC + "neutralStep", "'0'", None, None),
+        (kind, _TC + "normalStep", _s("rn % 3 - 1"), None, "rn % 11 > 0"), (kind, _TC + "ltcFlag", "CASE WHEN rn % 2 = 0 THEN 'true' ELSE 'false' END", None, None),
+        (kind, prefix + ".TransformerEnd", None, _ref("_TE", "k", "rn"), None), (kind, f"{prefix}.{table}", None, _ref("_TAB", "rn % 6"), tabled),
+    ]
+
+
+def _points(kind: str, table: str) -> list[tuple]:
+    texts = [(_P + "r", "'0.5'"), (_P + "x", _s("n_nationkey")), (_P + "ratio", "'0.' || " + _s("n_nationkey + 5"))]
+    return [*[(kind, p, t, None, None if p != _P + "ratio" else "n_nationkey % 7 > 0") for p, t in texts], (kind, f"{table}Point.{table}", None, _ref("_TAB", "n_regionkey"), None)]
+
+
+#: (kind of object, name, text, reference, condition): one row a tag, in this order.
+_TAGS = [
+    ("model", "Model.scenarioTime", "'2026-01-01T09:00:00Z'", None, None),
+    ("model", "Model.created", "'2026-01-01T01:30:00Z'", None, None),
+    ("model", "Model.modelingAuthoritySet", "'http://' || r_name", None, None),
+    ("model", "Model.description", "'a+b &lt;' || r_name || '&gt;'", None, None),
+    ("model", "Model.version", "'3'", None, "r_regionkey = 0"),
+    ("model", "Model.profile", "CASE WHEN r_regionkey = 0 THEN 'http://x/CoreEquipment-EU/3.0' ELSE 'http://x/EquipmentBoundary-EU/3.0' END", None, None),
+    ("model", "Model.profile", "'http://x/ShortCircuit-EU/3.0'", None, "r_regionkey = 0"),
+    ("model", "Model.DependentOn", None, "'urn:uuid:dep'", None),
+    ("region", _NAME, "r_name", None, None),
+    ("subregion", _NAME, "n_name", None, None),
+    ("subregion", "SubGeographicalRegion.Region", None, _ref("_GR", "n_regionkey"), None),
+    ("substation", _NAME, "c_name", None, None),
+    ("substation", "Substation.Region", None, _ref("_SGR", "c_nationkey"), None),
+    ("substation", _NAME, "'second name'", None, "c_custkey % 11 = 0"),
+    ("voltage", "BaseVoltage.nominalVoltage", _s("(r_regionkey + 1) * 55") + " || '.5'", None, None),
+    ("level", "VoltageLevel.Substation", None, _ref("_SS", "c"), None),
+    ("level", "VoltageLevel.BaseVoltage", None, _ref("_BV", "c % 6"), None),
+    ("level", _NAME, "'level ' || " + _s("m"), None, "c % 4 > 0"),
+    ("bay", "Bay.VoltageLevel", None, _ref("_VL", "o_custkey", "o_orderkey % 3"), None),
+    ("container", _NAME, "'line ' || " + _s("o_orderkey"), None, "o_orderkey % 3 = 0"),
+    ("container", _MRID, "'lc' || " + _s("o_orderkey"), None, "o_orderkey % 5 = 2"),
+    ("node", "ConnectivityNode.ConnectivityNodeContainer", None, f"CASE WHEN o_orderkey % 40 = 1 THEN {_ref('_BY', 'o_orderkey')} WHEN o_orderkey % 40 = 7 THEN {_ref('_LC', 'o_orderkey')} ELSE {_ref('_VL', 'o_custkey', 'o_orderkey % 3')} END", None),
+    ("terminal", "ACDCTerminal.sequenceNumber", _s("seq"), None, None),
+    ("terminal", "Terminal.ConnectivityNode", None, _ref("_CN", "l_orderkey"), None),
+    ("terminal", "Terminal.ConductingEquipment", None, _ref("_EQ", "k", "b"), None),
+    ("equipment", _MRID, "'m' || " + _s("k") + " || '-' || " + _s("b"), None, "k % 2 = 0"),
+    ("equipment", _NAME, "'part ' || " + _s("k"), None, "k % 5 = 0"),
+    ("equipment", "ConductingEquipment.BaseVoltage", None, _ref("_BV", "k % 5"), f"{_LINE} OR kind = 'SeriesCompensator'"),
+    ("equipment", "Switch.open", "CASE WHEN b % 2 = 0 THEN 'true' ELSE 'false' END", None, "k % 60 = 0"),
+    ("equipment", "Switch.retained", "'true'", None, "k % 60 = 0 AND b % 3 = 0"),
+    ("equipment", "ShuntCompensator.sections", _s("k % 5"), None, _SHUNT),
+    ("equipment", "ShuntCompensator.maximumSections", _s("k % 5 + 2"), None, f"{_SHUNT} AND b % 2 = 0"),
+    ("equipment", "LinearShuntCompensator.bPerSection", "'0.' || " + _s("k % 97 + 1"), None, _SHUNT),
+    ("equipment", "LinearShuntCompensator.gPerSection", "'no number'", None, f"{_SHUNT} AND b % 2 = 1"),
+    ("equipment", "ACLineSegment.r", "' ' || " + _s("k % 13") + " || '.5 '", None, _LINE),
+    ("equipment", "ACLineSegment.x", _s("k % 19") + " || 'e1'", None, _LINE),
+    ("equipment", "ACLineSegment.bch", _s("k % 17"), None, _LINE),
+    ("equipment", "ACLineSegment.gch", _s("k % 3"), None, f"{_LINE} AND b % 2 = 0"),
+    ("equipment", "SeriesCompensator.r", _s("k % 23"), None, "kind = 'SeriesCompensator'"),
+    ("equipment", "SeriesCompensator.x", _s("k % 29") + " || '.25'", None, "kind = 'SeriesCompensator'"),
+    ("equipment", "RotatingMachine.GeneratingUnit", None, _ref("_U", "k % 10 + 1"), _MACHINE),
+    ("equipment", "SynchronousMachine.minQ", "'-' || " + _s("k % 100"), None, f"{_MACHINE} AND k % 12 = 2"),
+    ("equipment", "SynchronousMachine.maxQ", _s("k % 100"), None, _MACHINE),
+    ("equipment", "RotatingMachine.ratedS", _s("k % 300") + " || '.5'", None, f"{_MACHINE} AND b % 2 = 0"),
+    ("equipment", "SynchronousMachine.qPercent", _s("k % 101"), None, f"{_MACHINE} AND k % 12 = 8"),
+    ("equipment", "SynchronousMachine.type", None, "'http://c#SynchronousMachineKind.' || CASE WHEN b % 2 = 0 THEN 'generator' ELSE 'generatorOrCondenser' END", f"{_MACHINE} AND b % 3 > 0"),
+    ("equipment", "SynchronousMachine.InitialReactiveCapabilityCurve", None, _ref("_RC", "k % 9"), f"{_MACHINE} AND b % 4 = 1"),
+    ("equipment", "RegulatingCondEq.RegulatingControl", None, _ref("_RG", "k % 12 + 1"), f"{_MACHINE} AND b % 2 = 0"),
+    ("equipment", "RegulatingCondEq.controlEnabled", "CASE WHEN b % 3 = 0 THEN 'true' ELSE 'no' END", None, f"{_MACHINE} OR {_SHUNT} OR {_SVC}"),
+    ("equipment", "StaticVarCompensator.bMin", "'-0.' || " + _s("k % 7"), None, _SVC),
+    ("equipment", "StaticVarCompensator.bMax", "'0.' || " + _s("k % 8"), None, f"{_SVC} AND b % 2 = 0"),
+    ("equipment", "StaticVarCompensator.regulationMode", None, "'http://c#SVCControlMode.' || CASE WHEN b % 2 = 0 THEN 'voltage' ELSE 'reactivePower' END", f"{_SVC} AND b % 3 > 0"),
+    ("equipment", "EnergyConsumer.LoadResponse", None, _ref("_LR", "k % 6"), "k % 6 = 3 AND b % 2 = 0"),
+    ("end", "TransformerEnd.endNumber", _s("w + 1 - seq"), None, "rn % 13 > 0"),
+    ("end", _TE + "ratedU", _s("(k % 7 + 1) * 8 * seq"), None, "rn % 17 > 0"),
+    ("end", _TE + "r", _s("k % 5") + " || '.25'", None, None),
+    ("end", _TE + "x", _s("k % 31"), None, None),
+    ("end", _TE + "g", "'0.5'", None, "rn % 2 = 0"),
+    ("end", _TE + "b", "'-0.125'", None, "rn % 3 = 0"),
+    ("end", _TE + "ratedS", _s("k % 400"), None, "rn % 2 = 1"),
+    ("end", _TE + "PowerTransformer", None, _ref("_EQ", "k", "b"), None),
+    ("end", "TransformerEnd.Terminal", None, _ref("_T", "k", "rn"), None),
+    *_tap("ratio", "RatioTapChanger", "RatioTapChangerTable", "rn % 2 = 1"),
+    ("ratio", "RatioTapChanger.stepVoltageIncrement", "'1.25'", None, "rn % 5 > 0"),
+    *_tap("phase", "PhaseTapChanger", "PhaseTapChangerTable", "rn % 8 = 2"),
+    *_points("ratio point", "RatioTapChangerTable"),
+    *_points("phase point", "PhaseTapChangerTable"),
+    ("phase point", "PhaseTapChangerTablePoint.angle", "'-' || " + _s("n_nationkey"), None, "n_nationkey % 2 = 0"),
+    ("unit", "GeneratingUnit.minOperatingP", _s("s_suppkey % 50"), None, None),
+    ("unit", "GeneratingUnit.maxOperatingP", _s("s_suppkey % 50 + 100"), None, None),
+    ("unit", "WindGeneratingUnit.windGenUnitType", None, "'http://c#WindGenUnitKind.onshore'", "s_suppkey % 5 < 3"),
+    ("fuel", "FossilFuel.ThermalGeneratingUnit", None, _ref("_U", "s_suppkey - s_suppkey % 2"), None),
+    ("fuel", "FossilFuel.fossilFuelType", None, "CASE WHEN s_suppkey % 3 = 0 THEN 'none' ELSE 'http://c#FuelType.kind' || " + _s("s_suppkey % 4") + " END", None),
+    ("control", "RegulatingControl.mode", None, "'http://c#RegulatingControlModeKind.Voltage'", "s_suppkey % 2 = 0"),
+    ("control", "RegulatingControl.Terminal", None, _ref("_T", "s_suppkey * 6", "1"), None),
+    ("curve point", "CurveData.xvalue", _s("n_nationkey * 10"), None, None),
+    ("curve point", "CurveData.y1value", "'-' || " + _s("n_nationkey"), None, "n_nationkey % 3 > 0"),
+    ("curve point", "CurveData.y2value", _s("n_nationkey"), None, None),
+    ("curve point", "CurveData.Curve", None, _ref("_RC", "n_regionkey"), None),
+    ("response", _LRC + "exponentModel", "CASE WHEN r_regionkey % 2 = 0 THEN 'true' ELSE 'false' END", None, None),
+    ("response", _LRC + "pVoltageExponent", "'0.5'", None, None),
+    ("response", _LRC + "pConstantPower", _s("r_regionkey"), None, None),
+    ("limit type", "OperationalLimitType.isInfiniteDuration", "CASE WHEN r_regionkey % 2 = 0 THEN 'true' ELSE 'false' END", None, None),
+    ("limit type", "OperationalLimitType.direction", None, "'http://c#OperationalLimitDirectionKind.' || CASE WHEN r_regionkey % 3 = 0 THEN 'low' WHEN r_regionkey % 3 = 1 THEN 'high' ELSE 'absoluteValue' END", "r_regionkey < 4"),
+    ("limit set", "OperationalLimitSet.Terminal", None, _ref("_T", "k", "rn"), None),
+    ("limit set", _NAME, "'set ' || " + _s("rn"), None, "rn % 2 = 0"),
+    ("current limit", "OperationalLimit.OperationalLimitSet", None, _ref("_OLS", "k", "rn"), None),
+    ("current limit", "OperationalLimit.OperationalLimitType", None, _ref("_OLT", "rn % 3"), None),
+    ("current limit", "CurrentLimit.value", _s("k + rn"), None, "rn % 9 > 0"),
+    ("current limit", "CurrentLimit.normalValue", "' ' || " + _s("k") + " || '.75'", None, "rn % 2 > 0"),
+    ("voltage limit", "OperationalLimit.OperationalLimitSet", None, _ref("_OLS", "k", "rn"), None),
+    ("voltage limit", "OperationalLimit.OperationalLimitType", None, _ref("_OLT", "k % 5"), None),
+    ("voltage limit", "VoltageLimit.normalValue", _s("k % 400"), None, "k % 4 > 0"),
+    ("area", _NAME, "r_name", None, "r_regionkey > 0"),
+    ("area", _MRID, "'area' || " + _s("r_regionkey"), None, "r_regionkey % 2 = 1"),
+    ("area", "ControlArea.type", None, "CASE WHEN r_regionkey = 2 THEN 'plain' ELSE 'http://c#ControlAreaTypeKind.Interchange' END", "r_regionkey < 4"),
+    ("flow", "TieFlow.ControlArea", None, f"CASE WHEN n_regionkey % 2 = 1 AND n_nationkey % 2 = 0 THEN '#area' || {_s('n_regionkey')} ELSE {_ref('_CA', 'n_regionkey')} END", None),
+    ("flow", "TieFlow.Terminal", None, _ref("_T", "n_nationkey * 6 + 1", "n_nationkey % 2 + 1"), None),
 ]
 
-_OBJECT_ROWS = "\nUNION ALL ".join(f"SELECT 'star' AS model, {pos} AS doc_pos, {name} AS id, {kind} AS type FROM {source} x" for kind, pos, name, source in _OBJECTS)
-_TRIPLE_ROWS = "\nUNION ALL ".join(
-    f"SELECT {pos} AS subj_pos, ({pos}) * 10 + {k} AS pos, '{pred}' AS pred, {text or 'CAST(NULL AS STRING)'} AS text, {ref or 'CAST(NULL AS STRING)'} AS ref FROM {source} x" for pos, k, pred, text, ref, source in _TRIPLES
-)
 
-#: Common table expressions ``objects`` (model, doc_pos, id, type) and ``tagrows`` (subj_pos, pos, pred, text, ref).
-CTES = f"""lines AS ({_LINES}), equipment AS ({_EQUIPMENT}),
-levels AS (SELECT DISTINCT o_custkey AS c, o_orderkey % 3 AS m FROM orders),
-objects AS ({_OBJECT_ROWS}),
-tagrows AS ({_TRIPLE_ROWS})"""
+def _text(x: str | None) -> str:
+    return x or "CAST(NULL AS STRING)"
+
+
+def _union_of_tags() -> str:
+    """One SELECT for each tag, for DuckDB."""
+    rows, count = [], dict.fromkeys(_OBJECTS, 0)
+    for kind, pred, text, ref, condition in _TAGS:
+        _, pos, name, source = _OBJECTS[kind]
+        where = f" WHERE {condition}" if condition else ""
+        rows.append(f"SELECT 'star' AS model, {name} AS subj, {pos} AS subj_pos, ({pos}) * 32 + {count[kind]} AS pos, '{pred}' AS pred, {_text(text)} AS text, {_text(ref)} AS ref FROM {source} x{where}")
+        count[kind] += 1
+    return "\nUNION ALL ".join(rows)
+
+
+def _tags_by_kind() -> str:
+    """One SELECT for each kind of object, which lists its tags, for Spark: every source is read once."""
+    rows = []
+    for kind, (_, pos, name, source) in _OBJECTS.items():
+        tags = [t[1:] for t in _TAGS if t[0] == kind]
+        listed = [f"IF({condition or 'true'}, struct({n} AS n, '{pred}' AS pred, {_text(text)} AS text, {_text(ref)} AS ref), NULL)" for n, (pred, text, ref, condition) in enumerate(tags)]
+        if listed:
+            rows.append(f"SELECT {name} AS subj, {pos} AS subj_pos, inline(array_compact(array({', '.join(listed)}))) FROM {source} x")
+    return "SELECT 'star' AS model, subj, subj_pos, subj_pos * 32 + n AS pos, pred, text, ref FROM (" + "\nUNION ALL ".join(rows) + ")"
+
+
+_OBJECT_ROWS = "\nUNION ALL ".join(f"SELECT 'star' AS model, {pos} AS doc_pos, {name} AS id, {kind} AS type FROM {source} x" for kind, pos, name, source in _OBJECTS.values())
 
 #: The second version for differences: objects left out, classes changed, texts changed, tags left out.
-CTES_V2 = """objects2 AS (SELECT model, doc_pos, id, CASE WHEN doc_pos % 89 = 0 THEN type || '2' ELSE type END AS type FROM objects WHERE doc_pos % 97 <> 0),
-tagrows2 AS (SELECT subj_pos, pos, pred, CASE WHEN subj_pos % 83 = 0 THEN text || '!' ELSE text END AS text, ref FROM tagrows WHERE pos % 101 <> 0)"""
+_OBJECT_ROWS_2 = "SELECT model, doc_pos, id, CASE WHEN doc_pos % 89 = 0 THEN type || '2' ELSE type END AS type FROM objects WHERE doc_pos % 97 <> 0"
+_TAG_ROWS_2 = "SELECT model, subj, subj_pos, pos, pred, CASE WHEN subj_pos % 83 = 0 THEN text || '!' ELSE text END AS text, ref FROM tagrows WHERE pos % 101 <> 0 AND subj_pos % 97 <> 0"
+
+#: DuckDB's common table expressions ``objects`` (model, doc_pos, id, type) and ``tagrows`` (subj_pos, pos, pred, text, ref).
+CTES = f"""lines AS MATERIALIZED ({_LINES}), equipment AS MATERIALIZED ({_EQUIPMENT}), levels AS MATERIALIZED ({_LEVELS}),
+objects AS MATERIALIZED ({_OBJECT_ROWS}),
+tagrows AS MATERIALIZED ({_union_of_tags()})"""
+CTES_V2 = f"objects2 AS MATERIALIZED ({_OBJECT_ROWS_2}), tagrows2 AS MATERIALIZED ({_TAG_ROWS_2})"
 
 TABLES = ("region", "nation", "customer", "supplier", "orders", "lineitem")
 
 
+class StarGrid(Grid):
+    """A Grid over the tables of a folder; objects and triples are made and stored when first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, version: int = 1):
+        self.spark, self.version = spark, version
+        self.tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
+        self.tables["lines"] = stored(self._sql(_LINES, **self.tables), "star-lines")
+        self.tables["equipment"] = self._sql(_EQUIPMENT, **self.tables)
+        self.tables["levels"] = self._sql(_LEVELS, **self.tables)
+
+    def _sql(self, text: str, **tables: DataFrame) -> DataFrame:
+        for name, table in tables.items():
+            table.createOrReplaceTempView(name)
+        return self.spark.sql(text)
+
+    @cached_property
+    def objects(self) -> DataFrame:
+        rows = self._sql(_OBJECT_ROWS, **self.tables)
+        rows = self._sql(_OBJECT_ROWS_2, objects=rows) if self.version == 2 else rows
+        return stored(rows.selectExpr("model", "doc_pos", "doc_pos AS close_pos", "id", "type", "'EQ' AS src_part"), "star-objects")
+
+    @cached_property
+    def triples(self) -> DataFrame:
+        rows = self._sql(_tags_by_kind(), **self.tables)
+        return stored(self._sql(_TAG_ROWS_2, tagrows=rows) if self.version == 2 else rows, "star-triples")
+
+
 def star_grid(spark: SparkSession, sf_dir: str, version: int = 1) -> Grid:
     """The model ``star`` of the tables in a folder; version 2 has deterministic edits."""
-    for table in TABLES:
-        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
-    with_v2 = f"WITH {CTES}, {CTES_V2} " if version == 2 else f"WITH {CTES} "
-    n = "2" if version == 2 else ""
-    objects = spark.sql(f"{with_v2} SELECT model, doc_pos, doc_pos AS close_pos, id, type, 'EQ' AS src_part FROM objects{n}")
-    objects = stored(objects, "star-objects")
-    rows = spark.sql(f"{with_v2} SELECT * FROM tagrows{n}")
-    triples: DataFrame = rows.join(objects.select("model", objects["doc_pos"].alias("subj_pos"), objects["id"].alias("subj")), "subj_pos")
-    return Grid(objects, stored(triples.select("model", "subj", "subj_pos", "pos", "pred", "text", "ref"), "star-triples"))
+    return StarGrid(spark, sf_dir, version)

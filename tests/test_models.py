@@ -1,12 +1,20 @@
+import functools
 import io
+import json
+import re
 import zipfile
 
+import numpy as np
 import pytest
 from models import NAME, RDF, grid_of, thing
 from pyspark.sql import functions as F
 
+from gridweft import cli
 from gridweft.operators import diff as D
+from gridweft.operators import ordered
+from gridweft.plans.convert import METRICS
 from gridweft.sources import rdfxml, sinks
+from gridweft.streaming.versions import watch
 
 
 def test_objects_in_order(spark):
@@ -32,6 +40,66 @@ def test_nested_objects(spark):
     assert got == {("_1", "in"), ("_2", "in")}
 
 
+@pytest.mark.parametrize("width", [2, 1 << 16])
+def test_ordered(spark, width):
+    """Next values, last values and sums over ranges of positions are those over the whole order."""
+    rng = np.random.default_rng(1)
+    rows = [(f"m{rng.integers(0, 2)}", int(p), int(v), int(v) if rng.random() < 0.3 else None) for p, v in zip(rng.permutation(200)[:80], rng.integers(-5, 6, 80), strict=True)]
+    df = spark.createDataFrame(rows, "model string, pos long, v long, n long")
+    out = ordered.next_value(df, ["model"], "pos", F.col("v"), "next", width)
+    out = ordered.last_value_before(out, ["model"], "pos", F.col("n"), "last", width)
+    got = {(r["model"], r["pos"]): (r["next"], r["last"], r["sum"]) for r in ordered.running_sum(out, ["model"], "pos", F.col("v"), "sum", width).collect()}
+    for model in ("m0", "m1"):
+        own = sorted(r[1:] for r in rows if r[0] == model)
+        for i, (pos, _, _) in enumerate(own):
+            before = [n for _, _, n in own[:i] if n is not None]
+            assert got[(model, pos)] == (own[i + 1][1] if i + 1 < len(own) else None, before[-1] if before else None, sum(v for _, v, _ in own[: i + 1]))
+
+
+def random_xml(rng, depth=0):
+    """Balanced elements, some of them objects, some within others; and what every object encloses."""
+    parts = []
+    for _ in range(rng.integers(0, 5 - depth) if depth else 12):
+        name = f"e{rng.integers(0, 4)}"
+        attr = f' rdf:ID="_{rng.integers(0, 10**9)}"' if rng.random() < 0.6 else ""
+        parts.append(f"<c:{name}{attr}/>" if rng.random() < 0.3 else f"<c:{name}{attr}>t{random_xml(rng, depth + 1)}</c:{name}>")
+    return "".join(parts)
+
+
+@pytest.mark.parametrize("width", [3, 1 << 16])
+def test_triples_of_random_models(spark, monkeypatch, width):
+    """Balanced models through windows against the stack; triples against a walk over the elements."""
+    for kind in ("next_value", "last_value_before", "running_sum"):
+        monkeypatch.setattr(rdfxml, kind, functools.partial(getattr(ordered, kind), width=width))
+    monkeypatch.setattr(rdfxml, "NEST_RANGE", width)
+    rng = np.random.default_rng(7)
+    texts = [RDF.format(random_xml(rng)) for _ in range(6)]
+    contents = spark.createDataFrame([(f"m{i}", "EQ", t) for i, t in enumerate(texts)], "model string, part string, content string")
+    closed = rdfxml.closed(rdfxml.tags(contents)).cache()
+    objects = rdfxml.objects(closed).cache()
+    got = {(r["model"], r["subj"], r["pos"]) for r in rdfxml.triples(closed, objects).collect()}
+    want, ends = set(), set()
+    for i, text in enumerate(texts):
+        around, open_ = [], []
+        for pos, tag in enumerate(text.split("<")[1:], 1):
+            if tag.startswith("?"):
+                continue
+            if tag.startswith("/"):
+                start, subject = open_.pop()
+                ends.add((f"m{i}", start, pos))
+                if subject:
+                    around.pop()
+                continue
+            want |= {(f"m{i}", s, pos) for s in around}
+            found = re.search('rdf:ID="([^"]*)"', tag.split(">")[0])
+            if not tag.split(">")[0].endswith("/"):
+                open_.append((pos, bool(found)))
+                if found:
+                    around.append(found[1])
+    assert got == want
+    assert {(r["model"], r["pos"], r["close_pos"]) for r in closed.where("kind = 1").collect()} == ends
+
+
 def test_unbalanced_replays_the_stack(spark):
     contents = spark.createDataFrame([("m", "EQ", "<a><br><b></b></a>")], "model string, part string, content string")
     rows = rdfxml.closed(rdfxml.tags(contents), namespaced=False).collect()
@@ -93,9 +161,81 @@ def test_diff_single(versions):
     assert D.diff_single(old, old, "_1").first()["status"] == "same"
 
 
+def test_single_reports(spark, versions):
+    old, new = versions
+    report = lambda i, f=D.single_text: [r["line"] for r in (f(old, new, i).orderBy("sort_id") if f is D.single_text else f(*D.single(old, new, i))).collect()]
+    assert report("_1") == ["--- old\n+++ new", '~ _1  "x"\n  - p: "1"\n  + p: "2"']
+    assert report("_2") == ["--- old\n+++ new", '- _2  ""'] and report("_5")[1:] == ['+ _5  "q""']
+    assert [r["line"] for r in D.single_text(old, old, "_1").collect()] == ["--- old\n+++ new"]
+    assert report("_1", D.diff_ndjson) == ['{"type":"A","mrid":"_1","status":"changed","changes":[{"property":"p","from":"1","to":"2"}]}']
+    assert report("_1", D.diff_summary_text) == ["A  +0 -0 ~1"] and report("_5", D.diff_summary_text) == ["C  +1 -0 ~0"]
+    assert [r["line"] for r in D.diff_ndjson(*D.single(old, old, "_1")).collect()] == []
+    moved = grid_of(spark, RDF.format(thing("Z", "1", {NAME: "x", "p": "3"})))
+    assert [r["line"] for r in D.diff_summary_text(*D.single(old, moved, "_1")).collect()] == ["A  +0 -0 ~1"]
+
+
+def test_reordered_objects_are_equal(spark):
+    """Objects whose tags differ in order alone have no differences; the last of equal names counts."""
+    old = RDF.format(thing("A", "1", {"p": "1", "q": "2"}) + '<cim:A rdf:ID="_2"><cim:p>1</cim:p><cim:p>2</cim:p></cim:A>')
+    new = RDF.format(thing("A", "1", {"q": "2", "p": "1"}) + '<cim:A rdf:ID="_2"><cim:p>2</cim:p><cim:p>1</cim:p></cim:A>')
+    found = D.diff_fields(grid_of(spark, old), grid_of(spark, new)).collect()
+    assert [(r["id"], r["old"], r["new"]) for r in found] == [("_2", "2", "1")]
+
+
+def test_versions_survive_a_restart(spark, tmp_path):
+    """A stream that starts again compares with the version before the restart."""
+    schema = "model string, part string, content string"
+    seen = []
+
+    def run(doc):
+        spark.createDataFrame([("m", "EQ", doc)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        versions = watch(spark, stream, f"file://{tmp_path}/check", lambda n, rows: seen.append((n, sorted((r["id"], r["status"]) for r in rows.collect()))))
+        versions.awaitTermination()
+
+    run(RDF.format(thing("A", "1", {"p": "1"}) + thing("A", "2")))
+    run(RDF.format(thing("A", "1", {"p": "2"}) + thing("A", "2")))
+    run(RDF.format(thing("A", "1", {"p": "2"}) + thing("A", "3")))
+    assert seen == [(0, [("_1", "added"), ("_2", "added")]), (1, [("_1", "changed")]), (2, [("_2", "removed"), ("_3", "added")])]
+
+
+def test_cli(spark, tmp_path, capsys):
+    old, new = RDF.format(thing("A", "1", {NAME: "x"}) + thing("B", "2", {}, {"r": "1"})), RDF.format(thing("A", "1", {NAME: "y"}) + thing("B", "2", {}, {"r": "1"}))
+    for name, text in (("a.xml", old), ("b.XML", new)):
+        (tmp_path / name).write_text(text)
+    a, b = f"{tmp_path}/a.xml", f"{tmp_path}/b.XML"
+
+    def run(*args):
+        code = cli.main(list(args), spark)
+        return code, capsys.readouterr()
+
+    code, out = run("types", a)
+    assert code == 0 and out.out.splitlines() == ["A  1", "B  1", "total  2"]
+    code, out = run("get", a, "--mrid", "_2", "--json")
+    assert code == 0 and json.loads(out.out) == {"id": "_2", "type": "B", "properties": {}, "references": {"r": "_1"}}
+    assert run("get", a, "--mrid", "_9")[0] == 1 and run("get", a)[0] == 2
+    assert run("get", a, "--type", "A", "--count")[1].out == "1\n"
+    assert run("diff", a, a)[0] == 0 and run("diff", a, b, "--summary") == (1, ("A  +0 -0 ~1\n", ""))
+    code, out = run("diff", a, b, "--mrid", "_1")
+    assert code == 1 and out.out == f'--- {a}\n+++ {b}\n~ _1  "y"\n  - {NAME}: "x"\n  + {NAME}: "y"\n'
+    assert run("diff", a, b, "--mrid", "_2")[0] == 0 and run("diff", a, b, "--mrid", "_9")[0] == 1
+    code, out = run("diff", a, b, "--mrid", "_1", "--type", "B")
+    assert code == 2 and "is of type 'A', not 'B'" in out.err
+    assert run("browse", a, "--mrid", "_2")[1].out.splitlines() == ["0  B  _2", "1  A  _1"]
+    code, out = run("convert", a, "--output", f"{tmp_path}/out.json")
+    assert code == 0 and out.out.splitlines() == [f"{m}: 0" for m in METRICS]
+    assert json.loads((tmp_path / "out.json").read_text())["substations"] == []
+    for wrong in (["types", "x.txt"], ["nothing"], ["get"]):
+        with pytest.raises(SystemExit) as stopped:
+            cli.main(wrong, spark)
+        assert stopped.value.code == 2
+    capsys.readouterr()
+
+
 def test_sinks(versions):
     old, _ = versions
-    assert sinks.object_json(old, ["B"]).first()["json"] == '{"id":"_3","type":"B","r":"_1"}'
+    assert sinks.object_json(old, ["B"]).first()["json"] == '{"id":"_3","type":"B","properties":{},"references":{"r":"_1"}}'
+    assert [r["line"] for r in sinks.objects_text(old, "A").orderBy("nth").collect()] == ["[1] _1\nA _1\n  IdentifiedObject.name: x\n  p: 1", "[2] _2\nA _2"]
     assert sinks.list_json(old, "A", "p").first()["json"] == '[{"id":"_1","type":"A","p":"1"},{"id":"_2","type":"A","p":""}]'
     assert sinks.types_json(old).first()["json"] == '[{"type":"A","count":2},{"type":"B","count":1}]'
     assert sinks.object_text(old, "_1").first()["line"] == "A _1\n  IdentifiedObject.name: x\n  p: 1"
