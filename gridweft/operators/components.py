@@ -74,6 +74,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
     if before[0] <= SMALL:
         kind = held.df.schema["a"].dataType.simpleString()
         found = Stored(held.df.coalesce(1).mapInArrow(_join_all, f"node {kind}, component {kind}"), "components").df
+        held.drop()
     else:
         stars = held.df.select(F.col("a").alias("node"), F.col("b").alias("component"))
         roots = stars.select(F.col("component").alias("node"), "component").distinct()
