@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridweft.llm import exact_dedup, lm_scoring, mixing, near_dedup, packing, quality, substring_dedup, tokens
+from gridweft.operators.components import connected_components
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -155,6 +156,44 @@ def test_near_dedup(spark, monkeypatch, chunk):
     assert {tuple(r) for r in near_dedup.near_groups(df, n_words=2).collect()} == brute_near(rows, 2, 80)
 
 
+def test_near_dedup_of_a_template(spark, monkeypatch):
+    """Texts that share a third with all others make no clusters; planted pairs at 0.8 to 0.85 are found."""
+    monkeypatch.setattr(near_dedup, "CHUNK", 64)
+    rng = np.random.default_rng(21)
+    template = [f"t{k}" for k in range(60)]
+    rows = []
+    for i in range(1200):
+        rows.append((i, template + [f"w{x}" for x in rng.integers(0, 10**6, 120)]))
+    for i in range(60):
+        text = list(rows[i][1])
+        for k in rng.choice(np.arange(62, 178), 8, replace=False):
+            text[k] = f"x{i}-{k}"
+        rows.append((2000 + i, text))
+    rows = [(i, " ".join(t)) for i, t in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    seen = []
+    monkeypatch.setattr(near_dedup, "connected_components", lambda edges: seen.append(edges.count()) or connected_components(edges))
+    got = {tuple(r) for r in near_dedup.near_groups(df, n_words=2).collect()}
+    found = sum(c == i - 2000 for i, _, c, _ in got if i >= 2000)
+    assert found >= 0.95 * 60 and all(c == i for i, _, c, _ in got if i < 2000)
+    assert seen[0] <= 3 * 60
+
+
+def test_near_dedup_of_a_star(spark, monkeypatch):
+    """Copies that are linked with their original alone hang together, over many chunks."""
+    monkeypatch.setattr(near_dedup, "CHUNK", 32)
+    rng = np.random.default_rng(22)
+    base = [f"w{k}" for k in range(200)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 300):
+        text = list(base)
+        for k in rng.choice(np.arange(1, 199), 9, replace=False):
+            text[k] = f"e{i}-{k}"
+        rows.append((i, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {tuple(r) for r in near_dedup.near_groups(df, n_words=2).collect()} == brute_near(rows, 2, 80)
+
+
 def test_near_dedup_edges(edge, empty):
     rows = near_dedup.near_groups(edge, n_words=2).collect()
     assert len(rows) == 9
