@@ -21,7 +21,7 @@ SMALL = 50_000
 
 
 def _join_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, component) of all edges (a, b), a > b, the component being the smallest node."""
+    """(node, component) of all edges (a, b), the component being the smallest node."""
     up: dict = {}
 
     def root(x):
@@ -39,23 +39,30 @@ def _join_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([root(x) for x in nodes], kind)], names=["node", "component"])
 
 
+def _in_one_task(rows: DataFrame) -> DataFrame:
+    kind = rows.schema["a"].dataType.simpleString()
+    return Stored(rows.coalesce(1).mapInArrow(_join_all, f"node {kind}, component {kind}"), "components").df
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """(node, component) of every node of an edge, the component being the smallest node that is reachable.
 
     Edges point both ways; loops and repeats do no harm, and rows with a null are left out. Every round hangs
     neighbours below the smallest one (first those above a node, then those below it), so that paths shorten by a
     factor a round; the edge table of a round is written to the shared folder and that of the round before deleted.
-    Nothing but the row count and a checksum comes to the driver; edges that are few by that count, at the start or
-    after a round, are joined in one task. Minima are taken by aggregation and joined back, so
+    Nothing but the row count and a checksum comes to the driver; edges that are few by that count are joined in one
+    task. Minima are taken by aggregation and joined back, so
     that the node of a large star is pre-aggregated and its join can be split.
     """
     rows = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    if rows.count() <= SMALL:
+        return _in_one_task(rows)
     loops = rows.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
     held = Stored(rows.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
     loops_held = Stored(loops.distinct(), "components-loops")
     before = _shape(held.df)
     for _ in range(most_rounds):
-        if before[0] <= SMALL:
+        if not before[0]:
             break
         both = held.df.select("a", "b").union(held.df.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -71,12 +78,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         before = shape
     else:
         raise RuntimeError(f"components have not settled after {most_rounds} rounds")
-    if before[0] <= SMALL:
-        kind = held.df.schema["a"].dataType.simpleString()
-        found = Stored(held.df.coalesce(1).mapInArrow(_join_all, f"node {kind}, component {kind}"), "components").df
-        held.drop()
-    else:
-        stars = held.df.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        roots = stars.select(F.col("component").alias("node"), "component").distinct()
-        found = stars.union(roots)
+    stars = held.df.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    roots = stars.select(F.col("component").alias("node"), "component").distinct()
+    found = stars.union(roots)
     return found.union(loops_held.df.join(found.select("node"), "node", "left_anti"))

@@ -10,8 +10,8 @@ from models import NAME, RDF, grid_of, thing
 from pyspark.sql import functions as F
 
 from gridweft import cli
+from gridweft.operators import components, ordered
 from gridweft.operators import diff as D
-from gridweft.operators import ordered
 from gridweft.plans.convert import METRICS
 from gridweft.sources import rdfxml, sinks
 from gridweft.streaming.versions import watch
@@ -241,6 +241,21 @@ def test_sinks(versions):
     assert sinks.object_text(old, "_1").first()["line"] == "A _1\n  IdentifiedObject.name: x\n  p: 1"
 
 
+@pytest.mark.parametrize("small", [0, 50_000])
+def test_components(spark, monkeypatch, small):
+    """Stars and the one task find the same components, of numbers and of texts."""
+    monkeypatch.setattr(components, "SMALL", small)
+    rng = np.random.default_rng(6)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 60, (45, 2))] + [(70, 70), (71, 71)]
+    part = {x: x for e in edges for x in e}
+    for _ in part:
+        for a, b in edges:
+            part[a] = part[b] = min(part[a], part[b])
+    for kind, as_ in (("long", int), ("string", lambda x: f"{x:03}")):
+        df = spark.createDataFrame([(as_(a), as_(b)) for a, b in edges] + [(None, as_(5))], f"a {kind}, b {kind}")
+        assert {tuple(r) for r in components.connected_components(df).collect()} == {(as_(x), as_(c)) for x, c in part.items()}
+
+
 def test_access(versions):
     old, _ = versions
     assert old.get_single("_1", "B").first()["status"] == "type_mismatch" and old.get_single("_7").first()["status"] == "not_found"
