@@ -378,16 +378,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > CHUNK)
     chunks = F.coalesce(F.ceil(F.col("size") / CHUNK), F.lit(1)).cast("int")
     member = _salted(clusters, "class").join(_spread(sizes), ["cluster", "salt"], "left").select("class", "cluster", chunks.alias("chunks"))
-    member = keep(member.withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int")), "near-members")
+    member = member.withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int"))
     wanted = classes.select("class", F.col("rep").alias("id"), "text_hash").join(member, "class")
     chosen = base.join(wanted, ["id", "text_hash"]).select(F.col("class").alias("id"), "text", "cluster", "chunks", "chunk")
     sets = keep(chosen.mapInArrow(_sets(n_words), "id long, cluster long, chunks int, chunk int, shingles binary"), "near-sets")
 
-    large = member.where("chunks > 1")
     keys = ["cluster", "chunk"]
     dealt = sets.select(*keys, "id", "shingles")
-    if not large.isEmpty():
-        hubs = sets.join(keep(_hubs(large, classes, ends), "near-hubs"), "id", "left_semi")
+    several = not sizes.isEmpty()
+    if several:
+        hubs = sets.join(_hubs(member.where("chunks > 1"), classes, ends), "id", "left_semi")
         dealt = dealt.unionByName(hubs.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(*keys, "id", "shingles"))
     dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
     linked = dealt.mapInArrow(_link(percent, keys), "a long, b long").unionByName(_same_id(full.where(F.col("id") < last), classes))
@@ -395,12 +395,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     parts = connected_components(linked).select(F.col("node").alias("id"), F.col("component").alias("part"))
 
     # What is outside the main part of a cluster of several chunks is compared with all of the cluster, in blocks.
-    spread = sets.where("chunks > 1").select("id", "cluster", "chunks", "chunk").join(parts, "id", "left").withColumn("part", F.coalesce("part", "id"))
-    by_part = spread.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n"))
-    main = by_part.groupBy("cluster").agg(F.max(F.struct("n", "part")).alias("main"), F.sum("n").alias("size"))
-    rest = main.where("main.n < size").select("cluster", F.col("main.part").alias("main"), F.ceil((F.col("size") - F.col("main.n")) / CHUNK).cast("int").alias("blocks"))
-    rest = keep(_salted(spread, "id").join(_spread(rest), ["cluster", "salt"]).drop("salt"), "near-rest")
-    if not rest.isEmpty():
+    rest = None
+    if several:
+        spread = sets.where("chunks > 1").select("id", "cluster", "chunks", "chunk").join(parts, "id", "left").withColumn("part", F.coalesce("part", "id"))
+        by_part = spread.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n"))
+        main = by_part.groupBy("cluster").agg(F.max(F.struct("n", "part")).alias("main"), F.sum("n").alias("size"))
+        rest = main.where("main.n < size").select("cluster", F.col("main.part").alias("main"), F.ceil((F.col("size") - F.col("main.n")) / CHUNK).cast("int").alias("blocks"))
+        rest = keep(_salted(spread, "id").join(_spread(rest), ["cluster", "salt"]).drop("salt"), "near-rest")
+    if rest is not None and not rest.isEmpty():
         placed = rest.select("id", "part", "main", "blocks").join(sets, "id")
         block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
         outside = placed.where("part <> main").withColumn("block", block).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
