@@ -1,10 +1,11 @@
 """Exact deduplication by a stateful stream.
 
-A batch pass turns every document into a record (digest, id): the id is also the content locator, by which the
-full text is fetched again. The records are a file stream; a streaming aggregation keeps, per digest, the stable
-identifier of the row that stays and the number of rows, in RocksDB state on the executors' disks with a changelog
-in the shared folder, and never expires it. The state is read back as a table. Where a digest was hit again, the full bytes of each row are compared with those at
-the locator; rows whose bytes differ under one digest are grouped anew by their bytes.
+A batch pass turns every document into a record (digest, id): with the digest the id is also the content locator, by
+which the full text is fetched again, from the input or, where a state goes on over several calls, from the texts that
+it holds. The records are a file stream; a streaming aggregation keeps, per digest, the stable identifier of the row
+that stays and the number of rows, in RocksDB state on the executors' disks with a changelog in the shared folder, and
+never expires it. The state is read back as a table. Where a digest was hit again, the full bytes of each row are
+compared with those at the locator; rows whose bytes differ under one digest are grouped anew by their bytes.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from gridweft import storage
 
 #: Rows of one group whose bytes are compared in one task; larger groups are split over salts.
 ROWS_A_SALT = 2000
+#: Stands for a null id in the locator.
+NO_ID = -(2**63)
 
 
 def sha256_digest(text: Column) -> Column:
@@ -35,6 +38,7 @@ class DedupState:
         self.spark = spark
         self.folder = folder or storage.new_path(spark, "dedup-state")
         self.records = f"{self.folder}/records"
+        self.texts = f"{self.folder}/texts"
         self.checkpoint = f"{self.folder}/checkpoint"
 
     def add(self, records: DataFrame) -> None:
@@ -86,7 +90,7 @@ def dedup_exact(
     null and empty rows are one group. The row with the largest id stays; a null id is below all others. Of rows
     repeated with the same id and text, one is kept. An empty table gives no rows. Other columns of ``docs``, whatever
     their names, are not read. ``state`` continues a stream of earlier calls: keep_id and group_size then cover their
-    rows too, and the bytes of rows of earlier calls are taken as checked.
+    rows too, and their texts, which the state's folder holds, are compared with those of this call.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -94,33 +98,40 @@ def dedup_exact(
     own = state is None
     state = state or DedupState(spark)
     state.add(base)
-    records = spark.read.schema("digest binary, id long").parquet(state.records)
-    if not own:
-        records = base.select("digest", "id")
+    if own:
+        records, known = spark.read.schema("digest binary, id long").parquet(state.records), base
+    else:
+        base.write.mode("append").parquet(state.texts)
+        records, known = base.select("digest", "id"), spark.read.schema(base.schema).parquet(state.texts)
     found = records.join(state.table(), "digest", "left")
     decided = storage.stored(found, "dedup-decided")
 
     # Full bytes are compared where a digest was hit: rows of groups with more than one row against the row at the locator.
+    at = lambda c: F.coalesce(F.col(c), F.lit(NO_ID)).alias("at")
     hits = decided.where("n > 1").groupBy("id", "digest").agg(F.max("keep_id").alias("keep_id"), F.max("n").alias("n"))
-    hit_texts = storage.stored(base.join(hits, ["id", "digest"]), "dedup-hits")
     salts = F.ceil(F.col("n") / ROWS_A_SALT).cast("int")
-    members = hit_texts.where(~F.col("id").eqNullSafe(F.col("keep_id"))).select(
-        "digest", "id", "text", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt")
-    )
-    keepers = (
-        hit_texts.where(F.col("id").eqNullSafe(F.col("keep_id")))
-        .dropDuplicates(["digest", "id"])
-        .select("digest", F.col("text").alias("keep_text"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    )
+    if own:
+        hits = hits.select(at("id"), "digest", "n", (~F.col("id").eqNullSafe(F.col("keep_id"))).alias("member"))
+    else:
+        locators = hits.groupBy("digest").agg(F.max("keep_id").alias("id"), F.max("n").alias("n"))
+        hits = hits.select(at("id"), "digest", "n", F.lit(True).alias("member")).unionByName(locators.select(at("id"), "digest", "n", F.lit(False).alias("member")))
+    hit_texts = storage.Stored(known.select(at("id"), "digest", "text").join(hits, ["at", "digest"]), "dedup-hits")
+    # Rows of the id that stays are members too, as a row with that id may have another text.
+    members = hit_texts.df.select("digest", "text", F.pmod(F.xxhash64("at"), salts).cast("int").alias("salt"))
+    keepers = hit_texts.df.where("NOT member").groupBy("digest").agg(F.first("text").alias("keep_text"), F.max("n").alias("n"))
+    keepers = keepers.select("digest", "keep_text", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     unequal = storage.stored(
         members.join(keepers, ["digest", "salt"]).where(F.col("text") != F.col("keep_text")).select("digest").distinct(),
         "dedup-unequal",
     )
+    hit_texts.drop()
     if not unequal.isEmpty():
-        clash = base.join(unequal, "digest").select("id", "digest", "text")
-        exact = clash.groupBy("digest", "text").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keep_id"))
-        redone = clash.join(exact, ["digest", "text"]).select("id", "digest", "n", "keep_id")
+        clash = lambda rows: rows.join(unequal, "digest").select("id", "digest", "text")
+        exact = clash(known).groupBy("digest", "text").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keep_id"))
+        redone = clash(base).join(exact, ["digest", "text"]).select("id", "digest", "n", "keep_id")
         decided = decided.join(unequal, "digest", "left_anti").select("id", "digest", "n", "keep_id").unionByName(redone)
+    if own:
+        storage.delete(spark, state.folder)
     nth = F.row_number().over(Window.partitionBy("digest", "id", "keep_id").orderBy("n"))
     return decided.select(
         F.col("id").alias(id_col),

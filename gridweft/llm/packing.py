@@ -10,6 +10,7 @@ piece of a length gets; pieces are numbered within their length, large lengths o
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections import defaultdict
@@ -55,8 +56,25 @@ def _byte_units() -> dict[int, str]:
     return {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+#: How a tokenizer prepares and splits texts whose parts can be looked up one by one.
+BY_PARTS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+#: Texts that a tokenizer of another kind gets at once.
+TEXTS = 256
+
+
 class PartEncoder:
-    """Token ids of words, looked up by parts that the tokenizer's own splitting never joins.
+    """Token ids of texts. With a tokenizer as in BY_PARTS they are looked up by parts that its splitting never joins.
+
+    A tokenizer of another kind gets whole texts.
 
     A word is cut between two plain characters of different kinds, and between digits; words with an apostrophe, a bar
     or a capital sigma, whose splitting depends on what follows, are left whole. Parts of plain letters go to the
@@ -69,6 +87,8 @@ class PartEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        prepared = json.loads(self.tokenizer.to_str())
+        self.by_parts = all(prepared[k] == v for k, v in BY_PARTS.items())
         self.units = _byte_units()
         self.young: dict[bytes, list[int]] = {}
         self.old: dict[bytes, list[int]] = {}
@@ -101,8 +121,18 @@ class PartEncoder:
                 found[i] = self.young[parts[i]] = e.ids
         return found
 
+    def encode_whole(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """encode() through the whole tokenizer."""
+        for first in range(0, len(column), TEXTS):
+            texts = [t or "" for t in column.slice(first, TEXTS).to_pylist()]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            yield first, np.fromiter(chain.from_iterable(ids), np.uint32), np.cumsum([0, *map(len, ids)])
+
     def encode(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids, offsets) of blocks of rows of a string column, without special tokens."""
+        if not self.by_parts:
+            yield from self.encode_whole(column)
+            return
         for first, data, offsets in tokens.text_blocks(column):
             data = tokens.lowered(data)
             words = tokens.Words(data, offsets)

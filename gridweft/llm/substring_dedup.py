@@ -9,8 +9,9 @@ Only super-k-mers whose minimiser occurs at another place travel: a pass over al
 super-k-mer lies (no text), and minimisers that occur once in all are left out, as no window of theirs can repeat.
 
 Hot groups: within a block of documents equal packed strings are noted once, the others are marked at once, so that
-copies cost one row a block. Windows of minimisers that still occur at very many places (a passage in many contexts)
-travel one by one, to the bucket of the hash of the whole window.
+copies cost one row a block. Windows of minimisers that still occur at very many places (a passage in many contexts or
+blocks) are packed one by one. The earliest place of each is a minimum, aggregated before the shuffle, and is joined
+back to the windows by their text, over salts, so that no task meets all places of a window.
 """
 
 from __future__ import annotations
@@ -31,6 +32,10 @@ GROUP_WORDS = 5
 BLOCK_BYTES = 1 << 21
 #: Places from which on a minimiser's windows travel one by one; so many strings are some 10 MB of a task.
 HOT_ROWS = 50_000
+#: Packed strings that are made at once.
+SLICE = 50_000
+#: Shares of the places of a hot window that are judged apart.
+SALTS = 32
 
 _MIX = np.uint64(0x9FB21C651E98DF25)
 
@@ -120,8 +125,11 @@ def _note(width: int):
     return note
 
 
-def _send(width: int):
-    """Packed strings of the listed super-k-mers of each document; those of hot minimisers window by window."""
+def _send(width: int, one_by_one: bool):
+    """Packed strings of the listed super-k-mers of each document, or of their windows one by one.
+
+    The key of a super-k-mer is its minimiser, that of a window by itself the hash of its words.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,23 +139,26 @@ def _send(width: int):
                 words = tokens.Words(data, offsets)
                 lists = batch.column(3).slice(row, n)
                 flat = lists.flatten()
-                begin, windows, hot = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("begin", "windows", "hot"))
-                begin, windows = begin.astype(np.int64), windows.astype(np.int64)
+                begin, windows = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("begin", "windows"))
                 doc = np.repeat(np.arange(n), lists.value_lengths().to_numpy())
-                first = words.first[doc] + begin
-                each = np.where(hot, windows, 1)
-                at = np.repeat(np.arange(len(begin)), each)
-                nth = np.arange(len(at)) - np.repeat(np.cumsum(each) - each, each)
-                start = first[at] + nth
-                last = np.where(hot[at], start, start + windows[at] - 1)
-                size = min(GROUP_WORDS, width)
+                if not len(begin):
+                    continue
                 hashes = words.hashes()
-                bucket = _sliding_min(tokens.ngrams(hashes, size), width - size + 1)[start] if len(at) else np.zeros(0, np.uint64)
-                if hot.any():
-                    bucket = np.where(hot[at], _window_hashes(hashes, width)[start], bucket)
-                if len(at):
+                if one_by_one:
+                    nth = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+                    doc, begin = np.repeat(doc, windows), np.repeat(begin, windows) + nth
+                    start = last = words.first[doc] + begin
+                    key = _window_hashes(hashes, width)[start]
+                else:
+                    start = words.first[doc] + begin
+                    last = start + windows - 1
+                    size = min(GROUP_WORDS, width)
+                    key = _sliding_min(tokens.ngrams(hashes, size), width - size + 1)[start]
+                # In slices, as windows one by one overlap and so repeat their words.
+                for at in range(0, len(start), SLICE):
+                    own = slice(at, at + SLICE)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(bucket.view(np.int64)), _packed(words, start, last, width).cast(pa.string()), *(pa.array(x) for x in (ids[row + doc[at]], text_hash[row + doc[at]], (begin[at] + nth).astype(np.int32)))],
+                        [pa.array(key[own].view(np.int64)), _packed(words, start[own], last[own], width).cast(pa.string()), *(pa.array(x) for x in (ids[row + doc[own]], text_hash[row + doc[own]], begin[own].astype(np.int32)))],
                         names=["key", "packed", "id", "text_hash", "begin"],
                     )
 
@@ -278,13 +289,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = base.withColumn("text_hash", F.hash("text"))
     noted = storage.stored(base.select("id", "text_hash", "text").mapInArrow(_note(width), "key long, id long, text_hash int, begin int, windows int, twice boolean"), "repeats-noted")
     counts = noted.where("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice")).where("n > 1 OR twice")
-    found = noted.join(counts.select("key", "n"), "key").select("id", "text_hash", F.struct("begin", "windows", (F.col("n") > HOT_ROWS).alias("hot")).alias("run"))
-    # Of one document there are at most as many runs, and as many spans, as it has words.
-    sent = base.join(found.groupBy("id", "text_hash").agg(F.collect_list("run").alias("runs")), ["id", "text_hash"])
-    # ``given`` is carried so that both joins read one exchange of the texts.
-    sent = sent.select("id", "text_hash", "text", "runs", "given").mapInArrow(_send(width), "key long, packed string, id long, text_hash int, begin int")
-    dealt = sent.repartition("key").sortWithinPartitions("key")
+    counts = storage.stored(counts.select("key", (F.col("n") > HOT_ROWS).alias("hot")), "repeats-counts")
+    found = noted.join(counts, "key").select("id", "text_hash", "hot", F.struct("begin", "windows").alias("run"))
+    schema = "key long, packed string, id long, text_hash int, begin int"
+
+    def sent(hot: bool) -> DataFrame:
+        # Of one document there are at most as many runs, and as many spans, as it has words.
+        runs = found.where(F.col("hot") == hot).groupBy("id", "text_hash").agg(F.collect_list("run").alias("runs"))
+        # ``given`` is carried so that all joins read one exchange of the texts.
+        return base.join(runs, ["id", "text_hash"]).select("id", "text_hash", "text", "runs", "given").mapInArrow(_send(width, hot), schema)
+
+    dealt = sent(False).repartition("key").sortWithinPartitions("key")
     spans = dealt.mapInArrow(_bucket(width), "id long, text_hash int, begin int, end int")
+    if not counts.where("hot").isEmpty():
+        windows = storage.stored(sent(True), "repeats-hot")
+        place = F.struct("id", "begin")
+        first = windows.groupBy("key", "packed").agg(F.min(place).alias("first")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = windows.withColumn("salt", F.pmod(F.xxhash64("id", "begin"), F.lit(SALTS)).cast("int"))
+        later = salted.join(first, ["key", "packed", "salt"]).where(place != F.col("first"))
+        spans = spans.unionByName(later.select("id", "text_hash", "begin", (F.col("begin") + width).alias("end")))
     spans = spans.unionByName(noted.where("key IS NULL").select("id", "text_hash", "begin", (F.col("begin") + F.col("windows") + width - 1).alias("end")))
     # Repeated rows send the same spans.
     listed = spans.distinct().groupBy("id", "text_hash").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends"))

@@ -61,6 +61,18 @@ def test_substring_dedup(spark, monkeypatch, hot_rows):
     assert got == brute_removed(rows, 7)
 
 
+def test_substring_dedup_of_a_hot_window(spark, monkeypatch):
+    """One window in every document, in many blocks: the first keeps it, whatever goes one by one."""
+    monkeypatch.setattr(substring_dedup, "HOT_ROWS", 5)
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(substring_dedup, "SLICE", 7)
+    passage = " ".join(f"p{i}" for i in range(9))
+    rows = [(i, f"a{i} b{i} {passage} c{i}" if i % 2 else f"{passage} {passage} d{i}") for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in substring_dedup.remove_repeats(df, width=7).collect()}
+    assert got == brute_removed(rows, 7)
+
+
 def test_substring_dedup_edges(edge, empty):
     rows = substring_dedup.remove_repeats(edge, width=4).collect()
     assert len(rows) == 9
@@ -126,6 +138,22 @@ def test_exact_dedup_continues(spark):
     assert got == {3: (3, 2), 4: (4, 1)}
 
 
+def test_exact_dedup_checks_bytes_of_earlier_calls(spark):
+    """Under a digest that clashes, rows of a later call are told apart from those of an earlier one; null ids too."""
+    state, same = exact_dedup.DedupState(spark), lambda t: F.lit("same").cast("binary")
+    first = spark.createDataFrame([(1, "a"), (9, "b"), (None, "c")], "doc_id long, text string")
+    second = spark.createDataFrame([(3, "a"), (4, "b"), (5, "d"), (None, "c"), (None, "e")], "doc_id long, text string")
+    exact_dedup.dedup_exact(first, state=state, digest=same).collect()
+    got = sorted(((r["doc_id"], r["keep_id"], r["group_size"]) for r in exact_dedup.dedup_exact(second, state=state, digest=same).collect()), key=str)
+    assert got == sorted([(3, 3, 2), (4, 9, 2), (5, 5, 1), (None, None, 2), (None, None, 1)], key=str)
+
+
+def test_exact_dedup_texts_without_ids(spark):
+    rows = [(None, "x"), (None, "x"), (None, "y"), (2, "x")]
+    got = exact_dedup.dedup_exact(spark.createDataFrame(rows, "doc_id long, text string"), digest=lambda t: F.lit("same").cast("binary")).collect()
+    assert sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["kept"]) for r in got) == [("2", "2", 3, True), ("None", "2", 3, False), ("None", "2", 3, False), ("None", "None", 1, True)]
+
+
 def brute_near(rows, n, percent):
     sets = {}
     for i, t in rows:
@@ -270,6 +298,77 @@ def test_quality_held_out(spark):
     assert np.all(np.diff(model.thresholds) > 0)
 
 
+ALL = 2**64 - 1
+
+
+def slow_mixed(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & ALL
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & ALL
+    return x ^ x >> 31
+
+
+def slow_features(text):
+    """Features of one text, word by word and byte by byte."""
+    number = lambda x, salt: slow_mixed(x ^ (salt * 0x9E3779B97F4A7C15 & ALL)) >> (64 - quality.BITS)
+    found = [w.encode() for w in words(text)]
+    kind = lambda b: 1 if 65 <= b <= 90 else 2 if 97 <= b <= 122 or b >= 128 else 3 if 48 <= b <= 57 else b
+    out, lexical, shapes = set(), Counter(), Counter()
+    for word in found:
+        plain = [(b + 32 if 65 <= b <= 90 else b) if kind(b) <= 3 or b >= 128 else 0 for b in word]
+        raw = sum(int(tokens._BYTE_VALUE[b]) * pow(tokens._MULTIPLIER, i, 2**64) for i, b in enumerate(plain)) + len(word) * 0xD6E8FEB86659FD93
+        lexical[number(slow_mixed(raw & ALL), 1)] += 1
+        for k, size in enumerate(quality.PREFIXES):
+            if len(word) > size:
+                out.add(number(sum(b * 257**i for i, b in enumerate(plain[:size])) & ALL, 8 + k))
+        runs = [k for i, k in enumerate(map(kind, word)) if not i or kind(word[i - 1]) != k]
+        shapes[number(sum(slow_mixed(k + 512 * min(i, 15)) for i, k in enumerate(runs)) & ALL, 2)] += 1
+    total = max(len(found), 1)
+    out |= set(lexical) | {number(f * 64 + int(np.floor(np.log2(n / total))) + 16, 3) for f, n in shapes.items()}
+    size = len((text or "").encode())
+    numbers = (4, 10 * len(lexical) // total), (5, int(np.floor(np.log2(total)))), (6, 10 * max(lexical.values(), default=0) // total), (7, min(15, int(size / total / 2)))
+    return out | {number(v, salt) for salt, v in numbers}
+
+
+def test_quality_against_brute_force(spark):
+    """Features, expected grades and tail probabilities against a word by word version."""
+    rng = np.random.default_rng(12)
+    bits = ["Hello", "world!!", "ABCdef123", "$$$", "naïve", "x" * 9, "12.5%", "a,b;c", "Ωmega", "-", "the", "the"]
+    rows = [(i, " ".join(rng.choice(bits, rng.integers(0, 40)))) for i in range(40)] + [(40, None), (41, "")]
+    for row, n, d, f in quality.features(pa.array([t for _, t in rows])):
+        for i in range(n):
+            assert set(f[d == i].tolist()) == slow_features(rows[row + i][1])
+    weights = rng.normal(size=1 << quality.BITS).astype(np.float32) / 4
+    model = quality.Model(weights, np.array([-1.0, 0.5]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in quality.grade(df, model, 2).collect():
+        score = sum(float(weights[f]) for f in slow_features(dict(rows)[r["doc_id"]]))
+        upto = [1 / (1 + np.exp(score - t)) for t in model.thresholds]
+        assert r["expected_grade"] == pytest.approx(sum(k * p for k, p in enumerate(np.diff([0, *upto, 1])))) and r["tail_probability"] == pytest.approx(1 - upto[1])
+        assert r["selected"] == (r["tail_probability"] >= 0.5)
+
+
+def test_quality_fit_is_a_minimum():
+    """No small step from the fitted model makes its grades more likely, up to what the rounds leave."""
+    rng = np.random.default_rng(13)
+    sizes = rng.integers(3, 9, 300)
+    flat = rng.integers(0, 12, sizes.sum()).astype(np.int32)
+    own = np.split(flat, np.cumsum(sizes)[:-1])
+    grades = np.array([min(2, int((x < 4).sum())) for x in own])
+    model = quality.fit(flat, sizes, grades, 3, rounds=2000)
+
+    def loss(weights, thresholds):
+        score = np.array([weights[x].sum() for x in own])
+        below = np.concatenate([np.zeros((300, 1)), 1 / (1 + np.exp(score[:, None] - thresholds)), np.ones((300, 1))], axis=1)
+        return -np.log(below[np.arange(300), grades + 1] - below[np.arange(300), grades]).mean() + quality.PENALTY / 2 * (weights**2).sum()
+
+    best = loss(model.weights[:12].astype(float), model.thresholds)
+    for _ in range(200):
+        step = rng.normal(size=14) * 0.02
+        assert loss(model.weights[:12] + step[:12], model.thresholds + step[12:]) > best - 1e-5
+
+
 def test_quality_edges(spark, edge, empty):
     ratings = spark.createDataFrame([(1, 2), (7, 0), (7, 1), (None, 1), (2, None)], "id long, grade int")
     model = quality.train(edge, ratings, 3)
@@ -298,6 +397,16 @@ def test_pack_ids(tokenizer):
     assert got == want
 
 
+def test_pack_with_another_tokenizer(spark, tokenizer):
+    """A tokenizer that keeps case and blanks gets whole texts."""
+    import public_tokenizers
+
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    docs = [(1, "Hello  World 12345"), (2, None), (3, "a\n\nB " * 40), (4, "<|endoftext|>")]
+    rows = packing.pack(spark.createDataFrame(docs, "doc_id long, text string"), other, capacity=32, rounds=20).collect()
+    check_packing(rows, docs, other, 32)
+
+
 def check_packing(rows, docs, tokenizer, capacity):
     from tokenizers import Tokenizer
 

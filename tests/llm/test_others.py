@@ -1,5 +1,8 @@
 """URL filter, preferences, search and pipeline."""
 
+import math
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -21,6 +24,45 @@ def test_rules(spark):
     assert url_filter.judge(pages.where("false"), url_filter.RULES, model).count() == 0
 
 
+def test_judge_against_brute_force(spark):
+    """Hosts, paths, rules, features and the trees' scores of random urls, one by one."""
+    rng = np.random.default_rng(17)
+    hosts = ["Example.com", "a.example.com", "b-c.net", "x.example.net", "org", "m.y.org", "com", "", "spam-1.com", "É.com:80"]
+    paths = ["", "/", "/en/7", "/en/8?a=1&b=2", "/de/8#x", "/de/9?q=/en/", "?x=1", "/es/a/b/c", "#f"]
+    urls = [f"http://{h}{p}" for h in hosts for p in paths] + [None, "", "no scheme", "a://b://c/en/7", "//com/en/"]
+    labelled = spark.createDataFrame([(u, int(rng.random() < (0.8 if u and "-" in u else 0.2))) for u in urls if u], "url string, unwanted int")
+    model = url_filter.train(labelled, trees=3)
+    assert model.trees and any(t.splits for t in model.trees)
+    stats = {r["suffix"]: (r["suffix_rate"], r["suffix_count"]) for r in model.suffixes.collect()}
+    got = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), url_filter.RULES, model).collect()
+    assert len(got) == len(urls)
+    for r in got:
+        url = urls[r["page_id"]]
+        host = path = ""
+        if url and "://" in url:
+            after = url.split("://", 1)[1]
+            host = re.match("[^/?#]*", after)[0]
+            path = re.match("[^?#]*", after[len(host) :])[0]
+            host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
+        fits = [x for x in url_filter.RULES if (host == x.host or host.endswith("." + x.host)) and path.startswith(x.path)]
+        rule = max(fits, key=lambda x: len(x.text), default=None)
+        url = url or ""
+        query = re.search(r"\?([^#]*)", url)
+        rate, count = stats.get(".".join(host.split(".")[-2:]), (0.5, 0.0))
+        entropy = -sum(host.count(c) / len(host) * math.log2(host.count(c) / len(host)) for c in set(host))
+        values = (len(url), len(host), len(path), len(re.findall("/[^/]+", path)), len(re.findall("[^.]+", host)), len(re.findall("[0-9]", url)) / max(len(url), 1), entropy, len(re.findall("[^&]+", query[1])) if query else 0, host.count("-"), rate, count)
+        value, score = dict(zip(url_filter.FEATURES, values, strict=True)), model.base
+        for tree in model.trees:
+            node = 1
+            while node in tree.splits:
+                name, cut = tree.splits[node]
+                node = 2 * node + (value[name] > cut)
+            score += tree.leaves.get(node, 0.0)
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule.text if rule else None)
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-score)))
+        assert r["verdict"] == (rule.verdict if rule else "block" if r["score"] >= 0.5 else "allow")
+
+
 def test_trees_held_out(spark):
     rng = np.random.default_rng(1)
     rows = []
