@@ -3,8 +3,9 @@
 Documents are tokenised once; the pieces (length, checksum) are written. The histogram of lengths, of at most
 ``capacity`` rows whatever the input, goes to the driver. There the program "fewest sequences whose configurations
 cover every length's count" is solved by multiplicative weights: each round prices the lengths, a knapsack dynamic
-program finds the configuration of the highest price, and lengths it covers become cheaper. The solution is rounded
-down, and what is left is packed best-fit by groups of equal bins. The plan says which sequence and place the k-th
+program finds for each of the least covered lengths the configuration of the highest price, and lengths that these
+cover become cheaper; prices also bound the program from below, and rounds end where that bound is near. The solution
+is rounded down, and what is left is packed best-fit by groups of equal bins. The plan says which sequence and place the k-th
 piece of a length gets; pieces are numbered within their length, large lengths over salts, and look it up.
 """
 
@@ -27,8 +28,11 @@ from gridweft.llm import tokens
 
 #: Pieces of one length that are numbered in one task.
 ROWS_A_SALT = 50_000
-#: Rounds of multiplicative weights, and the rate at which covered lengths become cheaper.
-ROUNDS, RATE = 600, 1.0
+#: Rounds of multiplicative weights, at most; how close to its bound the program need come, and the rate at which
+#: covered lengths become cheaper.
+ROUNDS, GAP, RATE = 600, 0.002, 0.5
+#: Lengths that a round covers, each with its best configuration, and the part of what fits that one step adds.
+LEAST_COVERED, STEP = 200, 0.25
 #: Distinct word parts whose ids a worker remembers, at most twice over.
 CACHE_PARTS = 200_000
 
@@ -203,8 +207,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, id_c
     return chosen.mapInArrow(cut, "id long, piece int, start long, length long, ids_crc32 long")
 
 
-def best_configuration(lengths: np.ndarray, prices: np.ndarray, limits: np.ndarray, capacity: int) -> dict[int, int]:
-    """The configuration of the highest total price that fits (knapsack by dynamic programming), no length above its limit."""
+def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every room up to ``capacity`` the highest total price that fits, and the first length of it (0: leave one place)."""
     by_size = np.full(capacity + 1, -1.0)
     by_size[lengths] = prices
     best = np.zeros(capacity + 1)
@@ -216,16 +220,19 @@ def best_configuration(lengths: np.ndarray, prices: np.ndarray, limits: np.ndarr
             best[room], pick[room] = worth[at], at + 1
         else:
             best[room] = best[room - 1]
+    return best, pick
+
+
+def configuration(pick: np.ndarray, first: int, limits: dict[int, int], capacity: int) -> dict[int, int]:
+    """The configuration of the highest price that holds a length, no length above its limit."""
     found: dict[int, int] = defaultdict(int)
-    room = capacity
+    found[first], room = 1, capacity - first
     while room > 0:
-        if pick[room]:
-            found[int(pick[room])] += 1
-            room -= int(pick[room])
-        else:
-            room -= 1
-    limit = dict(zip(lengths.tolist(), limits.tolist(), strict=True))
-    return {size: min(n, limit[size]) for size, n in found.items()}
+        size = int(pick[room])
+        if size:
+            found[size] += 1
+        room -= size or 1
+    return {size: min(n, limits[size]) for size, n in found.items()}
 
 
 def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
@@ -237,28 +244,37 @@ def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = R
     left = dict(zip(lengths.tolist(), counts.tolist(), strict=True))
     chosen: list[tuple[dict[int, int], int]] = []
 
-    def take(configuration: dict[int, int], times: int) -> None:
+    def take(items: dict[int, int], times: int) -> None:
         if times > 0:
-            chosen.append((configuration, times))
-            for size, n in configuration.items():
+            chosen.append((items, times))
+            for size, n in items.items():
                 left[size] -= n * times
 
     place = {size: i for i, size in enumerate(lengths.tolist())}
-    covered = np.zeros(len(lengths))
+    covered, used = np.zeros(len(lengths)), 0.0
+    bound = float((lengths * counts).sum()) / capacity
     found: dict[tuple, float] = defaultdict(float)
-    for _ in range(rounds if len(lengths) > 1 else 0):
-        prices = lengths * np.exp(-RATE * covered)
-        configuration = best_configuration(lengths, prices, counts, capacity)
-        step = min(counts[place[size]] / n for size, n in configuration.items())
-        found[tuple(sorted(configuration.items()))] += step
-        for size, n in configuration.items():
-            covered[place[size]] += n * step / counts[place[size]]
-    mean = float((covered * lengths * counts).sum() / (lengths * counts).sum()) if found else 1.0
-    for configuration, x in sorted(found.items(), key=lambda c: (-sum(s * n for s, n in c[0]), -c[1], c[0])):
-        fit = min(left[size] // n for size, n in configuration)
-        # A configuration that a limit left with a hole is left to the rest, as its room can be filled there.
-        if sum(s * n for s, n in configuration) == capacity or len(lengths) == 1:
-            take(dict(configuration), min(int(x / max(mean, 1.0)), fit))
+    for _ in range(rounds):
+        prices = lengths * np.exp(-RATE * (covered - covered.min()))
+        best, pick = knapsack(lengths, prices, capacity)
+        # Prices over the best configuration's are a solution of the dual program, and so a lower bound.
+        bound = max(bound, float((prices * counts).sum()) / best[capacity])
+        if covered.min() > 0 and used / covered.min() <= (1 + GAP) * bound:
+            break
+        for i in np.argsort(covered, kind="stable")[:LEAST_COVERED].tolist():
+            one = configuration(pick, int(lengths[i]), left, capacity)
+            step = STEP * min(left[size] / n for size, n in one.items())
+            found[tuple(sorted(one.items()))] += step
+            used += step
+            for size, n in one.items():
+                covered[place[size]] += n * step / left[size]
+    # Scaled so that the length that is covered least is covered once; lengths that are covered more often run out.
+    once = max(float(covered.min()), 1e-9)
+    for items, x in sorted(found.items(), key=lambda c: (-sum(s * n for s, n in c[0]), -c[1], c[0])):
+        fit = min(left[size] // n for size, n in items)
+        # A configuration with a hole is left to the rest, as its room can be filled there.
+        if sum(s * n for s, n in items) == capacity or len(lengths) == 1:
+            take(dict(items), min(int(x / once), fit))
     # What rounding leaves: the widest first, each into the fullest bins that have room; equal bins stay one group.
     groups: dict[int, list[tuple[tuple, int]]] = defaultdict(list)
     rest = {size: n for size, n in left.items() if n}
