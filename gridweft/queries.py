@@ -10,7 +10,8 @@ from gridweft.operators import diff as D
 from gridweft.plans.convert import Conversion
 from gridweft.plans.index import NUMBERED, SWITCHES, Index
 from gridweft.sources import rdfxml
-from gridweft.sources.star import CTES, CTES_V2, star_grid
+from gridweft.sources.star import CTES, CTES_V2, render, star_grid
+from gridweft.storage import stored
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -572,6 +573,29 @@ def a_convert_totals(grid):
     return Conversion(grid).totals()
 
 
+# Models in XML
+
+
+def _closed(grid) -> DataFrame:
+    return stored(rdfxml.closed(rdfxml.tags(stored(render(grid), "star-xml"))), "star-tags")
+
+
+@query(
+    """, sized AS (
+      SELECT 'm' || (doc_pos % 4) AS model, doc_pos, id, type, 2 + coalesce((count(text) + count(t.subj_pos))::BIGINT, 0) AS tags FROM objects LEFT JOIN tagrows t ON t.subj_pos = doc_pos GROUP BY ALL
+    ), ends AS (SELECT *, 1 + (sum(tags) OVER (PARTITION BY model ORDER BY doc_pos))::BIGINT AS close_pos FROM sized)
+    SELECT model, close_pos - tags + 1 AS doc_pos, close_pos, id, type, 'EQ' AS src_part FROM ends"""
+)
+def scan_objects(grid):
+    return rdfxml.objects(_closed(grid))
+
+
+@query("SELECT 'm' || (subj_pos % 4) AS model, subj, pred, text, ref FROM tagrows")
+def scan_triples(grid):
+    closed = _closed(grid)
+    return rdfxml.triples(closed, rdfxml.objects(closed)).select("model", "subj", "pred", "text", "ref")
+
+
 # Tags and scalar functions
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridweft.operators.access import Grid
 from gridweft.storage import stored
@@ -271,6 +272,16 @@ class StarGrid(Grid):
         return stored(self._sql(_TAG_ROWS_2, tagrows=rows) if self.version == 2 else rows, "star-triples")
 
 
+def render(grid: Grid, models: int = 4) -> DataFrame:
+    """(model, part, content): a grid's objects as RDF/XML, dealt over so many models by their positions."""
+    said = F.when(F.col("text").isNotNull(), F.concat(F.lit("<cim:"), "pred", F.lit(">"), "text", F.lit("</cim:"), "pred", F.lit(">"))).otherwise(F.concat(F.lit("<cim:"), "pred", F.lit(' rdf:resource="'), "ref", F.lit('"/>')))
+    tags = grid.triples.groupBy(F.col("subj_pos").alias("doc_pos")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", said.alias("tag")))), lambda t: t["tag"]), "").alias("tags"))
+    body = F.concat(F.lit("<cim:"), "type", F.lit(' rdf:ID="'), "id", F.lit('">'), F.coalesce("tags", F.lit("")), F.lit("</cim:"), "type", F.lit(">\n"))
+    rows = grid.objects.join(tags, "doc_pos", "left").select(F.concat(F.lit("m"), (F.col("doc_pos") % models).cast("string")).alias("model"), F.struct("doc_pos", body.alias("body")).alias("o"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list("o")), lambda o: o["body"]), "")
+    return rows.groupBy("model").agg(F.concat(F.lit('<rdf:RDF xmlns:cim="c" xmlns:rdf="r">'), whole, F.lit("</rdf:RDF>")).alias("content")).select("model", F.lit("EQ").alias("part"), "content")
+
+
 def star_grid(spark: SparkSession, sf_dir: str, version: int = 1) -> Grid:
     """The model ``star`` of the tables in a folder; version 2 has deterministic edits."""
     return StarGrid(spark, sf_dir, version)

@@ -34,6 +34,11 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def in_few_files(df: DataFrame) -> DataFrame:
+    """The rows in a sixteenth of the shuffle partitions: for tables that are small beside what they are made from."""
+    return df.repartition(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16))
+
+
 class Stored:
     """A DataFrame written once as Parquet in the shared folder; ``df`` reads it back."""
 
