@@ -91,7 +91,7 @@ def mix(
     rows = rows.withColumn("range", F.least(F.lit(KEY_RANGES - 1), F.floor((1 - F.exp(-F.col("key"))) * KEY_RANGES)).cast("int"))
     rows = storage.stored(rows, "mix-rows")
 
-    ranges = storage.stored(rows.groupBy("source", "range").agg(F.sum("size").alias("range_size")), "mix-ranges")
+    ranges = storage.stored(storage.in_few_files(rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))), "mix-ranges")
     targets = source_targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, share, most)
     targets = storage.stored(targets, "mix-targets")
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)

@@ -71,6 +71,8 @@ BY_PARTS = {
         ],
     },
 }
+#: Text whose parts are looked up at once; more text has fewer parts that differ.
+BLOCK_BYTES = 1 << 21
 #: Texts that a tokenizer of another kind gets at once.
 TEXTS = 256
 
@@ -137,7 +139,7 @@ class PartEncoder:
         if not self.by_parts:
             yield from self.encode_whole(column)
             return
-        for first, data, offsets in tokens.text_blocks(column):
+        for first, data, offsets in tokens.text_blocks(column, BLOCK_BYTES):
             data = tokens.lowered(data)
             words = tokens.Words(data, offsets)
             kind = _byte_classes(data)
