@@ -25,7 +25,8 @@ BITS = 20
 SAMPLE = 8000
 #: A feature is used if so many sampled documents have it.
 LEAST_DOCS = 6
-ROUNDS, RATE, PENALTY = 150, 0.05, 4e-4
+#: Rounds of the fit, its first step size, which falls to nothing, and the penalty on squared weights.
+ROUNDS, RATE, PENALTY = 150, 0.1, 2e-3
 #: Bytes at the head of a longer word that are features too.
 PREFIXES = (4, 5, 6)
 
@@ -115,7 +116,7 @@ STEP = 1 << 20
 
 
 def fit(flat: np.ndarray, sizes: np.ndarray, grades: np.ndarray, n_grades: int, rounds: int = ROUNDS) -> Model:
-    """Maximum likelihood with a small quadratic penalty, by Adam over all rows; row i has the next ``sizes[i]`` features."""
+    """Maximum likelihood with a small quadratic penalty, by Adam with falling steps over all rows; row i has the next ``sizes[i]`` features."""
     weights = np.zeros(1 << BITS, np.float32)
     n = len(sizes)
     share = np.array([(np.sum(grades <= k) + 0.5) / (n + 1.0) for k in range(n_grades - 1)])
@@ -150,7 +151,7 @@ def fit(flat: np.ndarray, sizes: np.ndarray, grades: np.ndarray, n_grades: int,
         gradient[v] = by_theta.sum()
         gradient[v + 1 :] = [by_theta[k + 1 :].sum() * np.exp(g) for k, g in enumerate(parameters[v + 1 :])]
         first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
-        parameters = parameters - RATE * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
+        parameters = parameters - RATE * (1 - (t - 1) / rounds) * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
     weights[used] = parameters[:v]
     return Model(weights, thresholds())
 

@@ -281,7 +281,7 @@ def test_lm_scores_edges(edge, empty):
 
 
 def test_quality_held_out(spark):
-    """Trained on 400 documents, 0.895 of the verdicts on 200 others are right (always keeping: 0.33)."""
+    """Trained on 400 documents, nearly all verdicts on 200 others are right (always keeping: 0.33)."""
     rng = np.random.default_rng(3)
     rows, ratings = [], []
     for i in range(600):
@@ -294,7 +294,7 @@ def test_quality_held_out(spark):
     rated = spark.createDataFrame(ratings, "id long, grade int")
     model = quality.train(docs, rated.where("id < 400"), 3)
     got = quality.grade(docs, model, 2).where("doc_id >= 400").collect()
-    assert np.mean([r["selected"] == (r["doc_id"] % 3 == 2) for r in got]) > 0.85
+    assert np.mean([r["selected"] == (r["doc_id"] % 3 == 2) for r in got]) > 0.95
     assert np.all(np.diff(model.thresholds) > 0)
 
 
