@@ -9,7 +9,7 @@ from gridweft.functions import scalars as S
 from gridweft.operators import diff as D
 from gridweft.plans.convert import Conversion
 from gridweft.plans.index import NUMBERED, SWITCHES, Index
-from gridweft.sources import rdfxml
+from gridweft.sources import rdfxml, sinks
 from gridweft.sources.star import CTES, CTES_V2, render, star_grid
 from gridweft.storage import stored
 
@@ -253,6 +253,66 @@ def j_diff_single(old, new):
     return D.diff_single(old, new, "_SS7")
 
 
+_change = """'{"property":"' || pred || '","from":' || coalesce('"' || old || '"', 'null') || ',"to":' || coalesce('"' || new || '"', 'null') || '}'"""
+_LISTED = f""", listed AS (
+  SELECT model, type, id, string_agg({_change}, ',' ORDER BY kind, pred) AS json,
+         string_agg(coalesce(chr(10) || '  - ' || pred || ': "' || old || '"', '') || coalesce(chr(10) || '  + ' || pred || ': "' || new || '"', ''), '' ORDER BY kind, pred) AS lines FROM inner_changes GROUP BY ALL
+), changed AS (
+  SELECT model, type, id, status, NULL AS json, '' AS lines FROM statuses WHERE status <> 'both' UNION ALL SELECT model, type, id, 'changed', json, lines FROM listed
+)"""
+
+
+@_diff(f"""{_LISTED} SELECT model, type, id, '{{"type":"' || type || '","mrid":"' || id || '","status":"' || status || '"' || coalesce(',"changes":[' || json || ']', '') || '}}' AS line FROM changed""")
+def sink_diff_ndjson(old, new):
+    return D.diff_ndjson(old, new)
+
+
+_NAMES = """, names AS (SELECT 1 AS v, subj_pos, arg_min(text, pos) AS name FROM tagrows WHERE pred = 'IdentifiedObject.name' AND text IS NOT NULL GROUP BY ALL UNION ALL SELECT 2, subj_pos, arg_min(text, pos) FROM tagrows2 WHERE pred = 'IdentifiedObject.name' AND text IS NOT NULL GROUP BY ALL)"""
+
+
+@_diff(
+    f"""{_LISTED}{_NAMES}, named AS (SELECT c.*, coalesce(CASE WHEN status = 'removed' THEN n1.name ELSE coalesce(n2.name, n1.name) END, '') AS name FROM changed c LEFT JOIN objects a ON a.type = c.type AND a.id = c.id LEFT JOIN objects2 b ON b.type = c.type AND b.id = c.id
+    LEFT JOIN names n1 ON n1.v = 1 AND n1.subj_pos = a.doc_pos LEFT JOIN names n2 ON n2.v = 2 AND n2.subj_pos = b.doc_pos)
+    SELECT 'star' AS model, '' AS sort_type, '' AS sort_id, '--- old' || chr(10) || '+++ new' AS line UNION ALL SELECT DISTINCT model, type, '', '@@ ' || type || ' @@' FROM changed
+    UNION ALL SELECT model, type, id, CASE status WHEN 'added' THEN '+' WHEN 'removed' THEN '-' ELSE '~' END || ' ' || id || '  "' || name || '"' || lines FROM named"""
+)
+def sink_diff_text(old, new):
+    return D.diff_text(old, new)
+
+
+# Renderings
+
+_VALUES = """, vals AS (
+  SELECT o.model, o.type, o.id, o.doc_pos, kind, pred, arg_max(value, pos) AS value FROM (SELECT subj_pos, pos, pred, 'p' AS kind, text AS value FROM tagrows UNION ALL SELECT subj_pos, pos, pred, 'r', ref FROM tagrows) t JOIN objects o ON o.doc_pos = t.subj_pos WHERE value IS NOT NULL GROUP BY ALL
+)"""
+
+
+@query(
+    f"""{_VALUES}, fields AS (SELECT doc_pos, string_agg('"' || pred || '":"' || value || '"', ',' ORDER BY pred) FILTER (WHERE kind = 'p') AS p, string_agg('"' || pred || '":"' || {_bare('value')} || '"', ',' ORDER BY pred) FILTER (WHERE kind = 'r') AS r FROM vals GROUP BY doc_pos)
+    SELECT o.model, o.id, '{{"id":"' || o.id || '","type":"' || o.type || '","properties":{{' || coalesce(p, '') || '}},"references":{{' || coalesce(r, '') || '}}}}' AS json FROM objects o LEFT JOIN fields f ON f.doc_pos = o.doc_pos WHERE o.type IN ('Substation', 'Bay', 'FullModel')"""
+)
+def sink_json_object(grid):
+    return sinks.object_json(grid, ["Substation", "Bay", "FullModel"])
+
+
+@query(f"""{_VALUES} SELECT o.model, concat_ws(chr(10), o.type || ' ' || o.id, string_agg('  ' || pred || ': ' || value, chr(10) ORDER BY kind, pred)) AS line FROM objects o JOIN vals v ON v.doc_pos = o.doc_pos WHERE o.id = '_SS7' GROUP BY o.model, o.type, o.id""")
+def sink_text_object(grid):
+    return sinks.object_text(grid, "_SS7")
+
+
+@query(
+    f"""{_VALUES}, numbered AS (SELECT *, row_number() OVER (ORDER BY doc_pos) AS nth FROM objects WHERE type = 'Substation')
+    SELECT o.model, nth::INTEGER AS nth, concat_ws(chr(10), '[' || nth || '] ' || o.id, o.type || ' ' || o.id, string_agg('  ' || pred || ': ' || value, chr(10) ORDER BY kind, pred)) AS line FROM numbered o LEFT JOIN vals v ON v.doc_pos = o.doc_pos GROUP BY o.model, nth, o.id, o.type"""
+)
+def sink_text_list(grid):
+    return sinks.objects_text(grid, "Substation")
+
+
+@query("""SELECT model, '[' || string_agg('{"id":"' || id || '","type":"' || type || '","IdentifiedObject.name":"' || coalesce(name, '') || '"}', ',' ORDER BY doc_pos) || ']' AS json FROM o WHERE type = 'VoltageLevel' GROUP BY model""")
+def sink_json_list(grid):
+    return sinks.list_json(grid, "VoltageLevel", "IdentifiedObject.name")
+
+
 # Index
 
 
@@ -637,6 +697,18 @@ def f_float_json(spark, sf_dir):
     return part.select(F.col("p_partkey").alias("k"), S.float_json(F.col("p_size") / 2).alias("plain"), S.float_json(F.col("p_size") * F.lit(1e7)).alias("large"))
 
 
+@table_query(
+    """WITH x AS (SELECT p_partkey AS k, (p_size::BIGINT * 100000000)::VARCHAR AS t, p_size % 3 = 0 AS third FROM part), d AS (SELECT *, rtrim(t, '0') AS digits FROM x), e AS (SELECT *, substr(digits, 1, 1) || CASE WHEN length(digits) > 1 THEN '.' || substr(digits, 2) ELSE '' END || 'E' || (length(t) - 1) AS sci FROM d)
+    SELECT k, '-' || sci AS sci, CASE WHEN length(t) > 10 THEN sci ELSE t || '.0' END AS automatic, CASE WHEN third THEN t || '0.0' ELSE t || '.0' END AS given FROM e"""
+)
+def f_float_sci(spark, sf_dir):
+    size = F.col("p_size") * F.lit(1e8)
+    text = size.cast("decimal(30,0)").cast("string")
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    given = F.when(F.col("p_size") % 3 == 0, F.concat(text, F.lit("e1"))).otherwise(text)
+    return part.select(F.col("p_partkey").alias("k"), S.float_scientific(-size).alias("sci"), S.float_auto(size).alias("automatic"), S.float_text(given).alias("given"))
+
+
 @table_query("SELECT DISTINCT event_type AS v, split_part(event_type, '.', -1) AS fragment, replace(replace('<' || event_type || '>&', '+', ' '), 'x', 'x') AS decoded, substr(event_type, 2) AS stripped FROM events")
 def f_enum_fragment(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("v")).distinct()
