@@ -13,16 +13,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridweft import storage
 from gridweft.llm import tokens
 
 #: Bits of a feature's number; the table of weights has 2**BITS entries.
 BITS = 20
 #: Rated documents that the model is fitted on, at most: those with the smallest hashes of their ids.
 SAMPLE = 8000
+#: Features of these documents that the driver holds, at most.
+FEATURES = 16_000_000
 #: A feature is used if so many sampled documents have it.
 LEAST_DOCS = 6
 #: Rounds of the fit, its first step size, which falls to nothing, and the penalty on squared weights.
@@ -167,18 +170,24 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
     """A model of ``ratings`` (id, grade from 0): at most ``sample`` rated documents, those with the smallest id hashes.
 
-    An id rated more than once counts once, with its lowest grade; null ids and grades are left out.
+    Of these the driver holds the first ones with FEATURES features in all. An id rated more than once counts once, with
+    its lowest grade, and of rows that share an id the one with the least text; null ids and grades are left out.
     """
     rated = ratings.where("id IS NOT NULL AND grade IS NOT NULL").groupBy("id").agg(F.min("grade").cast("int").alias("grade"))
     chosen = rated.orderBy(F.xxhash64("id"), "id").limit(sample)
     # At most ``sample`` rows of two numbers: a broadcast of proven size.
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("id", "text", "grade")
-    found = rows.mapInArrow(_lists, "id long, grade int, features array<int>").toArrow().sort_by("id")
-    lists = [c for c in found.column("features").chunks if len(c)]
-    flat = np.concatenate([np.zeros(0, np.int32), *(c.flatten().to_numpy() for c in lists)])
-    sizes = np.concatenate([np.zeros(0, np.int32), *(c.value_lengths().to_numpy() for c in lists)])
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    once = rows.groupBy("id", "grade").agg(F.min("text").alias("text")).select("id", "text", "grade")
+    lists = storage.Stored(storage.in_few_files(once.mapInArrow(_lists, "id long, grade int, features array<int>")), "quality-sample")
+    # A window over ``sample`` rows.
+    upto = F.sum(F.size("features")).over(Window.orderBy(F.xxhash64("id"), "id"))
+    found = lists.df.withColumn("upto", upto).where(F.col("upto") <= FEATURES).select("id", "grade", "features").toArrow().sort_by("id")
+    lists.drop()
+    parts = [c for c in found.column("features").chunks if len(c)]
+    flat = np.concatenate([np.zeros(0, np.int32), *(c.flatten().to_numpy() for c in parts)])
+    sizes = np.concatenate([np.zeros(0, np.int32), *(c.value_lengths().to_numpy() for c in parts)])
     grades = found.column("grade").to_numpy().astype(np.int64)
-    del found, lists
+    del found, parts
     return fit(flat, sizes, grades, n_grades)
 
 

@@ -298,6 +298,19 @@ def test_quality_held_out(spark):
     assert np.all(np.diff(model.thresholds) > 0)
 
 
+def test_quality_sample_is_bounded(spark, monkeypatch):
+    """What the driver holds is bounded in documents and in features, whatever ids repeat."""
+    rows = [(i % 40, f"a b c d{i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ratings = spark.createDataFrame([(i, i % 3) for i in range(40)], "id long, grade int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda flat, sizes, grades, n: seen.append((len(flat), len(sizes))))
+    quality.train(docs, ratings, 3)
+    monkeypatch.setattr(quality, "FEATURES", 100)
+    quality.train(docs, ratings, 3)
+    assert seen[0][1] == 40 and 0 < seen[1][0] <= 100 and 0 < seen[1][1] < 40
+
+
 ALL = 2**64 - 1
 
 
