@@ -676,6 +676,20 @@ def scan_pattern(spark, sf_dir):
     return _pages(spark, sf_dir).select("model", F.explode(rdfxml.attributes(F.col("content"), "href")).alias("value"))
 
 
+@table_query(
+    r"""WITH s AS (SELECT page_id::VARCHAR AS model, string_split(html, 'href="') AS l FROM pages), u AS (SELECT model, unnest(l) AS rest, generate_subscripts(l, 1) - 1 AS nth FROM s),
+    p AS (SELECT *, (sum(strlen(rest)) OVER (PARTITION BY model ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::BIGINT + 6 * nth AS value_start FROM u)
+    SELECT model, 'EQ' AS part, value_start - 6 AS start, value_start, strlen(split_part(rest, '"', 1)) AS value_len, split_part(rest, '"', 1) AS value FROM p WHERE nth > 0 AND contains(rest, '"')"""
+)
+def scan_pattern_positions(spark, sf_dir):
+    return rdfxml.attribute_positions(_pages(spark, sf_dir), "href")
+
+
+@query("SELECT 'm' || (doc_pos % 4) AS model, 1::BIGINT AS pos, 2 + sum(tags)::BIGINT AS close_pos FROM (SELECT doc_pos, 2 + count(text) + count(t.subj_pos) AS tags FROM objects LEFT JOIN tagrows t ON t.subj_pos = doc_pos GROUP BY doc_pos) x GROUP BY ALL")
+def scan_close_one(grid):
+    return rdfxml.closing_tag(rdfxml.tags(render(grid)), F.col("pos") == 1)
+
+
 def scan_close_index(spark, sf_dir):
     """Closing positions of the pages' tags, by the stack rule (SQL has none)."""
     return rdfxml.closed(rdfxml.tags(_pages(spark, sf_dir)), namespaced=False).select("model", "pos", "name", "kind", "close_pos")

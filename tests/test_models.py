@@ -106,6 +106,36 @@ def test_unbalanced_replays_the_stack(spark):
     assert {(r["name"], r["pos"], r["close_pos"]) for r in rows if r["kind"] == 1} == {("a", 1, 1), ("br", 2, 2), ("b", 3, 4)}
 
 
+def test_attributes_or_errors(spark):
+    tags = spark.createDataFrame([('cim:A rdf:ID="_1"',)], "tag string")
+    assert tags.select(rdfxml.rdf_id(F.col("tag"))).first()[0] == "_1"
+    for text, read, error in (('cim:A rdf:about="x"', rdfxml.rdf_id, "NoRdfId"), ("cim:A", rdfxml.rdf_about, "NoRdfAbout"), ('cim:A rdf:ID="_1', rdfxml.rdf_id, "MalformedTag")):
+        with pytest.raises(Exception, match=error):
+            spark.createDataFrame([(text,)], "tag string").select(read(F.col("tag"))).collect()
+
+
+def test_attribute_positions(spark):
+    """Positions in bytes, also behind longer characters and where the next occurrence closes a quote."""
+    text = '<é a="x"/><b a="ü"/><c a="y><d a="z"/> a="open'
+    rows = rdfxml.attribute_positions(spark.createDataFrame([("m", "EQ", text)], "model string, part string, content string"), "a").orderBy("start").collect()
+    data, want, at = text.encode(), [], -1
+    while (at := data.find(b'a="', at + 1)) >= 0:
+        end = data.find(b'"', at + 3)
+        if end >= 0:
+            want.append((at, at + 3, end - at - 3, data[at + 3 : end].decode()))
+    assert [tuple(r)[2:] for r in rows] == want
+
+
+def test_closing_tag(spark):
+    contents = spark.createDataFrame([("m", "EQ", "<a><b/><a><c></c></a></a><a/><d>")], "model string, part string, content string")
+    tags = rdfxml.tags(contents)
+    close = lambda pos: rdfxml.closing_tag(tags, F.col("pos") == pos, namespaced=False).first()["close_pos"]
+    assert [close(p) for p in (1, 3, 4)] == [7, 6, 5]
+    for pos, error in ((8, "SelfClosingTag"), (9, "NoClosingTag")):
+        with pytest.raises(Exception, match=error):
+            close(pos)
+
+
 def test_malformed(spark):
     contents = spark.createDataFrame([("m", "EQ", "<a> > </a>")], "model string, part string, content string")
     with pytest.raises(Exception, match="MalformedXML"):
