@@ -74,10 +74,11 @@ def lowered(data: np.ndarray) -> np.ndarray:
 class Words:
     """The words of a block: ``start`` and ``end`` in its bytes, and ``first``: the first word of each document."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        self.data, self.offsets = data, offsets
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = _SEPARATOR):
+        """``separator``: which byte values stand between words."""
+        self.data, self.offsets, self.separator = data, offsets, separator
         n = len(data)
-        inside = ~_SEPARATOR[data]
+        inside = ~separator[data]
         begins, ends = inside.copy(), inside.copy()
         begins[1:] &= ~inside[:-1]
         ends[:-1] &= ~inside[1:]
@@ -115,7 +116,7 @@ class Words:
         size = self.end - self.start
         begin = np.zeros(len(self) + 1, np.int64)
         np.cumsum(size + len(sep), out=begin[1:])
-        keep = ~_SEPARATOR[self.data]
+        keep = ~self.separator[self.data]
         if not sep:
             return self.data[keep], begin
         out = np.full(begin[-1], sep[0], np.uint8)
@@ -125,6 +126,13 @@ class Words:
         return out, begin
 
 
+def slices(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parts of ``values`` from each start on, of each size, one after another, and where each begins."""
+    begin = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=begin[1:])
+    return values[np.arange(begin[-1]) + np.repeat(start - begin[:-1], size)], begin
+
+
 def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the n-grams that begin at each place (the last n - 1 places have none)."""
     if len(hashes) < n:
