@@ -263,16 +263,19 @@ def decode_block(model: PieceModel, ids: np.ndarray, first: np.ndarray) -> list[
     has = lead < np.searchsorted(seen, first[1:])
     begin[has] += model.opens_blank[ids[seen[lead[has]]]]
     whole = raw.tobytes()
+    # Silent ids part runs of byte pieces, whose bytes are then no characters together.
+    parted = np.flatnonzero(model.control[ids[:-1]] & model.is_byte[ids[1:]])
+    odd = set((np.searchsorted(first, parted, "right") - 1).tolist())
     out = []
     for i, (b, e) in enumerate(zip(begin.tolist(), end.tolist(), strict=True)):
         try:
-            out.append(whole[b:e].decode())
+            out.append(_with_replacements(model, ids[first[i] : first[i + 1]]) if i in odd else whole[b:e].decode())
         except UnicodeDecodeError:
-            out.append(_with_replacements(model, ids[first[i] : first[i + 1]], e - b))
+            out.append(_with_replacements(model, ids[first[i] : first[i + 1]]))
     return out
 
 
-def _with_replacements(model: PieceModel, ids: np.ndarray, size: int) -> str:
+def _with_replacements(model: PieceModel, ids: np.ndarray) -> str:
     """The text of ids whose byte pieces are no valid UTF-8: in every run of them each invalid byte is replaced."""
     out, run = [], b""
     for i in [*ids.tolist(), model.eos]:

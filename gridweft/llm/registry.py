@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridweft.llm import collocations, exact_dedup, lm_scoring, mixing, near_dedup, packing, piece_coding, preferences, quality, substring_dedup, topk, url_filter
+from gridweft.llm import collocations, conversations, exact_dedup, lm_scoring, mixing, near_dedup, packing, piece_coding, preferences, quality, substring_dedup, topk, url_filter
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_pack_sequences": packing.query,
     "op11_piece_coding": piece_coding.query,
     "op12_collocations": collocations.query,
+    "op13_conversation_repair": conversations.query,
 }
 
 ORACLE_SQL = {
@@ -27,4 +28,5 @@ ORACLE_SQL = {
     "op6_exact_dedup": exact_dedup.ORACLE_SQL,
     "op8_exact_topk": topk.ORACLE_SQL,
     "op12_collocations": collocations.ORACLE_SQL,
+    "op13_conversation_repair": conversations.ORACLE_SQL,
 }
