@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from gridweft.llm import tokens
 
 #: Text that is encoded at once; more text has fewer words that differ.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 #: Rounds after which what is left of very long words is merged pair by pair.
 ROUNDS = 64
 
@@ -300,29 +300,33 @@ def _is_char(data: bytes) -> bool:
         return False
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", bos: bool = False, eos: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", bos: bool = False, eos: bool = True, decoded: str | None = None) -> DataFrame:
     """(id_col, ids): the ids of every row's whole text, as the library gives them without sampling, one row a row.
 
-    Null and empty texts have no ids but the begin and end id, where these are asked for. Rows that share an id, and
-    rows without one, are encoded each by itself; other columns are not read. An empty table gives no rows. ``path`` is
-    a model file that every executor can read, as an installed package's.
+    With ``decoded`` a third column of this name has what decode() gives for the ids, made in the same task. Null and
+    empty texts have no ids but the begin and end id, where these are asked for. Rows that share an id, and rows
+    without one, are encoded each by itself; other columns are not read. An empty table gives no rows. ``path`` is a
+    model file that every executor can read, as an installed package's.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(path)
-        ends = ([model.bos] if bos else []), ([model.eos] if eos else [])
+        ends = [*([model.bos] if bos else []), *([model.eos] if eos else [])]
         for batch in batches:
             for row, data, offsets in tokens.text_blocks(batch.column(1), BLOCK_BYTES):
                 ids, first = encode_block(model, data, offsets)
                 n = len(offsets) - 1
-                ids = np.insert(ids, np.concatenate([np.repeat(first[:-1], bos), np.repeat(first[1:], eos)]), np.repeat([*ends[0], *ends[1]], n))
+                ids = np.insert(ids, np.concatenate([np.repeat(first[:-1], bos), np.repeat(first[1:], eos)]), np.repeat(ends, n))
                 first = first + (bos + eos) * np.arange(n + 1)
-                lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), lists], names=["id", "ids"])
+                columns = [batch.column(0).slice(row, n), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids, pa.int32()))]
+                if decoded:
+                    columns.append(pa.array(decode_block(model, ids, first), pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "ids", "decoded"][: len(columns)])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    names = [id_col, "ids", *([decoded] if decoded else [])]
+    return rows.mapInArrow(run, f"id {kind}, ids array<int>" + ", decoded string" * bool(decoded)).toDF(*names)
 
 
 def decode(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -353,7 +357,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    coded = decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), path), path)
+    coded = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, decoded="decoded")
     ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
     digest = lambda c: F.sha2(c.cast("binary"), 256)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(ids).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"))
