@@ -207,7 +207,7 @@ def _marked(table: pa.Table, width: int) -> pa.RecordBatch:
         base = start[row + run[at]] - words.first[run[at]]
         out.append((ids[row + run[at]], text_hash[row + run[at]], base + place[at], base + place[to] + width))
     columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
     return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)).cast(k) for x, k in zip(columns, kinds, strict=True)], names=["id", "text_hash", "begin", "end"])
 
 
@@ -285,13 +285,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     last = 2**63 - 1
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("id"), F.col(id_col).cast("long").alias("given"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # Tells rows of one id apart by their texts.
-    base = base.withColumn("text_hash", F.hash("text"))
-    noted = storage.stored(base.select("id", "text_hash", "text").mapInArrow(_note(width), "key long, id long, text_hash int, begin int, windows int, twice boolean"), "repeats-noted")
+    # Tells rows of one id apart by their texts; two of them are mixed up where 64 bits agree.
+    base = base.withColumn("text_hash", F.xxhash64("text", F.octet_length("text")))
+    noted = storage.stored(base.select("id", "text_hash", "text").mapInArrow(_note(width), "key long, id long, text_hash long, begin int, windows int, twice boolean"), "repeats-noted")
     counts = noted.where("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice")).where("n > 1 OR twice")
     counts = storage.stored(counts.select("key", (F.col("n") > HOT_ROWS).alias("hot")), "repeats-counts")
     found = noted.join(counts, "key").select("id", "text_hash", "hot", F.struct("begin", "windows").alias("run"))
-    schema = "key long, packed string, id long, text_hash int, begin int"
+    schema = "key long, packed string, id long, text_hash long, begin int"
 
     def sent(hot: bool) -> DataFrame:
         # Of one document there are at most as many runs, and as many spans, as it has words.
@@ -300,7 +300,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return base.join(runs, ["id", "text_hash"]).select("id", "text_hash", "text", "runs", "given").mapInArrow(_send(width, hot), schema)
 
     dealt = sent(False).repartition("key").sortWithinPartitions("key")
-    spans = dealt.mapInArrow(_bucket(width), "id long, text_hash int, begin int, end int")
+    spans = dealt.mapInArrow(_bucket(width), "id long, text_hash long, begin int, end int")
     if not counts.where("hot").isEmpty():
         windows = storage.stored(sent(True), "repeats-hot")
         place = F.struct("id", "begin")

@@ -83,6 +83,18 @@ def test_substring_dedup_edges(edge, empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("ids", [(None, None), (5, 5)])
+def test_repeats_of_texts_whose_short_hashes_collide(spark, ids):
+    """Two texts of one id, or without one, that agree in 32 bits of a hash, are told apart."""
+    words = " ".join(f"w{i}" for i in range(30))
+    numbered = spark.range(300_000).select(F.concat(F.lit(words + " n"), F.col("id").cast("string"), F.repeat(F.lit(" x y"), (F.col("id") % 7).cast("int"))).alias("t")).withColumn("h", F.hash("t"))
+    pair = numbered.groupBy("h").agg(F.array_sort(F.collect_list("t")).alias("ts")).where("size(ts) > 1").orderBy("h").first()["ts"][:2]
+    df = spark.createDataFrame([(ids[0], pair[0]), (ids[1], pair[1]), (1, words)], "doc_id long, text string")
+    got = sorted((r["n_words"], r["n_removed"], r["kept_text"]) for r in substring_dedup.remove_repeats(df).collect())
+    rest = [p.split(" ")[30:] for p in pair]
+    assert got == sorted([(30, 0, words), *((30 + len(r), 30, " ".join(r)) for r in rest)])
+
+
 def test_mix(spark):
     rows = [(i, "w " * (i % 9), f"s{i % 4}") for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
