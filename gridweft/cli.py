@@ -11,7 +11,7 @@ from gridweft.operators import diff as D
 from gridweft.operators.access import Grid
 from gridweft.plans.convert import Conversion
 from gridweft.session import local_session
-from gridweft.sources import rdfxml, sinks
+from gridweft.sources import rdfxml, sinks, splits
 from gridweft.storage import stored
 
 
@@ -47,8 +47,7 @@ def parser() -> argparse.ArgumentParser:
 
 
 def load(spark, path: str, boundary: str | None, name: str = "model") -> Grid:
-    contents = rdfxml.read_models(spark, {name: path}, boundary)
-    closed = stored(rdfxml.closed(rdfxml.tags(contents)), "tags")
+    closed = stored(rdfxml.closed(splits.read_tags(spark, {name: path}, boundary)), "tags")
     objects = stored(rdfxml.objects(closed), "objects")
     return Grid(objects, stored(rdfxml.triples(closed, objects), "triples"))
 

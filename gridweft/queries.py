@@ -9,9 +9,9 @@ from gridweft.functions import scalars as S
 from gridweft.operators import diff as D
 from gridweft.plans.convert import Conversion
 from gridweft.plans.index import NUMBERED, SWITCHES, Index
-from gridweft.sources import rdfxml, sinks
-from gridweft.sources.star import CTES, CTES_V2, render, star_grid
-from gridweft.storage import stored
+from gridweft.sources import rdfxml, sinks, splits
+from gridweft.sources.star import CTES, CTES_V2, star_grid, write_models
+from gridweft.storage import new_path, stored
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -636,8 +636,13 @@ def a_convert_totals(grid):
 # Models in XML
 
 
+def _tags(grid) -> DataFrame:
+    """Tags of the star model as four models, written as XML files and read in splits."""
+    return splits.read_tags(grid.spark, write_models(grid, new_path(grid.spark, "star-xml")))
+
+
 def _closed(grid) -> DataFrame:
-    return stored(rdfxml.closed(rdfxml.tags(stored(render(grid), "star-xml"))), "star-tags")
+    return stored(rdfxml.closed(_tags(grid)), "star-tags")
 
 
 @query(
@@ -687,7 +692,7 @@ def scan_pattern_positions(spark, sf_dir):
 
 @query("SELECT 'm' || (doc_pos % 4) AS model, 1::BIGINT AS pos, 2 + sum(tags)::BIGINT AS close_pos FROM (SELECT doc_pos, 2 + count(text) + count(t.subj_pos) AS tags FROM objects LEFT JOIN tagrows t ON t.subj_pos = doc_pos GROUP BY doc_pos) x GROUP BY ALL")
 def scan_close_one(grid):
-    return rdfxml.closing_tag(rdfxml.tags(render(grid)), F.col("pos") == 1)
+    return rdfxml.closing_tag(_tags(grid), F.col("pos") == 1)
 
 
 def scan_close_index(spark, sf_dir):

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweft.operators.access import Grid
-from gridweft.storage import stored
+from gridweft.sources.ordered_text import write_in_order
+from gridweft.storage import Stored, stored
 
 _LINES = """
 SELECT l_orderkey, k, w, rn, CAST(floor((rn - 1) / w) AS BIGINT) AS b, (rn - 1) % w + 1 AS seq FROM (
@@ -272,14 +273,22 @@ class StarGrid(Grid):
         return stored(self._sql(_TAG_ROWS_2, tagrows=rows) if self.version == 2 else rows, "star-triples")
 
 
-def render(grid: Grid, models: int = 4) -> DataFrame:
-    """(model, part, content): a grid's objects as RDF/XML, dealt over so many models by their positions."""
+def write_models(grid: Grid, folder: str, models: int = 4) -> dict[str, str]:
+    """A grid's objects as RDF/XML in the folder, dealt over so many models by their positions: the models' folders by name.
+
+    Objects are written in order by many tasks; the part files of a model are one document.
+    """
     said = F.when(F.col("text").isNotNull(), F.concat(F.lit("<cim:"), "pred", F.lit(">"), "text", F.lit("</cim:"), "pred", F.lit(">"))).otherwise(F.concat(F.lit("<cim:"), "pred", F.lit(' rdf:resource="'), "ref", F.lit('"/>')))
     tags = grid.triples.groupBy(F.col("subj_pos").alias("doc_pos")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", said.alias("tag")))), lambda t: t["tag"]), "").alias("tags"))
-    body = F.concat(F.lit("<cim:"), "type", F.lit(' rdf:ID="'), "id", F.lit('">'), F.coalesce("tags", F.lit("")), F.lit("</cim:"), "type", F.lit(">\n"))
-    rows = grid.objects.join(tags, "doc_pos", "left").select(F.concat(F.lit("m"), (F.col("doc_pos") % models).cast("string")).alias("model"), F.struct("doc_pos", body.alias("body")).alias("o"))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list("o")), lambda o: o["body"]), "")
-    return rows.groupBy("model").agg(F.concat(F.lit('<rdf:RDF xmlns:cim="c" xmlns:rdf="r">'), whole, F.lit("</rdf:RDF>")).alias("content")).select("model", F.lit("EQ").alias("part"), "content")
+    body = F.concat(F.lit("<cim:"), "type", F.lit(' rdf:ID="'), "id", F.lit('">'), F.coalesce("tags", F.lit("")), F.lit("</cim:"), "type", F.lit(">"))
+    model = F.concat(F.lit("m"), (F.col("doc_pos") % models).cast("string"))
+    rows = grid.objects.join(tags, "doc_pos", "left").select(model.alias("model"), "doc_pos", body.alias("body"))
+    ends = F.array(F.struct(F.lit(-1).cast("long").alias("doc_pos"), F.lit('<rdf:RDF xmlns:cim="c" xmlns:rdf="r">').alias("body")), F.struct(F.lit(2**62).alias("doc_pos"), F.lit("</rdf:RDF>").alias("body")))
+    names = grid.objects.select(model.alias("model")).distinct()
+    whole = Stored(rows.unionByName(names.select("model", F.inline(ends))), "star-lines-of-xml")
+    write_in_order(whole.df, ["model", "doc_pos"], "body", folder, by="model")
+    whole.drop()
+    return {r["model"]: f"{folder}/model={r['model']}" for r in names.collect()}
 
 
 def star_grid(spark: SparkSession, sf_dir: str, version: int = 1) -> Grid:
