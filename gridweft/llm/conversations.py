@@ -345,9 +345,9 @@ marked AS (
   SELECT key, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
          count(*) FILTER (WHERE pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM numbered GROUP BY key
 ), costs AS (
-  SELECT key, n AS at, 0::BIGINT AS c0, '' AS a0, 6::BIGINT AS c1, 'II' AS a1, 3::BIGINT AS c2, 'I' AS a2, 0::BIGINT AS c3, '' AS a3 FROM numbered WHERE rn = 1
-  UNION ALL SELECT key, at, {unpacked} FROM (SELECT c.key, c.at - 1 AS at, {best} FROM costs c JOIN numbered r ON r.key = c.key AND r.rn = c.at)
-), solved AS MATERIALIZED (SELECT key, c0 AS cost, a0 AS audit FROM costs WHERE at = 0),
+  SELECT key, n AS place, 0::BIGINT AS c0, '' AS a0, 6::BIGINT AS c1, 'II' AS a1, 3::BIGINT AS c2, 'I' AS a2, 0::BIGINT AS c3, '' AS a3 FROM numbered WHERE rn = 1
+  UNION ALL SELECT key, place, {unpacked} FROM (SELECT c.key, c.place - 1 AS place, {best} FROM costs c JOIN numbered r ON r.key = c.key AND r.rn = c.place)
+), solved AS MATERIALIZED (SELECT key, c0 AS cost, a0 AS audit FROM costs WHERE place = 0),
 edits AS (
   SELECT key, i, audit[i] AS edit, count(*) FILTER (WHERE audit[i] <> 'I') OVER (PARTITION BY key ORDER BY i) AS rn FROM (SELECT key, audit, unnest(range(1, length(audit) + 1)) AS i FROM solved)
 ), outs AS (
