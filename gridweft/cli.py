@@ -12,7 +12,8 @@ from gridweft.operators.access import Grid
 from gridweft.plans.convert import Conversion
 from gridweft.session import local_session
 from gridweft.sources import rdfxml, sinks, splits
-from gridweft.storage import stored
+from gridweft.sources.ordered_text import join_parts
+from gridweft.storage import delete, new_path, stored
 
 
 def _path(text: str) -> str:
@@ -113,12 +114,16 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         conversion = Conversion(grid)
         for r in conversion.totals().orderBy("nth").collect():
             print(f"{r['metric']}: {r['n']}")
-        text = sinks.NetworkJson(conversion).documents().first()["json"] + "\n"
+        network = sinks.NetworkJson(conversion)
         if args.output:
-            with open(args.output, "w") as file:
-                file.write(text)
+            folder = new_path(spark, "network")
+            network.write(folder)
+            join_parts(spark, f"{folder}/model=model", args.output, "\n")
+            delete(spark, folder)
         else:
-            sys.stdout.write(text)
+            for r in network.fragments().orderBy("section", "rank", "doc_pos").toLocalIterator():
+                sys.stdout.write(r["value"] + sinks.END)
+            sys.stdout.write("\n")
     return 0
 
 

@@ -633,6 +633,62 @@ def a_convert_totals(grid):
     return Conversion(grid).totals()
 
 
+# The network's document
+
+
+@query(
+    """, m AS (SELECT model, id, scenario, greatest(0, floor((epoch(scenario::TIMESTAMP) - epoch(created::TIMESTAMP)) / 60))::BIGINT AS ahead FROM o WHERE type = 'FullModel' ORDER BY doc_pos LIMIT 1),
+    there AS (
+      SELECT 0 AS k, 'cgmesTapChangers' AS name, EXISTS (SELECT 1 FROM o t JOIN o e ON e.id = coalesce(t.ratio_end, t.phase_end) JOIN o x ON x.id = e.transformer AND x.type = 'PowerTransformer' WHERE t.type IN ('RatioTapChanger', 'PhaseTapChangerTabular') AND t.normal_step IS NOT NULL) AS yes
+      UNION ALL SELECT 1, 'detail', EXISTS (SELECT 1 FROM places WHERE type IN ('EnergyConsumer', 'ConformLoad', 'NonConformLoad')) UNION ALL SELECT 2, 'coordinatedReactiveControl', EXISTS (SELECT 1 FROM o WHERE type = 'SynchronousMachine' AND q_percent IS NOT NULL)
+      UNION ALL SELECT 3, 'cgmesMetadataModels', EXISTS (SELECT 1 FROM m) UNION ALL SELECT 4, 'baseVoltageMapping', EXISTS (SELECT 1 FROM o WHERE type = 'BaseVoltage') UNION ALL SELECT 5, 'cimCharacteristics', true
+    ) SELECT model, '{"version":"1.15","extensionVersions":[' || (SELECT string_agg('{"extensionName":"' || name || '","version":"1.0"}', ',' ORDER BY k) FROM there WHERE yes) || '],"id":"' || id || '","caseDate":"' || replace(scenario, 'Z', '.000Z') || '","forecastDistance":' || ahead || ',"sourceFormat":"CGMES","minimumValidationLevel":"EQUIPMENT"' AS head FROM m"""
+)
+def a_ext_versions(grid):
+    return sinks.NetworkJson(Conversion(grid)).heads()
+
+
+@query(
+    """SELECT model, doc_pos, '{"id":"' || eq_mrid || '","detail":{"fixedActivePower":0.0,"fixedReactivePower":0.0,"variableActivePower":0.0,"variableReactivePower":0.0}}' AS json FROM places WHERE type IN ('EnergyConsumer', 'ConformLoad', 'NonConformLoad')"""
+)
+def a_detail_ext(grid):
+    return sinks.NetworkJson(Conversion(grid)).extensions.where("kind = 1").select("model", "doc_pos", "json")
+
+
+@query(
+    """, listed AS (SELECT subj_pos, string_agg('{"content":"' || text || '"}', ',' ORDER BY pos) FILTER (WHERE pred = 'Model.profile') AS profiles, contains(string_agg(text, ',') FILTER (WHERE pred = 'Model.profile'), 'CoreEquipment') AS core, string_agg('{"content":"' || ref || '"}', ',' ORDER BY pos) FILTER (WHERE pred = 'Model.DependentOn') AS dependent FROM tagrows GROUP BY subj_pos),
+    models AS (
+      SELECT string_agg('{"subset":"' || CASE WHEN core THEN 'EQUIPMENT' ELSE 'UNKNOWN' END || '","modelingAuthoritySet":"' || authority || '","id":"' || id || '","version":' || coalesce(version::INTEGER, 0) || ',"description":"' || replace(replace(replace(description, '+', ' '), '&lt;', '<'), '&gt;', '>') || '","profiles":[' || coalesce(profiles, '') || '],"dependentOnModels":[' || coalesce(dependent, '') || ']}', ',' ORDER BY nth) AS json
+      FROM (SELECT o.*, l.*, CASE row_number() OVER (ORDER BY doc_pos) WHEN 1 THEN 2147483647 ELSE row_number() OVER (ORDER BY doc_pos) END AS nth FROM o JOIN listed l ON l.subj_pos = o.doc_pos WHERE type = 'FullModel') x
+    ), voltages AS (
+      SELECT string_agg('{"nominalVoltage":' || nominal::DOUBLE::VARCHAR || ',"source":"' || CASE WHEN doc_pos > (SELECT max(doc_pos) FROM o WHERE type = 'FullModel') THEN 'BOUNDARY' ELSE 'IGM' END || '","id":"' || mrid_or_id || '"}', ',' ORDER BY nominal::DOUBLE, doc_pos) AS json FROM o WHERE type = 'BaseVoltage'
+    ) SELECT model, '{"id":"' || id || '","cgmesMetadataModels":{"models":[' || models.json || ']},"baseVoltageMapping":{"baseVoltages":[' || voltages.json || ']},"cimCharacteristics":{"topologyKind":"NODE_BREAKER","cimVersion":100}}' AS json FROM (SELECT model, id FROM o WHERE type = 'FullModel' ORDER BY doc_pos LIMIT 1) x, models, voltages"""
+)
+def s_bv_sort(grid):
+    return sinks.NetworkJson(Conversion(grid)).extensions.where("kind = 3").select("model", "json")
+
+
+@query(
+    f"""{_MORE}, members AS (
+      SELECT 0 AS section, 0 AS rank, s.doc_pos, s.mrid_or_id AS id, count(k.vl) AS levels FROM o s JOIN kept k ON k.substation = s.id LEFT JOIN sub_merge m ON m.id = s.id WHERE s.type = 'Substation' AND (m.id IS NULL OR m.representative = s.id) GROUP BY ALL
+      UNION ALL SELECT 1, 0, cn_pos, id, 0 FROM fict
+      UNION ALL SELECT 2, (e.type = 'SeriesCompensator')::INTEGER, e.doc_pos, e.mrid_or_id, 0 FROM o e JOIN terminals t ON t.equipment = e.id AND t.n = 2 JOIN line_ends l ON l.terminal = t.id WHERE e.type IN ('ACLineSegment', 'SeriesCompensator') GROUP BY e.type, e.doc_pos, e.mrid_or_id HAVING count(*) = 2
+      UNION ALL SELECT 3, 0, doc_pos, mrid_or_id, 0 FROM o WHERE type = 'ControlArea'
+      UNION ALL SELECT 4, 0, min(t.doc_pos), x.mrid_or_id, 0 FROM o t JOIN o e ON e.id = coalesce(t.ratio_end, t.phase_end) JOIN o x ON x.id = e.transformer AND x.type = 'PowerTransformer' WHERE t.type IN ('RatioTapChanger', 'PhaseTapChangerTabular') AND t.normal_step IS NOT NULL GROUP BY x.mrid_or_id
+      UNION ALL SELECT 4, 1, doc_pos, eq_mrid, 0 FROM places WHERE type IN ('EnergyConsumer', 'ConformLoad', 'NonConformLoad')
+      UNION ALL SELECT 4, 2, doc_pos, mrid_or_id, 0 FROM o WHERE type = 'SynchronousMachine' AND q_percent IS NOT NULL
+      UNION ALL (SELECT 4, 3, 0, id, 0 FROM o WHERE type = 'FullModel' ORDER BY doc_pos LIMIT 1)
+    ) SELECT 'star' AS model, section, rank, doc_pos, id, levels, row_number() OVER (PARTITION BY section ORDER BY rank, doc_pos) = 1 AS opens FROM members"""
+)
+def sink_json_network(grid):
+    """Every fragment of the document: its place, whose it is, its voltage levels and whether it opens its list; a member is read back as JSON."""
+    rows = sinks.NetworkJson(Conversion(grid)).fragments().where(f"section < {len(sinks.SECTIONS)}")
+    opens = ~F.col("value").startswith(",{")
+    member = F.concat(F.regexp_extract("value", r'^(?:,|.*?"(?:' + "|".join(n for n, _ in sinks.SECTIONS) + r')":\[)(?=\{"id":)(.*)$', 1), F.lit(sinks.END))
+    levels = F.when(F.col("section") == 0, F.json_array_length(F.get_json_object(member, "$.voltageLevels"))).otherwise(0)
+    return rows.select("model", "section", "rank", "doc_pos", F.get_json_object(member, "$.id").alias("id"), levels.cast("long").alias("levels"), opens.alias("opens"))
+
+
 # Models in XML
 
 

@@ -4,17 +4,39 @@ import pytest
 from models import RDF, conversion_model, grid_of, node, terminal, thing
 
 from gridweft.plans.convert import Conversion
+from gridweft.sources.ordered_text import join_parts, part_files
 from gridweft.sources.sinks import NetworkJson
 
 
 @pytest.fixture(scope="module")
-def network(spark):
-    conversion = Conversion(grid_of(spark, conversion_model()))
-    rows = NetworkJson(conversion).documents().collect()
+def written(spark):
+    return NetworkJson(Conversion(grid_of(spark, conversion_model())))
+
+
+@pytest.fixture(scope="module")
+def network(written):
+    rows = written.documents().collect()
     assert len(rows) == 1
     return json.loads(rows[0]["json"])
 
 
+def test_part_files_are_the_document(spark, written, tmp_path):
+    """Written by many tasks and joined, byte by byte; models without members of a list, and with none at all."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        written.write(f"{tmp_path}/out")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(part_files(spark, f"{tmp_path}/out/model=m0")) > 1
+    join_parts(spark, f"{tmp_path}/out/model=m0", f"{tmp_path}/whole.json", "\n")
+    assert (tmp_path / "whole.json").read_text() == written.documents().first()["json"] + "\n"
+    head = thing("FullModel", "FM1", {"Model.scenarioTime": "2026-01-01T09:00:00Z", "Model.created": "2026-01-01T01:00:00Z"}, about=True)
+    area = thing("ControlArea", "CA", {}, {})
+    bare, areas = (json.loads(r["json"]) for r in NetworkJson(Conversion(grid_of(spark, RDF.format(head), RDF.format(head + area)))).documents().orderBy("model").collect())
+    assert bare["substations"] == bare["lines"] == [] and "areas" not in bare and list(bare)[-3:] == ["substations", "lines", "extensions"]
+    assert [a["id"] for a in areas["areas"]] == ["CA"] and list(areas)[-4:] == ["substations", "lines", "areas", "extensions"]
+
+
 def level(network, name):
     return next(v for s in network["substations"] for v in s["voltageLevels"] if v["id"] == name)
 
