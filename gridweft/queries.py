@@ -10,21 +10,21 @@ from gridweft.operators import diff as D
 from gridweft.plans.convert import Conversion
 from gridweft.plans.index import NUMBERED, SWITCHES, Index
 from gridweft.sources import rdfxml, sinks, splits
-from gridweft.sources.star import CTES, CTES_V2, star_grid, write_models
+from gridweft.sources.star import CTES, CTES_V2, OBJECTS_V2, narrow_ctes, star_grid, write_models
 from gridweft.storage import new_path, stored
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Register a function (grid) -> DataFrame under its name, over the star model."""
+def query(sql: str | None = None, ctes: str | None = None):
+    """Register a function (grid) -> DataFrame under its name, over the star model; ``ctes`` stands for all views of the oracles."""
 
     def add(f):
         QUERIES[f.__name__] = lambda spark, sf_dir: f(star_grid(spark, sf_dir))
         if sql:
             # A text that begins with a comma opens with further common table expressions.
-            ORACLE_SQL[f.__name__] = f"WITH RECURSIVE {CTES}, {_COMMON} {sql}"
+            ORACLE_SQL[f.__name__] = f"WITH RECURSIVE {CTES}, {_COMMON} {sql}" if ctes is None else f"WITH {ctes} {sql}"
         return f
 
     return add
@@ -184,7 +184,10 @@ def all_references(grid):
     return grid.all_references().select("model", "subj", "pred", "value")
 
 
-@query("SELECT s.model, s.id, s.unit, u.type AS unit_type FROM o s LEFT JOIN o u ON u.id = s.unit WHERE s.type = 'SynchronousMachine'")
+@query(
+    ", units AS (SELECT subj_pos, substr(ref, 2) AS unit FROM tagrows) SELECT s.model, s.id, r.unit, u.type AS unit_type FROM objects s LEFT JOIN units r ON r.subj_pos = s.doc_pos LEFT JOIN (SELECT id, type FROM objects WHERE type LIKE '%GeneratingUnit') u ON u.id = r.unit WHERE s.type = 'SynchronousMachine'",
+    narrow_ctes({"RotatingMachine.GeneratingUnit"}),
+)
 def ref_deref(grid):
     rows = grid.view(["SynchronousMachine"], {}, {"unit": "RotatingMachine.GeneratingUnit"}).select("model", "id", "unit")
     return grid.deref(rows, "unit", "unit").select("model", "id", "unit", "unit_type")
@@ -213,7 +216,7 @@ def g_browse_path(grid):
 # Differences
 
 
-def _diff(sql: str):
+def _diff(sql: str, ctes: str | None = None):
     def add(f):
         QUERIES[f.__name__] = lambda spark, sf_dir: f(star_grid(spark, sf_dir), star_grid(spark, sf_dir, 2))
         fields = """fields1 AS (SELECT o.model, o.type, o.id, kind, pred, arg_max(value, pos) AS value FROM (SELECT subj_pos, pos, pred, 'property' AS kind, text AS value FROM tagrows UNION ALL SELECT subj_pos, pos, pred, 'reference', ref FROM tagrows) t JOIN objects o ON o.doc_pos = t.subj_pos WHERE value IS NOT NULL GROUP BY ALL)"""
@@ -222,18 +225,27 @@ def _diff(sql: str):
         changes AS (SELECT coalesce(a.model, b.model) AS model, coalesce(a.type, b.type) AS type, coalesce(a.id, b.id) AS id, coalesce(a.kind, b.kind) AS kind, coalesce(a.pred, b.pred) AS pred, a.value AS old, b.value AS new
           FROM fields1 a FULL JOIN fields2 b ON a.type = b.type AND a.id = b.id AND a.kind = b.kind AND a.pred = b.pred WHERE a.value IS DISTINCT FROM b.value),
         inner_changes AS (SELECT c.* FROM changes c JOIN statuses s ON s.type = c.type AND s.id = c.id AND s.status = 'both')"""
-        ORACLE_SQL[f.__name__] = f"WITH {CTES}, {CTES_V2}, {both}, {changed} {sql}"
+        ORACLE_SQL[f.__name__] = f"WITH {CTES}, {CTES_V2}, {both}, {changed} {sql}" if ctes is None else f"WITH {ctes} {sql}"
         return f
 
     return add
 
 
-@_diff("SELECT * FROM statuses")
+@_diff("SELECT model, type, id, CASE WHEN min(v) = 2 THEN 'added' WHEN max(v) = 1 THEN 'removed' ELSE 'both' END AS status FROM (SELECT model, type, id, 1 AS v FROM objects UNION ALL SELECT model, type, id, 2 FROM objects2) x GROUP BY model, type, id", f"{narrow_ctes(kinds=['substation'])}, {OBJECTS_V2}")
 def j_diff_objects(old, new):
     return D.diff_objects(old, new)
 
 
-@_diff("SELECT * FROM inner_changes")
+@_diff(
+    # Objects keep their positions in the second version, so that fields meet by them; those that change class are in one version each.
+    """SELECT b.model, b.type, b.id, c.kind, c.pred, c.old, c.new FROM (
+      SELECT subj_pos, kind, pred, arg_max(value, pos) FILTER (WHERE v = 1) AS old, arg_max(value, pos) FILTER (WHERE v = 2) AS new FROM (
+        SELECT 1 AS v, subj_pos, pos, pred, 'property' AS kind, text AS value FROM tagrows UNION ALL SELECT 1, subj_pos, pos, pred, 'reference', ref FROM tagrows
+        UNION ALL SELECT 2, subj_pos, pos, pred, 'property', text FROM tagrows2 UNION ALL SELECT 2, subj_pos, pos, pred, 'reference', ref FROM tagrows2) x
+      WHERE value IS NOT NULL GROUP BY subj_pos, kind, pred HAVING old IS DISTINCT FROM new) c
+    JOIN objects a ON a.doc_pos = c.subj_pos JOIN objects2 b ON b.doc_pos = c.subj_pos AND b.type = a.type""",
+    f"{CTES}, {CTES_V2}",
+)
 def j_diff_fields(old, new):
     return D.diff_fields(old, new)
 
@@ -288,8 +300,11 @@ _VALUES = """, vals AS (
 
 
 @query(
-    f"""{_VALUES}, fields AS (SELECT doc_pos, string_agg('"' || pred || '":"' || value || '"', ',' ORDER BY pred) FILTER (WHERE kind = 'p') AS p, string_agg('"' || pred || '":"' || {_bare('value')} || '"', ',' ORDER BY pred) FILTER (WHERE kind = 'r') AS r FROM vals GROUP BY doc_pos)
-    SELECT o.model, o.id, '{{"id":"' || o.id || '","type":"' || o.type || '","properties":{{' || coalesce(p, '') || '}},"references":{{' || coalesce(r, '') || '}}}}' AS json FROM objects o LEFT JOIN fields f ON f.doc_pos = o.doc_pos WHERE o.type IN ('Substation', 'Bay', 'FullModel')"""
+    f""", vals AS (
+      SELECT subj_pos, pred, arg_max(text, pos) FILTER (WHERE text IS NOT NULL) AS said, arg_max(ref, pos) FILTER (WHERE ref IS NOT NULL) AS target FROM tagrows GROUP BY subj_pos, pred
+    ), fields AS (SELECT subj_pos, string_agg('"' || pred || '":"' || said || '"', ',' ORDER BY pred) AS p, string_agg('"' || pred || '":"' || {_bare('target')} || '"', ',' ORDER BY pred) AS r FROM vals GROUP BY subj_pos)
+    SELECT o.model, o.id, '{{"id":"' || o.id || '","type":"' || o.type || '","properties":{{' || coalesce(p, '') || '}},"references":{{' || coalesce(r, '') || '}}}}' AS json FROM objects o LEFT JOIN fields f ON f.subj_pos = o.doc_pos WHERE o.type IN ('Substation', 'Bay', 'FullModel')""",
+    narrow_ctes(kinds={"substation", "bay", "model"}),
 )
 def sink_json_object(grid):
     return sinks.object_json(grid, ["Substation", "Bay", "FullModel"])
@@ -352,8 +367,13 @@ def w_dedicated_node(grid):
 
 
 @query(
-    """, last AS (SELECT l.set_id, arg_max(struct_pack(v := trim(coalesce(l.value, l.normal)), m := l.mrid_or_id), l.doc_pos) AS p FROM o l JOIN o t ON t.id = l.type_id WHERE l.type = 'CurrentLimit' AND t.infinite = 'true' GROUP BY l.set_id)
-    SELECT 'star' AS model, s.set_terminal AS terminal, s.doc_pos AS set_pos, s.mrid_or_id AS id, coalesce(s.name, s.mrid_or_id) AS name, p.v AS patl_text, p.v::DOUBLE AS patl, p.m AS patl_mrid FROM o s LEFT JOIN last ON last.set_id = s.id WHERE s.type = 'OperationalLimitSet'"""
+    """, said AS (
+      SELECT subj_pos, max(text) FILTER (WHERE pred = 'IdentifiedObject.name') AS name, max(text) FILTER (WHERE pred = 'CurrentLimit.value') AS value, max(text) FILTER (WHERE pred = 'CurrentLimit.normalValue') AS normal, max(text) FILTER (WHERE pred = 'OperationalLimitType.isInfiniteDuration') AS infinite,
+             max(substr(ref, 2)) FILTER (WHERE pred = 'OperationalLimitSet.Terminal') AS terminal, max(substr(ref, 2)) FILTER (WHERE pred = 'OperationalLimit.OperationalLimitSet') AS set_id, max(substr(ref, 2)) FILTER (WHERE pred = 'OperationalLimit.OperationalLimitType') AS type_id FROM tagrows GROUP BY subj_pos
+    ), kinds AS (SELECT o.id FROM objects o JOIN said ON subj_pos = doc_pos WHERE type = 'OperationalLimitType' AND infinite = 'true'),
+    last AS (SELECT set_id, arg_max(struct_pack(v := trim(coalesce(value, normal)), m := substr(o.id, 2)), doc_pos) AS p FROM objects o JOIN said ON subj_pos = doc_pos JOIN kinds k ON k.id = type_id WHERE type = 'CurrentLimit' GROUP BY set_id)
+    SELECT 'star' AS model, terminal, o.doc_pos AS set_pos, substr(o.id, 2) AS id, coalesce(name, substr(o.id, 2)) AS name, p.v AS patl_text, p.v::DOUBLE AS patl, p.m AS patl_mrid FROM objects o JOIN said ON subj_pos = doc_pos LEFT JOIN last ON last.set_id = o.id WHERE o.type = 'OperationalLimitSet'""",
+    narrow_ctes(kinds={"limit type", "limit set", "current limit"}),
 )
 def a_limit_groups(grid):
     return Index(grid).limit_groups
@@ -593,8 +613,11 @@ def c_areas(grid):
 
 
 @query(
-    """SELECT t.model, x.mrid_or_id AS transformer, (t.type LIKE 'Phase%')::INTEGER AS rank, t.doc_pos, t.mrid_or_id AS id, CASE WHEN t.type LIKE 'Phase%' THEN t.type END AS type, t.normal_step::INTEGER AS step
-    FROM o t JOIN o e ON e.id = coalesce(t.ratio_end, t.phase_end) JOIN o x ON x.id = e.transformer AND x.type = 'PowerTransformer' WHERE t.type IN ('RatioTapChanger', 'PhaseTapChangerTabular') AND t.normal_step IS NOT NULL"""
+    """, said AS (SELECT subj_pos, max(text) FILTER (WHERE pred = 'TapChanger.normalStep') AS step, max(text) FILTER (WHERE pred = 'IdentifiedObject.mRID') AS mrid, max(substr(ref, 2)) AS target FROM tagrows GROUP BY subj_pos),
+    transformers AS (SELECT id, coalesce(mrid, substr(id, 2)) AS mrid FROM objects LEFT JOIN said ON subj_pos = doc_pos WHERE type = 'PowerTransformer'),
+    ends AS (SELECT e.id, x.mrid AS transformer FROM objects e JOIN said ON subj_pos = doc_pos JOIN transformers x ON x.id = target WHERE e.type = 'PowerTransformerEnd')
+    SELECT t.model, e.transformer, (t.type LIKE 'Phase%')::INTEGER AS rank, t.doc_pos, substr(t.id, 2) AS id, CASE WHEN t.type LIKE 'Phase%' THEN t.type END AS type, step::INTEGER AS step FROM objects t JOIN said ON subj_pos = doc_pos JOIN ends e ON e.id = target WHERE t.type IN ('RatioTapChanger', 'PhaseTapChangerTabular') AND step IS NOT NULL""",
+    narrow_ctes({"RatioTapChanger.TransformerEnd", "PhaseTapChanger.TransformerEnd", "TapChanger.normalStep", "PowerTransformerEnd.PowerTransformer", "IdentifiedObject.mRID"}),
 )
 def c_ext_tap_changers(grid):
     return Conversion(grid).tap_changer_extensions()

@@ -8,6 +8,7 @@ units and their regulating controls.
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -209,13 +210,14 @@ def _text(x: str | None) -> str:
     return x or "CAST(NULL AS STRING)"
 
 
-def _union_of_tags() -> str:
-    """One SELECT for each tag, for DuckDB."""
+def _union_of_tags(names: Collection[str] | None = None, kinds: Collection[str] | None = None) -> str:
+    """One SELECT for each tag, for DuckDB; of listed names and kinds of objects, where these are given."""
     rows, count = [], dict.fromkeys(_OBJECTS, 0)
     for kind, pred, text, ref, condition in _TAGS:
         _, pos, name, source = _OBJECTS[kind]
         where = f" WHERE {condition}" if condition else ""
-        rows.append(f"SELECT 'star' AS model, {name} AS subj, {pos} AS subj_pos, ({pos}) * 32 + {count[kind]} AS pos, '{pred}' AS pred, {_text(text)} AS text, {_text(ref)} AS ref FROM {source} x{where}")
+        if (names is None or pred in names) and (kinds is None or kind in kinds):
+            rows.append(f"SELECT 'star' AS model, {name} AS subj, {pos} AS subj_pos, ({pos}) * 32 + {count[kind]} AS pos, '{pred}' AS pred, {_text(text)} AS text, {_text(ref)} AS ref FROM {source} x{where}")
         count[kind] += 1
     return "\nUNION ALL ".join(rows)
 
@@ -238,9 +240,18 @@ _OBJECT_ROWS_2 = "SELECT model, doc_pos, id, CASE WHEN doc_pos % 89 = 0 THEN typ
 _TAG_ROWS_2 = "SELECT model, subj, subj_pos, pos, pred, CASE WHEN subj_pos % 83 = 0 THEN text || '!' ELSE text END AS text, ref FROM tagrows WHERE pos % 101 <> 0 AND subj_pos % 97 <> 0"
 
 #: DuckDB's common table expressions ``objects`` (model, doc_pos, id, type) and ``tagrows`` (subj_pos, pos, pred, text, ref).
+_TABLES = f"lines AS MATERIALIZED ({_LINES}), equipment AS MATERIALIZED ({_EQUIPMENT}), levels AS MATERIALIZED ({_LEVELS})"
 CTES = f"""lines AS MATERIALIZED ({_LINES}), equipment AS MATERIALIZED ({_EQUIPMENT}), levels AS MATERIALIZED ({_LEVELS}),
 objects AS MATERIALIZED ({_OBJECT_ROWS}),
 tagrows AS MATERIALIZED ({_union_of_tags()})"""
+
+
+def narrow_ctes(names: Collection[str] | None = None, kinds: Collection[str] | None = None) -> str:
+    """CTES with tags of listed names, or of listed kinds of objects, alone."""
+    return f"{_TABLES}, objects AS ({_OBJECT_ROWS}), tagrows AS ({_union_of_tags(names, kinds)})"
+
+
+OBJECTS_V2 = f"objects2 AS ({_OBJECT_ROWS_2})"
 CTES_V2 = f"objects2 AS MATERIALIZED ({_OBJECT_ROWS_2}), tagrows2 AS MATERIALIZED ({_TAG_ROWS_2})"
 
 TABLES = ("region", "nation", "customer", "supplier", "orders", "lineitem")
