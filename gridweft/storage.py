@@ -34,9 +34,17 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def in_few_files(df: DataFrame) -> DataFrame:
-    """The rows in a sixteenth of the shuffle partitions: for tables that are small beside what they are made from."""
-    return df.repartition(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16))
+#: Rows that a file of in_few_files() holds, about.
+ROWS_A_FILE = 4_000_000
+
+
+def in_few_files(df: DataFrame, rows: int = 0) -> DataFrame:
+    """The rows in a sixteenth of the shuffle partitions, or in more where a counted number of rows asks for it, up to all.
+
+    Without ``rows`` for tables whose size a parameter bounds.
+    """
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(1, most // 16, min(most, -(-rows // ROWS_A_FILE))))
 
 
 class Stored:
