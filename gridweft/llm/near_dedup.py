@@ -72,7 +72,7 @@ def shingle_sets(column: pa.Array, n_words: int) -> Iterator[tuple[int, list[np.
             if last - first >= n_words:
                 sets.append(np.unique(grams[first : last - n_words + 1]))
             elif last > first:
-                one = np.uint64(last - first) * np.uint64(0xD1B54A32D192ED03)
+                one = np.uint64((last - first) * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF)
                 for value in h[first:last]:
                     one = tokens.mixed(np.array([value ^ one]))[0]
                 sets.append(np.array([one], np.uint64))
@@ -165,7 +165,7 @@ def candidates(classes: DataFrame, keep: Callable[[DataFrame, str], DataFrame] =
     schema = "a long, b long, key binary"
     rows = classes.select("class", "signature").mapInArrow(_trees, "key binary, id long")
     rows = rows.repartitionByRange("key", "id").sortWithinPartitions("key", "id")
-    scanned = keep(storage.in_few_files(rows.mapInArrow(_neighbours, schema)), "near-scan")
+    scanned = keep(storage.in_few_files(rows.mapInArrow(_neighbours, schema), 2 * TREES * classes.count()), "near-scan")
     # Two rows from each end of each partition: as many as partitions, times four.
     edges = scanned.where("b IS NULL").select("key", F.col("a").alias("id")).repartition(1).sortWithinPartitions("key", "id")
     across = edges.mapInArrow(_neighbours, schema)
@@ -365,6 +365,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     numbered = first.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("class", F.monotonically_increasing_id())
     classes = storage.stored(numbered, "near-classes")
 
+    n_classes = classes.count()
     # Tables that the result doesn't read; they are deleted at the end.
     done: list[storage.Stored] = []
 
@@ -372,7 +373,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         done.append(storage.Stored(df, name))
         return done[-1].df
 
-    pairs = keep(storage.in_few_files(candidates(classes, keep)), "near-pairs")
+    pairs = keep(storage.in_few_files(candidates(classes, keep), 2 * TREES * n_classes), "near-pairs")
+    n_pairs = pairs.count()
     ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("degree"))
     clusters = connected_components(pairs).select(F.col("node").alias("class"), F.col("component").alias("cluster"))
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > CHUNK)
@@ -391,7 +393,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         dealt = dealt.unionByName(hubs.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(*keys, "id", "shingles"))
     dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
     linked = dealt.mapInArrow(_link(percent, keys), "a long, b long").unionByName(_same_id(full.where(F.col("id") < last), classes))
-    linked = keep(storage.in_few_files(linked), "near-links")
+    linked = keep(storage.in_few_files(linked, n_pairs), "near-links")
     parts = connected_components(linked).select(F.col("node").alias("id"), F.col("component").alias("part"))
 
     # What is outside the main part of a cluster of several chunks is compared with all of the cluster, in blocks.
@@ -401,7 +403,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         by_part = spread.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n"))
         main = by_part.groupBy("cluster").agg(F.max(F.struct("n", "part")).alias("main"), F.sum("n").alias("size"))
         rest = main.where("main.n < size").select("cluster", F.col("main.part").alias("main"), F.ceil((F.col("size") - F.col("main.n")) / CHUNK).cast("int").alias("blocks"))
-        rest = keep(storage.in_few_files(_salted(spread, "id").join(_spread(rest), ["cluster", "salt"]).drop("salt")), "near-rest")
+        rest = keep(storage.in_few_files(_salted(spread, "id").join(_spread(rest), ["cluster", "salt"]).drop("salt"), n_classes), "near-rest")
     if rest is not None and not rest.isEmpty():
         placed = rest.select("id", "part", "main", "blocks").join(sets, "id")
         block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
@@ -412,7 +414,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         units = units.groupBy(*keys, "id").agg(F.first("part").alias("part"), F.max("only").alias("only"), F.first("shingles").alias("shingles"))
         units = units.repartition(*keys).sortWithinPartitions(*keys)
         more = units.mapInArrow(_link(percent, keys), "a long, b long")
-        linked = keep(storage.in_few_files(linked.unionByName(more)), "near-links")
+        linked = keep(storage.in_few_files(linked.unionByName(more), 2 * n_pairs), "near-links")
         parts = connected_components(linked).select(F.col("node").alias("id"), F.col("component").alias("part"))
     for table in done:
         table.drop()
