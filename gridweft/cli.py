@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridweft.operators import diff as D
 from gridweft.operators.access import Grid
+from gridweft.operators.browse import CRUMB, paths, screen
 from gridweft.plans.convert import Conversion
 from gridweft.session import local_session
 from gridweft.sources import rdfxml, sinks, splits
@@ -40,7 +41,7 @@ def parser() -> argparse.ArgumentParser:
             one.add_argument("--fields")
             one.add_argument("--count", action="store_true")
         if name == "browse":
-            one.add_argument("--hops", type=int, default=1)
+            one.add_argument("--hops", type=int, help="list what is within so many references, with the path to it; without, browse")
         if name == "convert":
             one.add_argument("--output")
         one.add_argument("--json", action="store_true")
@@ -50,7 +51,35 @@ def parser() -> argparse.ArgumentParser:
 def load(spark, path: str, boundary: str | None, name: str = "model") -> Grid:
     closed = stored(rdfxml.closed(splits.read_tags(spark, {name: path}, boundary)), "tags")
     objects = stored(rdfxml.objects(closed), "objects")
-    return Grid(objects, stored(rdfxml.triples(closed, objects), "triples"))
+    return Grid(objects, stored(rdfxml.triples(closed, objects), "triples", by="pred"))
+
+
+def _browse(grid: Grid, object_id: str, ask=input) -> int:
+    """Show an object, then the one that an answer picks, or the one before, until ``q`` or the end of the answers."""
+    trail = [object_id]
+    while True:
+        lines = screen(grid, trail[-1])
+        if lines is None:
+            print(f"{trail[-1]}: not_found", file=sys.stderr)
+            return 1
+        refs = [line.rpartition(": ")[2].removeprefix("#") for line in lines if line[3] != " "]
+        crumb = CRUMB.join(r["type"] for one in trail for r in grid.by_id.where(F.col("id") == one).select("type").collect())
+        print("\n".join([*lines, "", crumb, " ".join(f"[{n + 1}]" for n in range(len(refs))) + "  [b]ack" * (len(trail) > 1) + "  [q]uit"]))
+        try:
+            answer = ask().strip()
+        except EOFError:
+            return 0
+        if answer[:1] == "q":
+            return 0
+        if answer[:1] == "b":
+            if len(trail) > 1:
+                trail.pop()
+            else:
+                print("Already at root")
+        elif answer.isdigit() and 0 < int(answer) <= len(refs):
+            trail.append(refs[int(answer) - 1])
+        elif answer:
+            print(f"Pick 1-{len(refs)}" if refs else "No references")
 
 
 def main(argv: list[str] | None = None, spark=None) -> int:
@@ -108,8 +137,11 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             show(D.diff_text(grid, other, args.path, args.other, types).orderBy("sort_type", "sort_id"), "line")
         return int(D.had_diffs(grid, other, types))
     elif args.command == "browse":
-        for r in grid.neighbourhood(F.col("id") == args.mrid, args.hops).join(grid.by_id.select("id", "type"), "id").orderBy("distance", "id").collect():
-            print(f"{r['distance']}  {r['type']}  {r['id']}")
+        if args.hops is not None:
+            for r in paths(grid, F.col("id") == args.mrid, args.hops).orderBy("distance", "id").toLocalIterator():
+                print(f"{r['distance']}  {r['crumb']}  {r['id']}")
+        else:
+            return _browse(grid, args.mrid)
     else:
         conversion = Conversion(grid)
         for r in conversion.totals().orderBy("nth").collect():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -36,6 +37,10 @@ class Grid:
         """Objects of classes."""
         return self.objects.where(F.col("type").isin(*types))
 
+    def named_tags(self, names: Collection[str]) -> DataFrame:
+        """Triples of listed names; where triples are stored by name, the folders of these alone are read."""
+        return self.triples.where(F.col("pred").isin(*names))
+
     def view(self, types: list[str] | None, properties: dict[str, str] | None = None, references: dict[str, str] | None = None, source: DataFrame | None = None) -> DataFrame:
         """Objects (model, id, doc_pos, type) with a column for each named property and reference.
 
@@ -51,7 +56,7 @@ class Grid:
         chosen = base.select("model", "id", "doc_pos", "type")
         if not found:
             return chosen
-        values = self.triples.where(F.col("pred").isin(*set(named))).groupBy("model", F.col("subj_pos").alias("doc_pos")).agg(*found)
+        values = self.named_tags(set(named)).groupBy("model", F.col("subj_pos").alias("doc_pos")).agg(*found)
         return chosen.join(values, ["model", "doc_pos"], "left")
 
     def named(self, types: list[str] | None, properties: dict[str, str] | None = None, references: dict[str, str] | None = None) -> DataFrame:

@@ -315,7 +315,7 @@ class Conversion:
 
     def metadata_models(self) -> DataFrame:
         """FullModels, the second and later ones before the first, with profiles and dependencies in document order."""
-        parts = self.grid.triples.where("pred IN ('Model.profile', 'Model.DependentOn')")
+        parts = self.grid.named_tags({"Model.profile", "Model.DependentOn"})
         listed = lambda value, when: F.transform(F.array_sort(F.collect_list(F.when(when & value.isNotNull(), F.struct("pos", value.alias("v"))))), lambda x: x["v"])
         lists = parts.groupBy("model", F.col("subj_pos").alias("doc_pos")).agg(listed(F.col("text"), F.col("pred") == "Model.profile").alias("profiles"), listed(F.col("ref"), F.col("pred") == "Model.DependentOn").alias("dependent_on"))
         out = self.full_models.join(lists, ["model", "doc_pos"], "left")

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweft.functions import scalars as S
+from gridweft.operators import browse
 from gridweft.operators import diff as D
+from gridweft.operators.snapshots import changed_parts, write_snapshot
 from gridweft.plans.convert import Conversion
 from gridweft.plans.index import NUMBERED, SWITCHES, Index
 from gridweft.sources import rdfxml, sinks, splits
@@ -213,6 +215,38 @@ def g_browse_path(grid):
     return grid.neighbourhood(F.col("type") == "VoltageLevel", 3)
 
 
+_EDGES = """, refs AS (
+      SELECT o.id AS parent, (row_number() OVER (PARTITION BY t.subj_pos ORDER BY t.pos))::INTEGER AS pick, CASE WHEN starts_with(t.ref, '#') THEN substr(t.ref, 2) ELSE t.ref END AS target FROM tagrows t JOIN objects o ON o.doc_pos = t.subj_pos WHERE t.ref IS NOT NULL
+    ), edges AS MATERIALIZED (SELECT r.*, e.type FROM refs r LEFT JOIN objects e ON e.id = r.target)"""
+
+
+@query(
+    f"""{_EDGES}, l0 AS (SELECT id, 0 AS distance, NULL::VARCHAR AS parent, NULL::INTEGER AS pick, type AS crumb, '' AS picks FROM objects WHERE type = 'PowerTransformerEnd'), """
+    + ", ".join(
+        f"""n{d} AS (SELECT target, min(struct_pack(p := g.parent, k := g.pick)) AS f, any_value(g.type) AS type FROM edges g JOIN l{d - 1} b ON b.id = g.parent WHERE g.type IS NOT NULL AND target NOT IN ({' UNION ALL '.join(f'SELECT id FROM l{k}' for k in range(d))}) GROUP BY target),
+        l{d} AS (SELECT target AS id, {d} AS distance, f.p AS parent, f.k AS pick, crumb || ' -> ' || n.type AS crumb, CASE WHEN picks = '' THEN '' ELSE picks || ',' END || f.k AS picks FROM n{d} n JOIN l{d - 1} b ON b.id = n.f.p)"""
+        for d in (1, 2, 3, 4)
+    )
+    + " SELECT 'star' AS model, * FROM (" + " UNION ALL ".join(f"SELECT * FROM l{d}" for d in range(5)) + ") x"
+)
+def g_browse_crumbs(grid):
+    return browse.paths(grid, F.col("type") == "PowerTransformerEnd", 4)
+
+
+_pick = lambda n, s, new: f"""{new} AS (SELECT start, CASE WHEN e.target IS NOT NULL AND note IS DISTINCT FROM 'not found' THEN e.target ELSE s.id END AS id, CASE WHEN e.type IS NOT NULL AND note IS DISTINCT FROM 'not found' THEN list_append(trail, struct_pack(id := e.target, type := e.type)) ELSE trail END AS trail,
+      CASE WHEN note = 'not found' THEN note WHEN NOT EXISTS (SELECT 1 FROM edges x WHERE x.parent = s.id) THEN 'no references' WHEN e.target IS NULL THEN 'no such reference' WHEN e.type IS NULL THEN 'not found' END AS note FROM {s} s LEFT JOIN edges e ON e.parent = s.id AND e.pick = {n})"""
+_back = lambda s, new: f"""{new} AS (SELECT start, CASE WHEN note = 'not found' THEN id WHEN len(trail) > 1 THEN trail[-2].id ELSE id END AS id, CASE WHEN note IS DISTINCT FROM 'not found' AND len(trail) > 1 THEN trail[:-2] ELSE trail END AS trail, CASE WHEN note = 'not found' THEN note WHEN len(trail) = 1 THEN 'already at root' END AS note FROM {s})"""
+
+
+@query(
+    f"""{_EDGES}, s0 AS (SELECT id AS start, id, [struct_pack(id := id, type := type)] AS trail, NULL::VARCHAR AS note FROM objects WHERE type IN ('Terminal', 'RatioTapChanger', 'Substation')),
+    {_pick(2, 's0', 's1')}, {_pick(2, 's1', 's2')}, {_back('s2', 's3')}, {_pick(1, 's3', 's4')}
+    SELECT 'star' AS model, start, id, list_aggregate(list_transform(trail, lambda x: x.type), 'string_agg', ' -> ') AS crumb, len(trail)::INTEGER AS depth, note FROM s4"""
+)
+def g_browse_sessions(grid):
+    return browse.sessions(grid, F.col("type").isin("Terminal", "RatioTapChanger", "Substation"), [2, 2, "b", 1])
+
+
 # Differences
 
 
@@ -265,6 +299,12 @@ def j_diff_single(old, new):
     return D.diff_single(old, new, "_SS7")
 
 
+@_diff("SELECT * FROM statuses WHERE status <> 'both' UNION ALL SELECT DISTINCT model, type, id, 'changed' FROM inner_changes")
+def j_diff_snapshots(old, new):
+    """Added, removed and changed objects from two stored snapshots, of which equal buckets are not read."""
+    return D.diff_status(*changed_parts(*(write_snapshot(g, new_path(g.spark, "snapshot"), 32) for g in (old, new))))
+
+
 _change = """'{"property":"' || pred || '","from":' || coalesce('"' || old || '"', 'null') || ',"to":' || coalesce('"' || new || '"', 'null') || '}'"""
 _LISTED = f""", listed AS (
   SELECT model, type, id, string_agg({_change}, ',' ORDER BY kind, pred) AS json,

@@ -222,12 +222,12 @@ def _union_of_tags(names: Collection[str] | None = None, kinds: Collection[str]
     return "\nUNION ALL ".join(rows)
 
 
-def _tags_by_kind() -> str:
-    """One SELECT for each kind of object, which lists its tags, for Spark: every source is read once."""
+def _tags_by_kind(names: Collection[str] | None = None) -> str:
+    """One SELECT for each kind of object, which lists its tags, for Spark: every source is read once; of listed names, if given."""
     rows = []
     for kind, (_, pos, name, source) in _OBJECTS.items():
         tags = [t[1:] for t in _TAGS if t[0] == kind]
-        listed = [f"IF({condition or 'true'}, struct({n} AS n, '{pred}' AS pred, {_text(text)} AS text, {_text(ref)} AS ref), NULL)" for n, (pred, text, ref, condition) in enumerate(tags)]
+        listed = [f"IF({condition or 'true'}, struct({n} AS n, '{pred}' AS pred, {_text(text)} AS text, {_text(ref)} AS ref), NULL)" for n, (pred, text, ref, condition) in enumerate(tags) if names is None or pred in names]
         if listed:
             rows.append(f"SELECT {name} AS subj, {pos} AS subj_pos, inline(array_compact(array({', '.join(listed)}))) FROM {source} x")
     return "SELECT 'star' AS model, subj, subj_pos, subj_pos * 32 + n AS pos, pred, text, ref FROM (" + "\nUNION ALL ".join(rows) + ")"
@@ -280,8 +280,16 @@ class StarGrid(Grid):
 
     @cached_property
     def triples(self) -> DataFrame:
-        rows = self._sql(_tags_by_kind(), **self.tables)
-        return stored(self._sql(_TAG_ROWS_2, tagrows=rows) if self.version == 2 else rows, "star-triples")
+        return stored(self._tags(None), "star-triples")
+
+    def _tags(self, names: Collection[str] | None) -> DataFrame:
+        rows = self._sql(_tags_by_kind(names), **self.tables)
+        return self._sql(_TAG_ROWS_2, tagrows=rows) if self.version == 2 else rows
+
+    def named_tags(self, names: Collection[str]) -> DataFrame:
+        """Straight from the tables that have them; the triples as a whole need not exist."""
+        known = {t[1] for t in _TAGS}.intersection(names)
+        return self._tags(known) if known and "triples" not in self.__dict__ else super().named_tags(names)
 
 
 def write_models(grid: Grid, folder: str, models: int = 4) -> dict[str, str]:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,18 +49,27 @@ def in_few_files(df: DataFrame, rows: int = 0) -> DataFrame:
 
 
 class Stored:
-    """A DataFrame written once as Parquet in the shared folder; ``df`` reads it back."""
+    """A DataFrame written once as Parquet in the shared folder; ``df`` reads it back.
 
-    def __init__(self, df: DataFrame, name: str):
+    With ``by``, a text column that isn't null, there is a folder for each of its values, and a read that selects values
+    lists those folders alone. Rows of a value are brought together first, large values as several files.
+    """
+
+    def __init__(self, df: DataFrame, name: str, by: str | None = None):
         self.spark = df.sparkSession
         self.path = new_path(self.spark, name)
-        df.write.parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        if by:
+            df.hint("rebalance", by).write.partitionBy(by).parquet(self.path)
+            # An empty text comes back as null.
+            self.df = self.spark.read.schema(df.schema).parquet(self.path).select(*[F.coalesce(by, F.lit("")).alias(by) if c == by else c for c in df.columns])
+        else:
+            df.write.parquet(self.path)
+            self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
         delete(self.spark, self.path)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """The DataFrame, computed now and read back from the shared folder."""
-    return Stored(df, name).df
+    return Stored(df, name, by).df

@@ -251,7 +251,7 @@ def test_cli(spark, tmp_path, capsys):
     assert run("diff", a, b, "--mrid", "_2")[0] == 0 and run("diff", a, b, "--mrid", "_9")[0] == 1
     code, out = run("diff", a, b, "--mrid", "_1", "--type", "B")
     assert code == 2 and "is of type 'A', not 'B'" in out.err
-    assert run("browse", a, "--mrid", "_2")[1].out.splitlines() == ["0  B  _2", "1  A  _1"]
+    assert run("browse", a, "--mrid", "_2", "--hops", "1")[1].out.splitlines() == ["0  B  _2", "1  B -> A  _1"]
     code, out = run("convert", a, "--output", f"{tmp_path}/out.json")
     assert code == 0 and out.out.splitlines() == [f"{m}: 0" for m in METRICS]
     assert json.loads((tmp_path / "out.json").read_text())["substations"] == []
