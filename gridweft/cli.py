@@ -14,7 +14,7 @@ from gridweft.plans.convert import Conversion
 from gridweft.session import local_session
 from gridweft.sources import rdfxml, sinks, splits
 from gridweft.sources.ordered_text import join_parts
-from gridweft.storage import delete, new_path, stored
+from gridweft.storage import bucketed, delete, new_path, stored
 
 
 def _path(text: str) -> str:
@@ -50,7 +50,7 @@ def parser() -> argparse.ArgumentParser:
 
 def load(spark, path: str, boundary: str | None, name: str = "model") -> Grid:
     closed = stored(rdfxml.closed(splits.read_tags(spark, {name: path}, boundary)), "tags")
-    objects = stored(rdfxml.objects(closed), "objects")
+    objects = bucketed(rdfxml.objects(closed), "objects", "model", "doc_pos")
     return Grid(objects, stored(rdfxml.triples(closed, objects), "triples", by="pred"))
 
 

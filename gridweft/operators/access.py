@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridweft.functions.scalars import strip_hash, strip_underscore
-from gridweft.storage import stored
+from gridweft.storage import bucketed, stored
 
 NAME, MRID = "IdentifiedObject.name", "IdentifiedObject.mRID"
 KEY = ["model", "id"]
@@ -29,9 +29,9 @@ class Grid:
 
     @cached_property
     def by_id(self) -> DataFrame:
-        """One object an id: the last in document order."""
+        """One object an id, the last in document order, in buckets of the id: lookups leave it where it is."""
         last = F.max(F.struct("doc_pos", "type", "close_pos", "src_part")).alias("o")
-        return stored(self.objects.groupBy(*KEY).agg(last).select(*KEY, "o.*"), "by-id")
+        return bucketed(self.objects.groupBy(*KEY).agg(last).select(*KEY, "o.*"), "by-id", *KEY, dealt=True)
 
     def of_type(self, *types: str) -> DataFrame:
         """Objects of classes."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gridweft.functions.scalars import decode_entities, energy_source, enum_fragment, float_text, is_true, iso_seconds, number, strip_underscore, switch_kind, whole
 from gridweft.operators.access import Grid
 from gridweft.plans.index import LOADS, SWITCHES, Index, class_rank
-from gridweft.storage import stored
+from gridweft.storage import bucketed, stored
 
 KEY = ["model", "id"]
 UNITS = ["HydroGeneratingUnit", "NuclearGeneratingUnit", "SolarGeneratingUnit", "ThermalGeneratingUnit", "WindGeneratingUnit", "GeneratingUnit"]
@@ -256,7 +256,7 @@ class Conversion:
         """(model, terminal, vl_mrid, node): in a level, else in a fictitious one."""
         fictitious = self.boundary_terminals.join(self.fictitious_levels.select("model", "cn", "id"), ["model", "cn"]).select("model", "terminal", F.col("id").alias("vl_mrid"), "node")
         regular = self.index.places.select("model", "terminal", "vl_mrid", "node")
-        return stored(regular.unionByName(fictitious.join(regular, ["model", "terminal"], "left_anti")), "line-places")
+        return bucketed(regular.unionByName(fictitious.join(regular, ["model", "terminal"], "left_anti")), "line-places", "model", "terminal")
 
     @cached_property
     def limit_lists(self) -> DataFrame:
@@ -271,10 +271,12 @@ class Conversion:
         segments = self.grid.named(["ACLineSegment"], {"r": a + "r", "x": a + "x", "gch": a + "gch", "bch": a + "bch"})
         series = self.grid.named(["SeriesCompensator"], {"r": s + "r", "x": s + "x"}).withColumns({"gch": F.lit(None).cast("string"), "bch": F.lit(None).cast("string")})
         rows = segments.unionByName(series)
-        for k in (1, 2):
-            end = self.index.terminals.where(f"nth = {k} AND n = 2").select("model", F.col("equipment").alias("id"), F.col("id").alias("terminal"))
-            end = end.join(self.line_places, ["model", "terminal"]).join(self.limit_lists, ["model", "terminal"], "left")
-            rows = rows.join(end.select(*KEY, F.col("terminal").alias(f"t{k}"), F.col("vl_mrid").alias(f"vl{k}"), F.col("node").alias(f"node{k}"), F.col("groups").alias(f"groups{k}")), KEY)
+        ends = self.index.terminals.where("nth <= 2 AND n = 2").select("model", F.col("equipment").alias("id"), F.col("id").alias("terminal"), "nth", "doc_pos")
+        ends = ends.join(self.line_places, ["model", "terminal"]).join(self.limit_lists, ["model", "terminal"], "left")
+        of = lambda k: F.expr(f"max_by(struct(terminal, vl_mrid, node, groups), doc_pos) FILTER (WHERE nth = {k})").alias(f"end{k}")
+        both = ends.groupBy(*KEY).agg(of(1), of(2)).where("end1 IS NOT NULL AND end2 IS NOT NULL")
+        out = [F.col(f"end{k}.{c}").alias(f"{a}{k}") for k in (1, 2) for c, a in (("terminal", "t"), ("vl_mrid", "vl"), ("node", "node"), ("groups", "groups"))]
+        rows = rows.join(both.select(*KEY, *out), KEY)
         rank = class_rank(F.col("type"), ["ACLineSegment", "SeriesCompensator"])
         half = lambda c: (_or(c, 0.0) / 2)
         return rows.select(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gridweft.functions.scalars import is_true, number, strip_underscore, trimmed, whole
 from gridweft.operators.access import MRID, Grid
 from gridweft.operators.components import connected_components
-from gridweft.storage import stored
+from gridweft.storage import bucketed
 
 #: Switch classes, in order.
 SWITCHES = ["Breaker", "Disconnector", "LoadBreakSwitch"]
@@ -62,7 +62,7 @@ class Index:
         own = Window.partitionBy("model", "equipment")
         ranked = rows.drop("type").join(owner, ["model", "equipment"], "left")
         nth = F.row_number().over(own.orderBy("seq", "doc_pos"))
-        return stored(ranked.withColumns({"nth": nth, "n": F.count(F.lit(1)).over(own)}).select("model", "id", "doc_pos", "equipment", "cn", "seq", "eq_type", "eq_pos", "nth", "n"), "terminals")
+        return bucketed(ranked.withColumns({"nth": nth, "n": F.count(F.lit(1)).over(own)}).select("model", "id", "doc_pos", "equipment", "cn", "seq", "eq_type", "eq_pos", "nth", "n"), "terminals", "model", "id")
 
     @cached_property
     def containers(self) -> DataFrame:
@@ -71,7 +71,7 @@ class Index:
         rows = self._mandatory(rows, "container", "ConnectivityNode.ConnectivityNodeContainer")
         bays = self.grid.view(["Bay"], {}, {"bay_vl": "Bay.VoltageLevel"}).select("model", F.col("id").alias("container"), "bay_vl")
         found = rows.join(bays, ["model", "container"], "left")
-        return stored(found.select("model", F.col("id").alias("cn"), F.col("doc_pos").alias("cn_pos"), F.coalesce("bay_vl", "container").alias("container")), "containers")
+        return bucketed(found.select("model", F.col("id").alias("cn"), F.col("doc_pos").alias("cn_pos"), F.coalesce("bay_vl", "container").alias("container")), "containers", "model", "cn")
 
     @cached_property
     def busbars(self) -> DataFrame:
@@ -99,7 +99,7 @@ class Index:
             edges = edges.join(levels.select("model", F.col("id").alias(end)), ["model", end], "left_semi")
         found = components_by_model(edges).join(levels, ["model", "id"])
         least = found.groupBy("model", "component").agg(F.min_by("id", F.struct("mrid", "id")).alias("representative"))
-        return stored(found.join(least, ["model", "component"]).select("model", "id", "representative"), "vl-merge")
+        return bucketed(found.join(least, ["model", "component"]).select("model", "id", "representative"), "vl-merge", "model", "id")
 
     @cached_property
     def substation_merge(self) -> DataFrame:
@@ -113,7 +113,7 @@ class Index:
         edges = by_level.select("model", F.col("home").alias("a"), "b").union(by_transformer.select("model", F.col("home").alias("a"), "b")).where("a <> b").distinct()
         found = components_by_model(edges)
         least = found.groupBy("model", "component").agg(F.min_by("id", strip_underscore(F.col("id"))).alias("representative"))
-        return stored(found.join(least, ["model", "component"]).select("model", "id", "representative"), "substation-merge")
+        return bucketed(found.join(least, ["model", "component"]).select("model", "id", "representative"), "substation-merge", "model", "id")
 
     @cached_property
     def reachable_busbar(self) -> DataFrame:
@@ -175,7 +175,7 @@ class Index:
         sites = self.grid.of_type("Substation").select("model", F.col("id").alias("home")).join(self.substation_merge.withColumnRenamed("id", "home"), ["model", "home"], "left")
         sites = sites.select("model", "home", F.coalesce("representative", "home").alias("substation"))
         kept = named.select("model", F.col("id").alias("representative"), F.col("mrid").alias("vl_mrid"), "home").join(sites, ["model", "home"])
-        return stored(all_levels.join(kept.drop("home"), ["model", "representative"]), "levels")
+        return bucketed(all_levels.join(kept.drop("home"), ["model", "representative"]), "levels", "model", "vl")
 
     @cached_property
     def nodes(self) -> DataFrame:
@@ -193,7 +193,7 @@ class Index:
         nodes are numbered behind the level's own, and each brings an internal connection.
         """
         found = node_numbers(self.terminals, self.nodes, self.busbars)
-        return stored(found, "node-map")
+        return bucketed(found, "node-map", "model", "terminal")
 
     @cached_property
     def internal_connections(self) -> DataFrame:
@@ -206,13 +206,13 @@ class Index:
     def places(self) -> DataFrame:
         """(model, terminal, vl, vl_mrid, node) of terminals."""
         level = self.levels.where("vl = representative").select("model", "vl", "vl_mrid")
-        return stored(self.node_map.join(level, ["model", "vl"]).select("model", "terminal", "vl", "vl_mrid", "node"), "places")
+        return bucketed(self.node_map.join(level, ["model", "vl"]).select("model", "terminal", "vl", "vl_mrid", "node"), "places", "model", "terminal")
 
     @cached_property
     def equipment_places(self) -> DataFrame:
         """(model, id, terminal, vl, vl_mrid, node) of equipment, by its first terminal."""
         first = self.terminals.where("nth = 1").select("model", F.col("equipment").alias("id"), F.col("id").alias("terminal"))
-        return stored(first.join(self.places, ["model", "terminal"]), "equipment-places")
+        return bucketed(first.join(self.places, ["model", "terminal"]), "equipment-places", "model", "id")
 
 
 def node_numbers(terminals: DataFrame, nodes: DataFrame, busbars: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from gridweft.operators.access import Grid
 from gridweft.sources.ordered_text import write_in_order
-from gridweft.storage import Stored, stored
+from gridweft.storage import Stored, bucketed, stored
 
 _LINES = """
 SELECT l_orderkey, k, w, rn, CAST(floor((rn - 1) / w) AS BIGINT) AS b, (rn - 1) % w + 1 AS seq FROM (
@@ -276,7 +276,7 @@ class StarGrid(Grid):
     def objects(self) -> DataFrame:
         rows = self._sql(_OBJECT_ROWS, **self.tables)
         rows = self._sql(_OBJECT_ROWS_2, objects=rows) if self.version == 2 else rows
-        return stored(rows.selectExpr("model", "doc_pos", "doc_pos AS close_pos", "id", "type", "'EQ' AS src_part"), "star-objects")
+        return bucketed(rows.selectExpr("model", "doc_pos", "doc_pos AS close_pos", "id", "type", "'EQ' AS src_part"), "star-objects", "model", "doc_pos")
 
     @cached_property
     def triples(self) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,12 +54,22 @@ class Stored:
 
     With ``by``, a text column that isn't null, there is a folder for each of its values, and a read that selects values
     lists those folders alone. Rows of a value are brought together first, large values as several files.
+
+    With ``keys`` it is a table in as many buckets of these columns as there are shuffle partitions, so that joins and
+    groups on them need no shuffle of it. The table is external, its name is new, and ``drop`` takes it out of the
+    catalog. The rows are dealt to their buckets first unless ``dealt`` says that they come from a group by the keys.
     """
 
-    def __init__(self, df: DataFrame, name: str, by: str | None = None):
+    def __init__(self, df: DataFrame, name: str, by: str | None = None, keys: Sequence[str] = (), dealt: bool = False):
         self.spark = df.sparkSession
-        self.path = new_path(self.spark, name)
-        if by:
+        self.path, self.table = new_path(self.spark, name), None
+        if keys:
+            buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            self.table = f"gridweft_{uuid.uuid4().hex}"
+            rows = df if dealt else df.repartition(buckets, *keys)
+            rows.write.bucketBy(buckets, *keys).sortBy(*keys).format("parquet").option("path", self.path).saveAsTable(self.table)
+            self.df = self.spark.table(self.table)
+        elif by:
             df.hint("rebalance", by).write.partitionBy(by).parquet(self.path)
             # An empty text comes back as null.
             self.df = self.spark.read.schema(df.schema).parquet(self.path).select(*[F.coalesce(by, F.lit("")).alias(by) if c == by else c for c in df.columns])
@@ -67,9 +78,16 @@ class Stored:
             self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
+        if self.table:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
         delete(self.spark, self.path)
 
 
 def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """The DataFrame, computed now and read back from the shared folder."""
     return Stored(df, name, by).df
+
+
+def bucketed(df: DataFrame, name: str, *keys: str, dealt: bool = False) -> DataFrame:
+    """The DataFrame, computed now and read back in buckets of its keys."""
+    return Stored(df, name, keys=keys, dealt=dealt).df
