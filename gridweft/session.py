@@ -16,6 +16,8 @@ def local_session(app: str = "gridweft", cores: int | str = "*", shuffle_partiti
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.showConsoleProgress", "false")
+        # A conversion compiles some 950 classes; the default of 100 forgets them before the next query needs them.
+        .config("spark.sql.codegen.cache.maxEntries", "4000")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
