@@ -292,3 +292,33 @@ def test_access(versions):
     assert old.get_count("A").first()["n"] == 2
     assert [r["p"] for r in old.get_list("A", "p").orderBy("doc_pos").collect()] == ["1", "N/A"]
     assert {(r["id"], r["distance"]) for r in old.neighbourhood(F.col("id") == "_3", 2).collect()} == {("_3", 0), ("_1", 1)}
+
+
+def test_marks_tell_order_of_repeated_names_and_kinds_of_values(spark):
+    """The last of equal names counts, and a text is no reference; a class change leaves either side its own name."""
+    same = thing("A", "9", {"p": "1", "q": "2"})
+    old = grid_of(spark, RDF.format(same + '<cim:A rdf:ID="_1"><cim:p>a</cim:p><cim:p>b</cim:p></cim:A>' + '<cim:A rdf:ID="_2"><cim:p>a</cim:p></cim:A>' + thing("A", "3", {"IdentifiedObject.name": "old"})))
+    new = grid_of(spark, RDF.format('<cim:A rdf:ID="_1"><cim:p>b</cim:p><cim:p>a</cim:p></cim:A>' + '<cim:A rdf:ID="_2"><cim:p rdf:resource="a"/></cim:A>' + thing("B", "3") + thing("A", "9", {"q": "2", "p": "1"})))
+    assert {(r["id"], r["kind"], r["old"], r["new"]) for r in D.diff_fields(old, new).collect()} == {("_1", "property", "b", "a"), ("_2", "property", "a", None), ("_2", "reference", None, "a")}
+    lines = {(r["sort_type"], r["sort_id"]): r["line"] for r in D.diff_text(old, new).collect()}
+    assert lines[("A", "_3")] == '- _3  "old"' and lines[("B", "_3")] == '+ _3  ""'
+
+
+def test_sieve_keeps_every_row_that_joins(spark, monkeypatch):
+    from gridweft.operators import sieve
+
+    monkeypatch.setattr(sieve, "FEW", 10)
+    rows = spark.range(200_000).select(F.lit("m").alias("model"), F.col("id").alias("doc_pos"))
+    keys = rows.where("doc_pos % 199 = 3")
+    passed = sieve.sieved(rows, keys, ["model", "doc_pos"], keys.count())
+    assert passed.join(keys, ["model", "doc_pos"], "left_semi").count() == keys.count()
+    assert passed.count() < 30_000
+    plan = passed._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_marks_reach_the_shuffle_as_one_row_an_object(spark):
+    """A hundred tags of one object in one partition are one row; texts stay where they are."""
+    tags = spark.range(0, 100, 1, 2).select(F.lit("m").alias("model"), F.lit("_1").alias("subj"), F.lit(1).cast("long").alias("subj_pos"), (F.col("id") + 2).alias("pos"), F.concat(F.lit("p"), "id").alias("pred"), F.lit("text").alias("text"), F.lit(None).cast("string").alias("ref"))
+    plan = D.mark(D.Grid(None, tags))._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("partial_bit_xor") > plan.index("Exchange") and "text#" not in plan[: plan.index("Exchange")]
