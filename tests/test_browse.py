@@ -86,3 +86,45 @@ def test_tables_by_name(spark):
     assert [tuple(r) for r in chosen.collect()] == [("c", 3)]
     plan = chosen._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [(coalesce(pred" in plan
+
+
+def test_a_pick_is_one_join_with_a_stored_table(ring, monkeypatch):
+    """Equal picks share their table of references and targets."""
+    names = []
+    real = browse.stored
+    monkeypatch.setattr(browse, "stored", lambda df, name: names.append(name) or real(df, name))
+    row = browse.sessions(ring, F.col("id") == "_1", [1, 1, "b", 2]).first()
+    assert row["start"] == "_1" and names.count("browse-step") == 2
+
+
+def test_one_id_and_one_class_need_no_stored_versions(spark):
+    import os
+
+    from gridweft.operators.diff import diff_single
+    from gridweft.sources import sinks, star
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no tables")
+    first = star.star_grid(spark, "/root/testdata/sf0.001")
+    second = star.edited(first)
+    assert diff_single(first, second, "_SS7").first()["id"] == "_SS7"
+    rows = sinks.objects_text(first, "Substation").orderBy("nth").collect()
+    assert [r["nth"] for r in rows] == list(range(1, len(rows) + 1)) and rows[0]["line"].startswith("[1] _SS")
+    for grid in (first, second):
+        assert not {"triples", "by_id", "positioned"} & set(grid.__dict__)
+
+
+def test_views_of_the_star_model_are_those_of_its_triples(spark):
+    import os
+
+    from gridweft.operators.access import Grid
+    from gridweft.sources import star
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no tables")
+    grid = star.star_grid(spark, "/root/testdata/sf0.001")
+    asked = (["Substation", "SynchronousMachine", "PowerTransformerEnd"], {"name": "IdentifiedObject.name", "g": "PowerTransformerEnd.g"}, {"unit": "RotatingMachine.GeneratingUnit", "none": "No.such", "as_ref": "IdentifiedObject.name"})
+    direct = grid.view(*asked)
+    assert "Aggregate" not in direct._jdf.queryExecution().executedPlan().toString()
+    rows = lambda df: sorted(map(repr, df.select("model", "id", "doc_pos", "type", "name", "g", "unit", "none", "as_ref").collect()))
+    assert rows(direct) == rows(Grid(grid.objects, grid.triples).view(*asked))
