@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from gridweft.functions.scalars import decode_entities, energy_source, enum_fragment, float_text, is_true, iso_seconds, number, strip_underscore, switch_kind, whole
 from gridweft.operators.access import Grid
-from gridweft.plans.index import LOADS, SWITCHES, Index, class_rank
-from gridweft.storage import bucketed, stored
+from gridweft.operators.sieve import sieved
+from gridweft.plans.index import BUSBAR, LINES, LOADS, SWITCHES, Index, class_rank
+from gridweft.storage import stored
 
 KEY = ["model", "id"]
 UNITS = ["HydroGeneratingUnit", "NuclearGeneratingUnit", "SolarGeneratingUnit", "ThermalGeneratingUnit", "WindGeneratingUnit", "GeneratingUnit"]
@@ -34,8 +35,8 @@ class Conversion:
     def __init__(self, grid: Grid, strict: bool = False, index: Index | None = None):
         self.grid, self.index = grid, index or Index(grid, strict)
 
-    def _placed(self, rows: DataFrame) -> DataFrame:
-        return rows.join(self.index.equipment_places, KEY)
+    def _placed(self, rows: DataFrame, *types: str) -> DataFrame:
+        return rows.join(self.index.equipment_places(*types), KEY)
 
     @cached_property
     def full_models(self) -> DataFrame:
@@ -75,18 +76,18 @@ class Conversion:
         """Levels that survive merging, under their merged substation, with the limits of their own id."""
         rows = self.grid.named(["VoltageLevel"], {}, {"base": "VoltageLevel.BaseVoltage"})
         nominal = self.grid.view(["BaseVoltage"], {"nominal": "BaseVoltage.nominalVoltage"}).select("model", F.col("id").alias("base"), number(F.col("nominal")).alias("nominal_v"))
-        kept = self.index.levels.where("vl = representative").select("model", F.col("vl").alias("id"), "substation")
+        kept = self.index.level_sites.select("model", F.col("vl").alias("id"), "substation")
         limits = self.index.voltage_limits.select("model", F.col("vl").alias("id"), "low", "high")
         out = rows.join(kept, KEY).join(nominal, ["model", "base"], "left").join(limits, KEY, "left").join(self._aliases(rows, self.index.vl_merge, "MergedVoltageLevel"), KEY, "left")
         return out.select("model", "id", "doc_pos", "mrid", "name", "substation", "nominal_v", "low", "high", "aliases")
 
     def busbars(self) -> DataFrame:
-        return self._placed(self.grid.named(["BusbarSection"])).select("model", "vl", "doc_pos", "mrid", "name", "node")
+        return self._placed(self.grid.named([BUSBAR]), BUSBAR).select("model", "vl", "doc_pos", "mrid", "name", "node")
 
     def switches(self) -> DataFrame:
         """Switches with two terminals or more, in the level of the first; class order, then document order."""
         rows = self.grid.named(SWITCHES, {"open": "Switch.open", "retained": "Switch.retained"})
-        node = lambda k: self.index.terminals.where(f"nth = {k}").select("model", F.col("equipment").alias("id"), F.col("id").alias("terminal")).join(self.index.places, ["model", "terminal"])
+        node = lambda k: self.index.terminals_of(*SWITCHES).where(f"nth = {k}").select("model", F.col("equipment").alias("id"), F.col("id").alias("terminal")).join(self.index.places(*SWITCHES), ["model", "terminal"])
         first = node(1).select(*KEY, "vl", F.col("node").alias("node1"))
         second = node(2).select(*KEY, F.col("node").alias("node2"))
         return rows.join(first, KEY).join(second, KEY).select(
@@ -94,7 +95,7 @@ class Conversion:
         )
 
     def loads(self) -> DataFrame:
-        rows = self._placed(self.grid.named(LOADS, {}, {"response": "EnergyConsumer.LoadResponse"}))
+        rows = self._placed(self.grid.named(LOADS, {}, {"response": "EnergyConsumer.LoadResponse"}), *LOADS)
         prefix = "LoadResponseCharacteristic."
         fields = {"exponential": "exponentModel", "np": "pVoltageExponent", "nq": "qVoltageExponent", "c0p": "pConstantPower", "c1p": "pConstantCurrent", "c2p": "pConstantImpedance", "c0q": "qConstantPower", "c1q": "qConstantCurrent", "c2q": "qConstantImpedance"}
         models = self.grid.view(["LoadResponseCharacteristic"], {k: prefix + v for k, v in fields.items()}).withColumnRenamed("id", "response").drop("doc_pos", "type")
@@ -113,12 +114,12 @@ class Conversion:
             {"sections": "ShuntCompensator.sections", "most": "ShuntCompensator.maximumSections", "b": "LinearShuntCompensator.bPerSection", "g": "LinearShuntCompensator.gPerSection", "control": "RegulatingCondEq.controlEnabled"},
         )
         count = lambda c: F.coalesce(whole(F.col(c), "long"), F.lit(0)).cast("long")
-        return self._placed(rows).select("model", "vl", "doc_pos", "mrid", "name", "node", count("sections").alias("sections"), count("most").alias("max_sections"), _or("b", 0.0).alias("b"), _or("g", 0.0).alias("g"), is_true(F.col("control")).alias("regulating"))
+        return self._placed(rows, "LinearShuntCompensator").select("model", "vl", "doc_pos", "mrid", "name", "node", count("sections").alias("sections"), count("most").alias("max_sections"), _or("b", 0.0).alias("b"), _or("g", 0.0).alias("g"), is_true(F.col("control")).alias("regulating"))
 
     def svcs(self) -> DataFrame:
         rows = self.grid.named(["StaticVarCompensator"], {"b_min": "StaticVarCompensator.bMin", "b_max": "StaticVarCompensator.bMax", "control": "RegulatingCondEq.controlEnabled"}, {"mode": "StaticVarCompensator.regulationMode"})
         mode = F.when(F.col("mode").endswith("voltage"), "VOLTAGE").when(F.col("mode").endswith("reactivePower"), "REACTIVE_POWER").otherwise("OFF")
-        return self._placed(rows).select("model", "vl", "doc_pos", "mrid", "name", "node", _or("b_min", 0.0).alias("b_min"), _or("b_max", 0.0).alias("b_max"), mode.alias("mode"), is_true(F.col("control")).alias("regulating"))
+        return self._placed(rows, "StaticVarCompensator").select("model", "vl", "doc_pos", "mrid", "name", "node", _or("b_min", 0.0).alias("b_min"), _or("b_max", 0.0).alias("b_max"), mode.alias("mode"), is_true(F.col("control")).alias("regulating"))
 
     def generators(self) -> DataFrame:
         rows = self.grid.named(
@@ -133,10 +134,10 @@ class Conversion:
         fuels = fuels.groupBy("model", "unit").agg(F.max_by(enum_fragment(F.col("fuel")), "doc_pos").alias("fuel"))
         controls = self.grid.view(["RegulatingControl"], {"control_mrid": "IdentifiedObject.mRID"}, {"mode": "RegulatingControl.mode", "control_terminal": "RegulatingControl.Terminal"})
         controls = controls.select("model", F.col("id").alias("control_ref"), F.coalesce("control_mrid", strip_underscore(F.col("id"))).alias("control_mrid"), F.lower("mode").alias("mode"), "control_terminal")
-        ends = self.index.terminals.select("model", F.col("id").alias("control_terminal"), F.col("equipment").alias("regulated"), F.col("cn").alias("regulated_cn"))
+        ends = self.index.terminal_rows.select("model", F.col("id").alias("control_terminal"), F.col("equipment").alias("regulated"), F.col("cn").alias("regulated_cn"))
         reach = self.index.reachable_busbar.select("model", F.col("cn").alias("regulated_cn"), "bbs")
         curves = self.index.curve_points.select("model", "curve", "points")
-        out = self._placed(rows)
+        out = self._placed(rows, "SynchronousMachine")
         for other, key in ((units, "unit"), (fuels, "unit"), (controls, "control_ref"), (ends, "control_terminal"), (reach, "regulated_cn"), (curves, "curve")):
             out = out.join(other, ["model", key], "left")
         limits = F.struct(number(F.col("min_q")).alias("min_q"), number(F.col("max_q")).alias("max_q"))
@@ -156,7 +157,9 @@ class Conversion:
         own = Window.partitionBy("model", "transformer")
         order = F.coalesce(whole(F.col("number")), F.lit(0))
         ranked = rows.where("transformer IS NOT NULL").withColumns({"nth": F.row_number().over(own.orderBy(order, "doc_pos")), "n": F.count(F.lit(1)).over(own)})
-        return stored(ranked.join(self.index.places, ["model", "terminal"], "left").select("model", "transformer", F.col("id").alias("end"), "nth", "n", "vl", "vl_mrid", "node", number(F.col("rated_u")).alias("rated_u"), *[_or(c, 0.0).alias(c) for c in "rxgb"], number(F.col("rated_s")).alias("rated_s")), "ends")
+        ranked = stored(ranked.drop("doc_pos", "type", "number"), "end-rows")
+        places = sieved(self.index.places(), ranked.where("terminal IS NOT NULL"), ["model", "terminal"], ranked.count())
+        return stored(ranked.join(places, ["model", "terminal"], "left").select("model", "transformer", F.col("id").alias("end"), "nth", "n", "vl", "vl_mrid", "node", number(F.col("rated_u")).alias("rated_u"), *[_or(c, 0.0).alias(c) for c in "rxgb"], number(F.col("rated_s")).alias("rated_s")), "ends")
 
     def _steps(self, points: str, table: str, angle: str | None) -> DataFrame:
         """(model, table, steps) in document order; rho is 1 over the ratio, points without a ratio are left out."""
@@ -196,8 +199,7 @@ class Conversion:
         rows = self.transformer_ends.where(f"n = {n}").groupBy("model", F.col("transformer").alias("id")).agg(*[F.max(F.when(F.col("nth") == k, fields)).alias(f"e{k}") for k in range(1, n + 1)])
         for k in range(1, n + 1):
             rows = rows.where(f"e{k}.node IS NOT NULL AND e{k}.rated_u IS NOT NULL")
-        home = self.index.levels.where("vl = representative").select("model", "vl", "substation")
-        return self.grid.named(["PowerTransformer"]).join(rows, KEY).withColumn("vl", F.col("e1.vl")).join(home, ["model", "vl"])
+        return self.grid.named(["PowerTransformer"]).join(rows, KEY).withColumn("vl", F.col("e1.vl")).join(self.index.level_sites, ["model", "vl"])
 
     def _tap(self, rows: DataFrame, phase: bool, out: str, end: str) -> DataFrame:
         taps = self.tap_changers.where(F.col("phase") == phase).select("model", F.col("end").alias("_end"), F.struct("low", "position", "ltc", "steps").alias(out))
@@ -225,9 +227,9 @@ class Conversion:
     @cached_property
     def boundary_terminals(self) -> DataFrame:
         """Terminals of lines and series compensators on nodes outside all levels, numbered from 1 within the node."""
-        ends = self.index.terminals.where(F.col("eq_type").isin("ACLineSegment", "SeriesCompensator") & F.col("cn").isNotNull())
+        ends = self.index.terminal_rows.where(F.col("eq_type").isin(*LINES) & F.col("cn").isNotNull())
         outside = self.index.containers.join(self.index.levels.select("model", F.col("vl").alias("container")), ["model", "container"], "left_anti")
-        rank = F.struct(class_rank(F.col("eq_type"), ["ACLineSegment", "SeriesCompensator"]), "eq_pos", "seq", "doc_pos")
+        rank = F.struct(class_rank(F.col("eq_type"), LINES), "eq_pos", "seq", "doc_pos")
         nth = F.row_number().over(Window.partitionBy("model", "cn").orderBy(rank))
         return ends.join(outside, ["model", "cn"]).select("model", "cn", "cn_pos", "container", F.col("id").alias("terminal"), "equipment", nth.alias("node"))
 
@@ -246,17 +248,18 @@ class Conversion:
     def boundary_generators(self) -> DataFrame:
         """Equivalent injections at the hub of a fictitious level; elsewhere there are none."""
         rows = self.grid.named(["EquivalentInjection"])
-        ends = self.index.terminals.where("nth = 1").select("model", F.col("equipment").alias("id"), "cn", F.col("id").alias("terminal"))
+        ends = self.index.terminals_of("EquivalentInjection").where("nth = 1").select("model", F.col("equipment").alias("id"), "cn", F.col("id").alias("terminal"))
         levels = self.fictitious_levels.select("model", "cn", F.col("id").alias("vl"))
         out = rows.join(ends, KEY).join(levels, ["model", "cn"])
         return out.select("model", "vl", "doc_pos", "mrid", F.lit("BoundaryInjectionEq").alias("name"), F.lit(0).alias("node"), F.lit(-LARGEST_DOUBLE).alias("min_p"), F.lit(LARGEST_DOUBLE).alias("max_p"), strip_underscore(F.col("terminal")).alias("terminal1"))
 
-    @cached_property
-    def line_places(self) -> DataFrame:
-        """(model, terminal, vl_mrid, node): in a level, else in a fictitious one."""
+    def line_places(self, *types: str) -> DataFrame:
+        """(model, terminal, vl_mrid, node): in a level, else in a fictitious one; of all terminals, or of those of line classes."""
         fictitious = self.boundary_terminals.join(self.fictitious_levels.select("model", "cn", "id"), ["model", "cn"]).select("model", "terminal", F.col("id").alias("vl_mrid"), "node")
-        regular = self.index.places.select("model", "terminal", "vl_mrid", "node")
-        return bucketed(regular.unionByName(fictitious.join(regular, ["model", "terminal"], "left_anti")), "line-places", "model", "terminal")
+        regular = self.index.places(*types).select("model", "terminal", "vl_mrid", "node")
+        # Boundary terminals are those of lines.
+        held = self.index.places(*LINES).select("model", "terminal")
+        return regular.unionByName(fictitious.join(held, ["model", "terminal"], "left_anti"))
 
     @cached_property
     def limit_lists(self) -> DataFrame:
@@ -271,8 +274,8 @@ class Conversion:
         segments = self.grid.named(["ACLineSegment"], {"r": a + "r", "x": a + "x", "gch": a + "gch", "bch": a + "bch"})
         series = self.grid.named(["SeriesCompensator"], {"r": s + "r", "x": s + "x"}).withColumns({"gch": F.lit(None).cast("string"), "bch": F.lit(None).cast("string")})
         rows = segments.unionByName(series)
-        ends = self.index.terminals.where("nth <= 2 AND n = 2").select("model", F.col("equipment").alias("id"), F.col("id").alias("terminal"), "nth", "doc_pos")
-        ends = ends.join(self.line_places, ["model", "terminal"]).join(self.limit_lists, ["model", "terminal"], "left")
+        ends = self.index.terminals_of(*LINES).where("nth <= 2 AND n = 2").select("model", F.col("equipment").alias("id"), F.col("id").alias("terminal"), "nth", "doc_pos")
+        ends = ends.join(self.line_places(*LINES), ["model", "terminal"]).join(self.limit_lists, ["model", "terminal"], "left")
         of = lambda k: F.expr(f"max_by(struct(terminal, vl_mrid, node, groups), doc_pos) FILTER (WHERE nth = {k})").alias(f"end{k}")
         both = ends.groupBy(*KEY).agg(of(1), of(2)).where("end1 IS NOT NULL AND end2 IS NOT NULL")
         out = [F.col(f"end{k}.{c}").alias(f"{a}{k}") for k in (1, 2) for c, a in (("terminal", "t"), ("vl_mrid", "vl"), ("node", "node"), ("groups", "groups"))]
@@ -289,7 +292,7 @@ class Conversion:
         rows = self.grid.named(["ControlArea"], {}, {"kind": "ControlArea.type"})
         flows = self.grid.view(["TieFlow"], {}, {"area": "TieFlow.ControlArea", "terminal": "TieFlow.Terminal"}).select("model", "area", "terminal", F.col("doc_pos").alias("flow_pos"))
         keys = rows.select("model", F.col("id").alias("area_id"), F.explode(F.array_distinct(F.array("id", "mrid"))).alias("area"))
-        ends = self.index.terminals.select("model", F.col("id").alias("terminal"), "equipment", "seq")
+        ends = self.index.terminal_rows.select("model", F.col("id").alias("terminal"), "equipment", "seq")
         names = self.grid.named(None).select("model", F.col("id").alias("equipment"), F.col("mrid").alias("equipment_mrid"))
         tied = flows.join(keys, ["model", "area"]).join(ends, ["model", "terminal"]).join(names, ["model", "equipment"])
         side = F.when(F.col("seq") == 1, "ONE").otherwise("TWO")
@@ -310,6 +313,11 @@ class Conversion:
             found = one if found is None else found.unionByName(one)
         return found
 
+    def load_details(self) -> DataFrame:
+        """(model, doc_pos, id) of the loads of loads(), whose numbers they don't need."""
+        rows = self.grid.named(LOADS).join(self.index.sited(*LOADS), KEY, "left_semi")
+        return rows.select("model", "doc_pos", F.col("mrid").alias("id"))
+
     def reactive_extensions(self) -> DataFrame:
         """(model, doc_pos, id, q_percent) of machines with a share."""
         rows = self.grid.named(["SynchronousMachine"], {"q": "SynchronousMachine.qPercent"})
