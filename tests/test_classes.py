@@ -1,4 +1,4 @@
-"""Tables of the index by class, and numbers that are ranked once."""
+"""Tables of the index by class, numbers that are ranked once, extensions by kind."""
 
 import os
 
@@ -8,7 +8,7 @@ from models import RDF, conversion_model, grid_of, node, terminal, thing
 from gridweft.operators import access
 from gridweft.plans.convert import Conversion
 from gridweft.plans.index import LINES, LOADS, NUMBERED, Index
-from gridweft.sources import star
+from gridweft.sources import sinks, star
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -75,3 +75,17 @@ def test_places_of_lines_are_those_of_all_terminals(spark):
     every = pairs(conversion.line_places(), "terminal", "vl_mrid", "node")
     lines = pairs(conversion.line_places(*LINES), "terminal", "vl_mrid", "node")
     assert ("_LINE_BNDRY-T2", "CN_BNDRY_VL", 1) in lines and lines == [r for r in every if r[0].startswith("_LINE")]
+
+
+def test_one_extension_is_made_alone(spark, tables):
+    """The heads of documents are the same whether the extensions are stored or not."""
+    bare = RDF.format(thing("FullModel", "F", {"Model.scenarioTime": "2026-01-01T09:00:00Z"}, {}, about=True))
+    grids = (grid_of(spark, conversion_model(), bare, RDF.format(thing("BaseVoltage", "B", {"BaseVoltage.nominalVoltage": "1"}))), tables)
+    for grid in grids:
+        network = sinks.NetworkJson(Conversion(grid))
+        last = pairs(network.extension(3), "model", "json")
+        heads = pairs(network.heads(), "model", "head")
+        assert not {"extensions", "elements"} & set(network.__dict__) and "numbered" not in network.c.index.__dict__
+        details = pairs(network.extension(1), "doc_pos", "json")
+        assert details == pairs(network.extensions.where("kind = 1"), "doc_pos", "json") and [d[0] for d in details] == [r[0] for r in pairs(network.c.loads(), "doc_pos")]
+        assert heads == pairs(network.heads(), "model", "head") and last == pairs(network.extensions.where("kind = 3"), "model", "json")
