@@ -1,9 +1,10 @@
-"""Tables of the index by class, numbers that are ranked once, extensions by kind."""
+"""Tables of the index by class, numbers that are ranked once, extensions by kind, steps that shuffle what they reach."""
 
 import os
 
 import pytest
 from models import RDF, conversion_model, grid_of, node, terminal, thing
+from pyspark.sql import functions as F
 
 from gridweft.operators import access
 from gridweft.plans.convert import Conversion
@@ -89,3 +90,20 @@ def test_one_extension_is_made_alone(spark, tables):
         details = pairs(network.extension(1), "doc_pos", "json")
         assert details == pairs(network.extensions.where("kind = 1"), "doc_pos", "json") and [d[0] for d in details] == [r[0] for r in pairs(network.c.loads(), "doc_pos")]
         assert heads == pairs(network.heads(), "model", "head") and last == pairs(network.extensions.where("kind = 3"), "model", "json")
+
+
+def test_a_step_shuffles_what_it_reaches(spark, tables, monkeypatch):
+    """With the bitmap as with whole keys; no stored triples, no objects by id."""
+    from gridweft.operators import sieve
+
+    parts = thing("A", "1", {}, {"x": "2"}) + thing("B", "2", {}, {"y": "3", "z": "4", "w": "9"}) + thing("C", "3", {}, {"x": "1"}) + thing("D", "4", {}, {"x": "5"}) + thing("A", "6") + thing("E", "6") + thing("E", "5")
+    ring = grid_of(spark, RDF.format(parts))
+    want = [("_1", 0), ("_2", 1), ("_3", 2), ("_4", 2)]
+    for few in (sieve.FEW, 0):
+        monkeypatch.setattr(sieve, "FEW", few)
+        assert pairs(ring.neighbourhood(F.col("type") == "A", 2), "id", "distance") == want
+        assert pairs(ring.neighbourhood(F.col("type") == "A", 9), "id", "distance") == [*want, ("_5", 3)]
+        assert ring.neighbourhood(F.col("type") == "Z", 2).count() == 0
+    found = tables.neighbourhood(F.col("type") == "VoltageLevel", 3)
+    assert {r["distance"] for r in found.select("distance").distinct().collect()} == {0, 1, 2, 3}
+    assert not {"triples", "by_id"} & set(tables.__dict__)
