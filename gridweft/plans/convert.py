@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gridweft.functions.scalars import decode_entities, energy_source, enum_fragment, float_text, is_true, iso_seconds, number, strip_underscore, switch_kind, whole
 from gridweft.operators.access import Grid
 from gridweft.operators.sieve import sieved
-from gridweft.plans.index import BUSBAR, LINES, LOADS, SWITCHES, Index, class_rank
+from gridweft.plans.index import BUSBAR, LINES, LOADS, NUMBERED, SWITCHES, Index, class_rank
 from gridweft.storage import stored
 
 KEY = ["model", "id"]
@@ -342,10 +342,50 @@ class Conversion:
         source = F.when(F.col("doc_pos") > F.col("border"), "BOUNDARY").otherwise("IGM")
         return rows.join(second, "model", "left").select("model", "doc_pos", F.col("mrid").alias("id"), "nominal_v", source.alias("source"))
 
+    def _placed_counts(self) -> DataFrame:
+        """(model, metric, n) of what terminals place: one pass over the terminals, without node numbers, names or values.
+
+        Terminals meet the nodes that lie in a level, or outside all levels, once; a piece of equipment is counted for
+        each object of its id, as busbars() and the others have a row for each, and as lines() has.
+        """
+        of = {BUSBAR: "BusbarSections", **dict.fromkeys(SWITCHES, "Switches"), **dict.fromkeys(LOADS, "Loads"), "LinearShuntCompensator": "Shunts", "StaticVarCompensator": "StaticVarCompensators", "SynchronousMachine": "Generators", **dict.fromkeys(LINES, "Lines")}
+        metric = F.create_map(*[F.lit(x) for pair in of.items() for x in pair])[F.col("type")]
+        rows = self.index.terminal_rows.where(F.col("eq_type").isin(*of)).select("model", "id", "equipment", F.col("eq_type").alias("type"), "seq", "doc_pos", "cn")
+        levels = self.index.levels.select("model", F.col("vl").alias("container")).distinct().withColumn("inside", F.lit(True))
+        nodes = self.index.containers.select("model", "cn", "container").join(levels, ["model", "container"], "left").select("model", "cn", F.coalesce("inside", F.lit(False)).alias("inside"))
+        # Nodes outside all levels take the terminals of lines alone.
+        at = F.when(F.col("inside"), True).when(F.col("inside").isNotNull(), F.col("type").isin(*LINES)).otherwise(False)
+        placed = rows.join(nodes, ["model", "cn"], "left").select("model", F.col("equipment").alias("id"), "type", F.struct("seq", "doc_pos", at.alias("at")).alias("t"))
+        ends = placed.groupBy(*KEY, "type").agg(F.slice(F.array_sort(F.collect_list("t")), 1, 2).alias("ends"), F.count(F.lit(1)).alias("n"))
+        nth = lambda k: F.coalesce(F.get("ends", F.lit(k))["at"], F.lit(False))
+        both = F.col("type").isin(*SWITCHES, *LINES)
+        found = ends.where(nth(0) & (~both | nth(1)) & (~F.col("type").isin(*LINES) | (F.col("n") == 2)))
+        objects = self.grid.of_type(*of).select(*KEY, "type")
+        # The class of a terminal's equipment is that of the last object of its id; the objects counted are all of the metric.
+        return objects.withColumn("metric", metric).join(found.select(*KEY, metric.alias("metric")), [*KEY, "metric"], "left_semi").groupBy("model", "metric").agg(F.count(F.lit(1)).alias("n"))
+
+    def _transformer_counts(self) -> DataFrame:
+        """(model, metric, n) of the transformers of two and of three ends, all with a voltage and a terminal on a node of a level."""
+        end = "PowerTransformerEnd."
+        ends = self.grid.view(["PowerTransformerEnd"], {"rated_u": end + "ratedU"}, {"transformer": end + "PowerTransformer", "terminal": "TransformerEnd.Terminal"}).where("transformer IS NOT NULL")
+        ends = stored(ends.select("model", "transformer", "terminal", number(F.col("rated_u")).isNotNull().alias("rated")), "end-rows")
+        wanted = ends.where("terminal IS NOT NULL")
+        there = self.index.terminal_rows.where(F.col("eq_type").isin(BUSBAR, *SWITCHES, *NUMBERED) & F.col("cn").isNotNull()).select("model", F.col("id").alias("terminal"), "cn")
+        there = sieved(there, wanted, ["model", "terminal"], wanted.count())
+        placed = there.join(self.index.level_nodes.select("model", "cn"), ["model", "cn"], "left_semi").select("model", "terminal", F.lit(True).alias("placed"))
+        usable = F.col("rated") & F.coalesce("placed", F.lit(False))
+        each = ends.join(placed, ["model", "terminal"], "left").groupBy("model", F.col("transformer").alias("id")).agg(F.count(F.lit(1)).alias("ends"), F.bool_and(usable).alias("usable")).where("usable AND ends IN (2, 3)")
+        metric = F.when(F.col("ends") == 2, METRICS[8]).otherwise(METRICS[9])
+        return self.grid.of_type("PowerTransformer").select(*KEY).join(each, KEY).groupBy("model", metric.alias("metric")).agg(F.count(F.lit(1)).alias("n"))
+
     def totals(self) -> DataFrame:
         """(model, nth, metric, n): the eleven counts of a conversion in their order, 0 where a model has no such element."""
-        named = zip(METRICS, (self.substations, self.voltage_levels, self.busbars, self.switches, self.loads, self.shunts, self.svcs, self.generators, self.two_windings, self.three_windings, self.lines), strict=True)
-        counts = [table().groupBy("model").agg(F.count(F.lit(1)).alias("n")).select("model", F.lit(metric).alias("metric"), "n") for metric, table in named]
+        count = lambda rows, metric: rows.groupBy("model").agg(F.count(F.lit(1)).alias("n")).select("model", F.lit(metric).alias("metric"), "n")
+        merged = self.index.substation_merge.where("id <> representative").select(*KEY)
+        substations = self.grid.of_type("Substation").select(*KEY).join(merged, KEY, "left_anti")
+        levels = self.grid.of_type("VoltageLevel").select(*KEY).join(self.index.level_sites.select("model", F.col("vl").alias("id")), KEY)
+        counts = [count(substations, METRICS[0]), count(levels, METRICS[1]), self._placed_counts()]
+        counts.append(self._transformer_counts())
         every = F.posexplode(F.array(*[F.lit(metric) for metric in METRICS])).alias("nth", "metric")
         rows = self.grid.objects.select("model").distinct().select("model", every)
         return rows.join(reduce(DataFrame.unionByName, counts), ["model", "metric"], "left").select("model", "nth", "metric", F.coalesce("n", F.lit(0)).alias("n"))
